@@ -74,3 +74,31 @@ def attach_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str,
     warm = marked.where(F.col(mark)).select(*rows.columns, *extra)
     cold = marked.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(F.col(size) < least), on, how)
     return warm.unionByName(cold.select(*rows.columns, *extra))
+
+
+def attach_lists(left: DataFrame, lists: DataFrame, on: str, column: str, entry_bytes: int, how: str = "inner") -> DataFrame:
+    """left joined with lists (one row a key; column is an array of entries of entry_bytes each), which must be staged.
+
+    lists is broadcast if its size, which is counted first, is within BROADCAST_BYTES; else the join is by shuffle.
+    """
+    size = lists.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)) * entry_bytes + F.count("*") * 48).first()[0]
+    return left.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, on, how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of edges (u, v): root is the smallest node that links reach.
+
+    Labels go over the links both ways, the smallest wins, then each label is replaced by its own label, until none
+    changes. Nodes with many links are pre-aggregated; each round is written to the shared folder.
+    """
+    both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct().where("u <> v"), "links")
+    labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")), "labels")
+    while True:
+        seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
+        lower = labels.join(seen, labels["node"] == seen["u"], "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
+        lower = stage(lower, "lower")
+        above = lower.select(F.col("node").alias("at"), F.col("new").alias("above"))
+        jumped = stage(lower.join(above, lower["new"] == above["at"], "left").select("node", F.least("new", F.coalesce("above", "new")).alias("root"), (F.col("root") != F.least("new", F.coalesce("above", "new"))).alias("changed")), "jumped")
+        labels = jumped.select("node", "root")
+        if not jumped.where("changed").limit(1).count():
+            return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import exact_dedup, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentence_pieces, token_counts
+from kinespark.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_counts
 from kinespark.llm._common import table
 
 #: Production parameters.
@@ -15,6 +15,8 @@ TOKEN_LIMIT = 2048
 TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 LINE_MIN_DOCS, LINE_MIN_CHARS = 3, 20
 PIECE_SEED = 17
+SHINGLE_WORDS, SIMILARITY = 4, 85
+SPAN_WORDS = 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +45,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SIMILARITY)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup_lines(docs, LINE_MIN_DOCS, LINE_MIN_CHARS)
@@ -58,6 +64,11 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), SPAN_WORDS)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return cleaned.drop("clean_text")
@@ -73,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op5_line_dedup, op6_sentence_pieces, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_jaccard_join, op5_line_dedup, op6_sentence_pieces, op7_substring_dedup, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
