@@ -17,7 +17,7 @@ from kinespark.llm import words
 BATCH_BYTES = 1 << 18
 STRETCH_BYTES = 4 << 20
 #: Words longer than this aren't remembered; so many are.
-LONG_WORD, REMEMBERED = 64, 400_000
+LONG_WORD, REMEMBERED = 64, 1_000_000
 
 
 @lru_cache(4)
@@ -62,20 +62,23 @@ def lengths(path: str, texts: list[bytes]) -> list[int]:
     tokenizer, known = _tokenizer(path)
     out = [0] * len(texts)
     for i, text in enumerate(texts):
-        for stretch in _stretches(text):
-            found = stretch.split()
-            try:
-                out[i] += sum(map(known.__getitem__, found))
-                continue
-            except KeyError:
-                pass
-            new = list(set(found) - known.keys())
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(found))
-            counts = dict(zip(new, _encode(tokenizer, new), strict=True))
-            out[i] += sum(known[w] if w in known else counts[w] for w in found)
-            known.update((w, n) for w, n in counts.items() if len(w) <= LONG_WORD)
+        if len(text) > STRETCH_BYTES:
+            out[i] = sum(sum(lengths(path, [stretch])) for stretch in _stretches(text))
+    short = [(i, text.split()) for i, text in enumerate(texts) if len(text) <= STRETCH_BYTES]
+    wanted = set()
+    for _, found in short:
+        wanted.update(found)
+    new = [w for w in wanted if w not in known]
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list(wanted)
+    counts = dict(zip(new, _encode(tokenizer, new), strict=True))
+    known.update(counts)
+    for i, found in short:
+        out[i] = sum(map(known.__getitem__, found))
+    for w in counts:
+        if len(w) > LONG_WORD:
+            del known[w]
     return out
 
 
