@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents as shingle sets: pivots with regions, triangle-inequality windows, and recursion.
 
 Almost all texts are at the greatest distance from each other, so pivots drawn at large would split nothing. Regions are
-therefore seeded by signatures that every linked pair shares: the pivot of a signature is the smallest document that has
-it, and a document stands in the region of each of its signatures' pivots. Linked documents so share a region. Within a
-region all are compared with the pivot; those linked with it are one class and need no more comparing among each other;
-the others become pivots in turn, and are compared with the documents of the region that the triangle inequality allows.
+therefore seeded by signatures that every linked pair shares: the pivot of a signature is the most central document that
+has it, and a document stands in the region of each of its signatures' pivots. Linked documents so share a region. Within
+a region all are compared with the pivot; those linked with it are one class and need no more comparing among each other.
+The others, the region's shell, are compared with the documents of the region that the triangle inequality allows: large
+regions are split into parts, and shell documents go to every part.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from kinespark.llm._common import attach_groups, attach_lists, components, stage
 
 #: Members that are compared with a pivot in one task; a pivot's set goes to as many tasks as its region needs.
 REGION_ROWS = 2000
-#: Pairs of a round beyond the first, about, for each document; the rest waits for the next round.
-PAIRS_A_DOCUMENT = 20
+#: Shingles, about, of the shell documents and of the members that one task compares.
+PART_SHINGLES = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -143,6 +144,69 @@ def _judged(compared: DataFrame, percent: int) -> DataFrame:
     return compared.select("pivot", "member", (100 * F.col("common") >= percent * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
 
 
+def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): links between documents of different roots, of a region's shell with all its members.
+
+    members, staged: (pivot, id, size, shell, distance, root), a document once a region. Of two roots that a task finds
+    linked, it gives one link.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    shell = F.col("shell")
+    regions = members.groupBy("pivot").agg(F.sum("size").alias("size"), F.sum(F.when(shell, F.col("size"))).alias("shell_size"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(shell, F.coalesce("distance", F.lit(0.0)))).alias("nearest"))
+    parts = stage(regions.where("low <> high").select("pivot", "n", "nearest", *[F.ceil(F.col(c) / PART_SHINGLES).cast("int").alias(p) for c, p in (("size", "parts"), ("shell_size", "shells"))]), "region-parts")
+    reach = (100 - percent) / 100 + 1e-9
+    inside = attach_groups(members.drop("size"), parts, ["pivot"], "n").where(shell | (F.col("distance") >= F.col("nearest") - reach))
+    deal = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+    every = lambda count: F.sequence(F.lit(0), count - 1)
+    as_member = inside.select("id", "pivot", "distance", "root", deal(F.col("parts")).alias("part"), F.explode(every(F.col("shells"))).alias("block"), F.lit(True).alias("member"))
+    as_shell = inside.where("shell").select("id", "pivot", "distance", "root", F.explode(every(F.col("parts"))).alias("part"), deal(F.col("shells")).alias("block"), F.lit(False).alias("member"))
+    to = ["pivot", "part", "block", "member", "distance", "root"]
+    wanted = stage(as_member.unionByName(as_shell).groupBy("id").agg(F.collect_set(F.struct(*to)).alias("to")), "shell-members")
+    types = f"pivot:{kind},part:int,block:int,member:boolean,distance:double,root:{kind}"
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, bounds in words.groups(batch.column(1)):
+                sets = [s.tobytes() for s in shingle_sets(data, bounds, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary()), batch.column(2).slice(at, len(sets))], ["id", "shingles", "to"])
+
+    sets = attach_lists(docs.select("id", "text"), wanted, "id", "to", 48).select("id", "text", "to").mapInArrow(to_sets, f"id {kind}, shingles binary, to array<struct<{types}>>")
+    rows = sets.select("id", "shingles", F.explode("to").alias("to")).select(*[f"to.{c}" for c in to], "id", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, shells, index, told = None, [], None, set()
+        for batch in batches:
+            found = []
+            lists = [batch.column(i).to_pylist() for i in range(7)]
+            for pivot, part, block, member, distance, root, ident, raw in zip(*lists, batch.column(7), strict=True):
+                if place != (pivot, part, block):
+                    place, shells, index, told = (pivot, part, block), [], None, set()
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not member:
+                    shells.append((ident, root, distance, shingles.copy()))
+                    continue
+                if index is None:
+                    size = np.array([len(x[3]) for x in shells])
+                    flat = np.concatenate([x[3] for x in shells])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], np.repeat(np.arange(len(shells)), size)[order], size
+                keys, owner, size = index
+                low, high = np.searchsorted(keys, shingles, "left"), np.searchsorted(keys, shingles, "right")
+                per = high - low
+                hit = np.repeat(low - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+                common = np.bincount(owner[hit], minlength=len(shells))
+                for k in np.flatnonzero(100 * common >= percent * (size + len(shingles) - common)).tolist():
+                    other, its_root = shells[k][:2]
+                    if its_root != root and (pair := (min(root, its_root), max(root, its_root))) not in told:
+                        told.add(pair)
+                        found.append((ident, other))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(6).type) for i in (0, 1)], ["u", "v"])
+
+    dealt = rows.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member")
+    return dealt.mapInArrow(compare, f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (the smallest id that links reach, itself included).
 
@@ -158,33 +222,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = stage(real.groupBy("set_key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")), "set-classes")
     placed = stage(attach_groups(real.select("id", "set_key"), classes, ["set_key"], "copies").select("id", "first_id", "copies"), "set-members")
     copies = stage(placed.where(F.col("id") != F.col("first_id")).select("id", F.array().cast("array<int>").alias("none")), "set-copies")
-    single = attach_lists(real.select("id", "signatures"), copies, "id", "none", 0, "left_anti")
-    signed = single.select("id", F.explode("signatures").alias("signature"))
-    seeded = signed.select("id", F.min("id").over(Window.partitionBy("signature")).alias("pivot")).where(F.col("id") != F.col("pivot"))
-    pairs = stage(seeded.select("pivot", F.col("id").alias("member")).distinct(), "pairs")
+    single = attach_lists(real.select("id", "n_shingles", "signatures"), copies, "id", "none", 0, "left_anti")
+    signed = single.select("id", F.col("n_shingles").cast("int").alias("size"), F.explode("signatures").alias("signature"))
+    by_signature = Window.partitionBy("signature")
+    shared = stage(signed.withColumn("holders", F.count("*").over(by_signature)).where("holders > 1"), "shared-signatures")
+    # The most central: the original of many near copies shares more of its signatures than they do among each other.
+    central = shared.groupBy("id").agg(F.sum("holders").alias("degree"))
+    seeded = shared.join(central, "id").withColumn("first", F.max(F.struct("degree", "id", "size")).over(by_signature))
+    seeded = stage(seeded.select("signature", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded")
+    # A set much smaller than the other can't have the similarity; of such a pair no distance is known.
+    fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
+    pairs = stage(seeded.where(fits).select("pivot", F.col("id").alias("member")).distinct(), "pairs")
     judged = stage(_judged(_compare(rows, pairs, n), percent), "judged")
-    links, regions = judged.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")), judged
+    links = judged.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v"))
     roots = components(links)
-    pending = regions.where(~F.col("linked")).select("pivot", "member", "distance")
-    pending = stage(pending.withColumn("turn", F.row_number().over(Window.partitionBy("pivot").orderBy("member"))), "pending")
-    total = max(1, rows.count())
-    done = 0
-    while pending.where(F.col("turn") > done).limit(1).count():
-        sizes = regions.groupBy("pivot").agg(F.count("*").alias("members"))
-        work = pending.where(F.col("turn") > done).groupBy("pivot").agg(F.count("*").alias("waiting")).join(sizes, "pivot").agg(F.sum(F.col("waiting") * F.col("members")), F.max("waiting")).first()
-        step = max(8, int(work[1] * min(1.0, PAIRS_A_DOCUMENT * total / work[0])) + 1)
-        now = pending.where((F.col("turn") > done) & (F.col("turn") <= done + step))
-        done += step
-        others = regions.select(F.col("pivot").alias("of"), F.col("member").alias("other"), F.col("distance").alias("away"))
-        reach = (100 - percent) / 100 + 1e-9
-        near = now.join(others, (F.col("pivot") == F.col("of")) & (F.col("member") != F.col("other")) & (F.abs(F.col("distance") - F.col("away")) <= reach))
-        ends = near.select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct()
-        ends = ends.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        fresh = stage(ends.where(~F.coalesce(F.col("ra"), F.col("a")).eqNullSafe(F.coalesce(F.col("rb"), F.col("b")))).select(F.col("a").alias("pivot"), F.col("b").alias("member")), "more-pairs")
-        more = stage(_judged(_compare(rows, fresh, n), percent).where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v")), "more-links")
-        if more.limit(1).count():
-            links = stage(links.union(more), "all-links")
-            roots = components(links)
+    known = judged.select("pivot", F.col("member").alias("id"), "linked", "distance")
+    crowded = seeded.where("holders > 2").join(known, ["pivot", "id"], "left").withColumn("shell", ~F.coalesce("linked", F.lit(False)))
+    crowded = crowded.withColumn("open", F.max("shell").over(by_signature)).where("open").groupBy("pivot", "id").agg(F.first("size").alias("size"), F.first("shell").alias("shell"), F.first("distance").alias("distance"))
+    members = crowded.join(roots, crowded["id"] == roots["node"], "left").select("pivot", "id", "size", "shell", "distance", F.coalesce("root", "id").alias("root"))
+    more = stage(_shell_links(rows, stage(members, "members"), n, percent), "shell-links")
+    if more.limit(1).count():
+        roots = components(links.union(more))
     sized = placed.groupBy("first_id").agg(F.first("copies").alias("copies"))
     named = sized.join(roots, sized["first_id"] == roots["node"], "left").select("first_id", "copies", F.coalesce("root", "first_id").alias("component"))
     ends = attach_groups(placed.select("id", "first_id"), stage(named, "class-roots"), ["first_id"], "copies").select("id", "component").distinct()
