@@ -23,8 +23,11 @@ from kinespark.llm._common import attach_groups, attach_lists, components, stage
 
 #: Members that are compared with a pivot in one task; a pivot's set goes to as many tasks as its region needs.
 REGION_ROWS = 2000
-#: Shingles, about, of the shell documents and of the members that one task compares.
-PART_SHINGLES = 1_000_000
+#: Shingles, about, of the shell documents and of the members that one task compares; documents, where it compares sketches.
+PART_SHINGLES, PART_DOCUMENTS = 1_000_000, 4000
+#: Cells of a sketch: each has the parity of the number of shingles that fall in it, so cells that differ in two sketches
+#: can't be more than the elements that are in one set only. A pair with too many is out; the others are compared in full.
+CELLS = 2048
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -79,8 +82,12 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).tobytes()
+
+
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, set_key (128 bits) and signatures of each row."""
+    """id, n_shingles, set_key (128 bits), sketch and signatures of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +97,9 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
                 flat = np.concatenate(signed).view(np.int64) if signed else np.zeros(0, np.int64)
                 keys = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_shingles", "set_key", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_shingles", "set_key", "sketch", "signatures"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, signatures array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary, signatures array<long>")
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -139,6 +146,81 @@ def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(compare, f"pivot {kind}, member {kind}, common long, pivot_size long, member_size long")
 
 
+def _differing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (pivot, member, pivot_size, member_size), staged, with apart: the cells in which their sketches differ."""
+    kind = pairs.schema["pivot"].dataType.simpleString()
+    parts = stage(pairs.groupBy("pivot").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / PART_DOCUMENTS).cast("int")), "sketch-regions")
+    placed = attach_groups(pairs, parts, ["pivot"], "members")
+    one = placed.join(sketches, placed["member"] == sketches["id"]).select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("listed"), "member", "pivot_size", "member_size", "sketch")
+    none = F.lit(0).cast("long")
+    own = parts.join(sketches, parts["pivot"] == sketches["id"]).select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("listed"), F.col("pivot").alias("member"), none.alias("pivot_size"), none.alias("member_size"), "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            listed, apart = batch.column(2).to_pylist(), np.zeros(batch.num_rows, np.int64)
+            for i, raw in enumerate(batch.column(6)):
+                bits = np.frombuffer(raw.as_buffer(), np.uint64)
+                if listed[i]:
+                    apart[i] = np.bitwise_count(bits ^ own).sum()
+                else:
+                    own = bits.copy()
+            keep = batch.column(2)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(keep) for i in (0, 3, 4, 5)], pa.array(apart).filter(keep)], ["pivot", "member", "pivot_size", "member_size", "apart"])
+
+    dealt = one.unionByName(own).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "listed")
+    return dealt.mapInArrow(compare, f"pivot {kind}, member {kind}, pivot_size long, member_size long, apart long")
+
+
+def _dealt(members: DataFrame, load: str, most: int, percent: int) -> DataFrame:
+    """members, staged, as rows of tasks (pivot, part, block, member): each member meets each shell document of its region once.
+
+    A region has as many parts of members and blocks of shell documents as keep the sum of load in each to about most.
+    Of a region with one root nothing is left, nor of members too near the pivot for any shell document.
+    """
+    shell = F.col("shell")
+    regions = members.groupBy("pivot").agg(F.sum(load).alias("load"), F.sum(F.when(shell, F.col(load))).alias("shell_load"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(shell, F.coalesce("distance", F.lit(0.0)))).alias("nearest"))
+    parts = stage(regions.where("low <> high AND shell_load > 0").select("pivot", "n", "nearest", *[F.ceil(F.col(c) / most).cast("int").alias(p) for c, p in (("load", "parts"), ("shell_load", "blocks"))]), "region-parts")
+    reach = (100 - percent) / 100 + 1e-9
+    inside = attach_groups(members, parts, ["pivot"], "n").where(shell | (F.col("distance") >= F.col("nearest") - reach))
+    deal = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+    every = lambda count: F.sequence(F.lit(0), count - 1)
+    columns = ["id", "pivot", "size", "root"]
+    as_member = inside.select(*columns, deal(F.col("parts")).alias("part"), F.explode(every(F.col("blocks"))).alias("block"), F.lit(True).alias("member"))
+    as_shell = inside.where("shell").select(*columns, F.explode(every(F.col("parts"))).alias("part"), deal(F.col("blocks")).alias("block"), F.lit(False).alias("member"))
+    return as_member.unionByName(as_shell)
+
+
+def _near_shell(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id): the documents of regions whose sketches allow a link with another root, a shell document being one of the two."""
+    kind = members.schema["id"].dataType.simpleString()
+    dealt = _dealt(members.withColumn("one", F.lit(1)), "one", PART_DOCUMENTS, percent).join(sketches, "id").select("pivot", "part", "block", "member", "id", "size", "root", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, shells, table = None, [], None
+        for batch in batches:
+            found = set()
+            for pivot, part, block, member, ident, size, root, raw in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+                if place != (pivot, part, block):
+                    place, shells, table = (pivot, part, block), [], None
+                if not member:
+                    shells.append((ident, size, root, raw))
+                    continue
+                if table is None:
+                    ids, sizes, roots, raws = zip(*shells, strict=True) if shells else ((), (), (), ())
+                    table = np.array(ids), np.array(sizes, np.int64), np.array(roots), np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), CELLS // 64)
+                ids, sizes, roots, bits = table
+                apart = np.bitwise_count(bits ^ np.frombuffer(raw, np.uint64)).sum(1).astype(np.int64)
+                near = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + size)) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (roots != root))
+                if len(near):
+                    found.add((pivot, ident))
+                    found.update((pivot, x) for x in ids[near].tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(f).type) for i, f in ((0, 0), (1, 4))], ["pivot", "id"])
+
+    return dealt.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member").mapInArrow(compare, f"pivot {kind}, id {kind}").distinct()
+
+
 def _judged(compared: DataFrame, percent: int) -> DataFrame:
     union = F.col("pivot_size") + F.col("member_size") - F.col("common")
     return compared.select("pivot", "member", (100 * F.col("common") >= percent * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
@@ -151,18 +233,9 @@ def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
     linked, it gives one link.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    shell = F.col("shell")
-    regions = members.groupBy("pivot").agg(F.sum("size").alias("size"), F.sum(F.when(shell, F.col("size"))).alias("shell_size"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(shell, F.coalesce("distance", F.lit(0.0)))).alias("nearest"))
-    parts = stage(regions.where("low <> high").select("pivot", "n", "nearest", *[F.ceil(F.col(c) / PART_SHINGLES).cast("int").alias(p) for c, p in (("size", "parts"), ("shell_size", "shells"))]), "region-parts")
-    reach = (100 - percent) / 100 + 1e-9
-    inside = attach_groups(members.drop("size"), parts, ["pivot"], "n").where(shell | (F.col("distance") >= F.col("nearest") - reach))
-    deal = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
-    every = lambda count: F.sequence(F.lit(0), count - 1)
-    as_member = inside.select("id", "pivot", "distance", "root", deal(F.col("parts")).alias("part"), F.explode(every(F.col("shells"))).alias("block"), F.lit(True).alias("member"))
-    as_shell = inside.where("shell").select("id", "pivot", "distance", "root", F.explode(every(F.col("parts"))).alias("part"), deal(F.col("shells")).alias("block"), F.lit(False).alias("member"))
-    to = ["pivot", "part", "block", "member", "distance", "root"]
-    wanted = stage(as_member.unionByName(as_shell).groupBy("id").agg(F.collect_set(F.struct(*to)).alias("to")), "shell-members")
-    types = f"pivot:{kind},part:int,block:int,member:boolean,distance:double,root:{kind}"
+    to = ["pivot", "part", "block", "member", "root"]
+    wanted = stage(_dealt(members, "size", PART_SHINGLES, percent).groupBy("id").agg(F.collect_set(F.struct(*to)).alias("to")), "shell-members")
+    types = f"pivot:{kind},part:int,block:int,member:boolean,root:{kind}"
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,17 +250,17 @@ def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
         place, shells, index, told = None, [], None, set()
         for batch in batches:
             found = []
-            lists = [batch.column(i).to_pylist() for i in range(7)]
-            for pivot, part, block, member, distance, root, ident, raw in zip(*lists, batch.column(7), strict=True):
+            lists = [batch.column(i).to_pylist() for i in range(6)]
+            for pivot, part, block, member, root, ident, raw in zip(*lists, batch.column(6), strict=True):
                 if place != (pivot, part, block):
                     place, shells, index, told = (pivot, part, block), [], None, set()
                 shingles = np.frombuffer(raw.as_buffer(), np.uint64)
                 if not member:
-                    shells.append((ident, root, distance, shingles.copy()))
+                    shells.append((ident, root, shingles.copy()))
                     continue
                 if index is None:
-                    size = np.array([len(x[3]) for x in shells])
-                    flat = np.concatenate([x[3] for x in shells])
+                    size = np.array([len(x[2]) for x in shells], np.int64)
+                    flat = np.concatenate([x[2] for x in shells]) if shells else np.zeros(0, np.uint64)
                     order = np.argsort(flat, kind="stable")
                     index = flat[order], np.repeat(np.arange(len(shells)), size)[order], size
                 keys, owner, size = index
@@ -232,15 +305,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     seeded = stage(seeded.select("signature", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded")
     # A set much smaller than the other can't have the similarity; of such a pair no distance is known.
     fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-    pairs = stage(seeded.where(fits).select("pivot", F.col("id").alias("member")).distinct(), "pairs")
-    judged = stage(_judged(_compare(rows, pairs, n), percent), "judged")
+    pairs = seeded.where(fits).groupBy("pivot", F.col("id").alias("member")).agg(F.first("pivot_size").cast("long").alias("pivot_size"), F.first("size").cast("long").alias("member_size"))
+    pairs = stage(pairs, "pairs")
+    needed = seeded.select("id").union(seeded.select("pivot")).distinct()
+    sketches = stage(described.select("id", "sketch").join(needed, "id", "left_semi").dropDuplicates(["id"]), "sketches")
+    apart = stage(_differing(pairs, sketches), "apart")
+    both, least = F.col("pivot_size") + F.col("member_size"), F.col("apart")
+    near = apart.where((100 + percent) * least <= (100 - percent) * both)
+    far = apart.where((100 + percent) * least > (100 - percent) * both).select("pivot", "member", F.lit(False).alias("linked"), (2 * least / (both + least)).alias("distance"))
+    judged = stage(_judged(_compare(rows, stage(near.select("pivot", "member"), "near"), n), percent).unionByName(far), "judged")
     links = judged.where("linked").select(F.col("pivot").alias("u"), F.col("member").alias("v"))
     roots = components(links)
+    # Of a pair that isn't linked, the distance may be a lower bound.
     known = judged.select("pivot", F.col("member").alias("id"), "linked", "distance")
     crowded = seeded.where("holders > 2").join(known, ["pivot", "id"], "left").withColumn("shell", ~F.coalesce("linked", F.lit(False)))
     crowded = crowded.withColumn("open", F.max("shell").over(by_signature)).where("open").groupBy("pivot", "id").agg(F.first("size").alias("size"), F.first("shell").alias("shell"), F.first("distance").alias("distance"))
     members = crowded.join(roots, crowded["id"] == roots["node"], "left").select("pivot", "id", "size", "shell", "distance", F.coalesce("root", "id").alias("root"))
-    more = stage(_shell_links(rows, stage(members, "members"), n, percent), "shell-links")
+    members = stage(members, "members")
+    members = stage(members.join(_near_shell(members, sketches, percent), ["pivot", "id"], "left_semi"), "near-members")
+    more = stage(_shell_links(rows, members, n, percent), "shell-links")
     if more.limit(1).count():
         roots = components(links.union(more))
     sized = placed.groupBy("first_id").agg(F.first("copies").alias("copies"))
