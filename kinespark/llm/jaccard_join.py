@@ -274,7 +274,7 @@ def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
                         told.add(pair)
                         found.append((ident, other))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(6).type) for i in (0, 1)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(5).type) for i in (0, 1)], ["u", "v"])
 
     dealt = rows.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member")
     return dealt.mapInArrow(compare, f"u {kind}, v {kind}")

@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 a, b = starts[low[at_i]], ends[high[at_i] + window - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at_i].view(np.int64)), batch.column(0).take(pa.array(at + row[at_i])), pa.array((low - first[row])[at_i].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(a, b, strict=True)], pa.binary())], ["anchor", "id", "start", "stretch"])
 
-    held = attach_lists(single.select("id", "text"), places, "id", "places", 4).select("id", "text", "places")
+    held = single.select("id", "text").join(places, "id").select("id", "text", "places")
     shards = held.mapInArrow(stretches, f"anchor long, id {kind}, start int, stretch binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,5 +248,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                     kept.append(b" ".join(found).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    final = attach_lists(rows, gone, "id", "gone", 12, "left").select("id", "text", "gone")
+    final = rows.join(gone, "id", "left").select("id", "text", "gone")
     return final.mapInArrow(keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
