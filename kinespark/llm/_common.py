@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 2000
 #: The most bytes that a join of checked size broadcasts.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch of whole texts; a batch is held by the executor's JVM and its Python worker at once.
+BATCH_BYTES, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +49,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of BATCH_BYTES, as 10,000 texts can be too many to hold.
+
+    The limit is the session's setting, which is made smaller where it is larger. A worker that waits for its next task
+    keeps no memory that it has freed, as it shares the executor's with the JVM.
+    """
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    conf = rows.sparkSession.conf
+    if (now := conf.get(_BATCH_SETTING, None)) is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return rows.mapInArrow(freeing, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

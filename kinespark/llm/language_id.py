@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
+from kinespark.llm._common import map_texts
 
 #: Bytes of a window; widths of the filters; filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
@@ -144,5 +145,5 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letter.alias("letter"))
     if net is None:
         return rows.select(F.col("id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, p double, letter boolean")
+    out = rows.transform(map_texts, run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, p double, letter boolean")
     return out.select(F.col("id").alias(id_col), F.when(F.col("letter"), F.col("lang")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letter"), F.col("p")).otherwise(0.0).alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
-from kinespark.llm._common import attach_groups, stage
+from kinespark.llm._common import attach_groups, map_texts, stage
 
 #: The most labelled rows that the document classifier is fitted on, chosen by a hash. Nothing else is bounded.
 SAMPLE_ROWS = 20_000
@@ -104,7 +104,7 @@ def with_features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(FEATURES), pa.int32()), pa.array(flat)), *[batch.column(1 + i).slice(at, n) for i in range(len(keep))]], ["feats", *keep])
 
     rows = docs.select(F.col(text_col).alias("text"), *keep)
-    return rows.mapInArrow(run, "feats array<double>, " + ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep))
+    return rows.transform(map_texts, run, "feats array<double>, " + ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DocumentClassifier:
@@ -163,7 +163,7 @@ def classify(docs: DataFrame, classifier: DocumentClassifier, labels: DataFrame
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, n) for i in (1, 2, 3)], pa.array(classifier.log_odds(features(data, bounds)))], ["id", "host", "path", "odds"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    judged = rows.select("text", "id", "host", "path").mapInArrow(run, f"id {kind}, host string, path string, odds double")
+    judged = rows.select("text", "id", "host", "path").transform(map_texts, run, f"id {kind}, host string, path string, odds double")
     judged = judged.withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
     if labels is not None:
         known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))

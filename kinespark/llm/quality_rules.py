@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
+from kinespark.llm._common import map_texts
 
 #: A document is rejected if its removed lines have more than this share of its words.
 MOST_LOST = 0.5
@@ -126,5 +127,5 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     kept = ~F.col("base_failed") & (F.col("n_words_removed") <= MOST_LOST * n)
-    out = rows.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", kept)
+    out = rows.transform(map_texts, run, schema).withColumn("base_failed", failed).withColumn("kept", kept)
     return out.select(F.col("id").alias(id_col), "clean_text", *names[2:7], "base_failed", "n_lines_removed", "n_words_removed", "kept")

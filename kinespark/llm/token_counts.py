@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
+from kinespark.llm._common import map_texts
 
 #: Bytes of one call of the tokenizer, and of the stretch of a long text that is split into words at once.
 BATCH_BYTES = 1 << 18
@@ -102,5 +103,5 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.transform(map_texts, count, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
