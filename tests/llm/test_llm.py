@@ -288,3 +288,12 @@ def test_pipeline(spark, sf):
             assert all(r["lossless"] for r in rows) and len(rows) == docs.count()
         else:
             docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_pieces_of_more_chunks_than_the_table_has_rows(monkeypatch):
+    path, seeds = queries.tokenizer_path(queries.PIECE_MODEL), words.mix(np.arange(3, dtype=np.uint64))
+    texts = [" ".join(f"w{i}x{i * i}" for i in range(2000)), "", "one two\n " + "y" * 100 + " three"]
+    wanted = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, seeds)
+    monkeypatch.setattr(sentence_pieces, "TABLE_ROWS", 300)
+    found = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, seeds)
+    assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True)) and len(wanted[1]) == 3
