@@ -20,9 +20,7 @@ RANK_OFFSET, BYTE_WEIGHT = 300.0, -15.0
 #: Sharpness of the sampling: piece log-weights are multiplied by it.
 ALPHA = 0.25
 #: The lattice of a chunk of up to so many characters is kept as a table row for each of its ends; so many rows are kept.
-TABLE_CHARS, TABLE_ROWS = 32, 1_000_000
-#: Characters of the longest piece that is used.
-PIECE_CHARS = 12
+TABLE_CHARS, TABLE_ROWS = 32, 750_000
 MARK = "▁"
 #: What stands for a character that is no piece until it is written as bytes: BYTES + its code point.
 BYTES = 1 << 22
@@ -93,12 +91,12 @@ class Vocabulary:
                 self.first_byte[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 text = piece.replace(MARK, " ")
-                if len(text) <= PIECE_CHARS and MARK not in text.replace(" ", "") and " " not in text.lstrip(" "):
+                if MARK not in text.replace(" ", "") and " " not in text.lstrip(" "):
                     self.ids[text] = i
                     self.weights[text] = float(np.exp(-alpha * np.log(max(0.0, -model.get_score(i)) + RANK_OFFSET)))
-        # Pieces by length, for looking many substrings up at once.
+        # Pieces by length, for looking many substrings up at once; those too long for a chunk of a table are met by ending() only.
         self.by_length = {}
-        for n in {len(p) for p in self.ids}:
+        for n in {len(p) for p in self.ids if len(p) <= TABLE_CHARS}:
             pieces = [p for p in self.ids if len(p) == n]
             self.by_length[n] = Pieces(_substrings(_sums(_points(pieces, n)), n)[0], np.array([self.ids[p] for p in pieces], np.int32), np.array([self.weights[p] for p in pieces]))
         self.byte_ids = np.array([self.first_byte[b] for b in range(256)], np.int32)
@@ -144,10 +142,11 @@ class Lattices:
     def add(self, chunks: list[str]) -> None:
         """Forward filtering of chunks of one length together, end by end; their rows must fit."""
         v, size, m = self.vocabulary, len(chunks[0]), len(chunks)
+        longest = min(size, v.longest)
         points = _points(chunks, size)
         sums = _sums(points)
         # Chunks are the last axis, so that each operation runs along many of them.
-        ids = np.zeros((size, v.longest, m), self.pieces.dtype)
+        ids = np.zeros((size, longest, m), self.pieces.dtype)
         weights = np.zeros(ids.shape)
         for n, pieces in v.by_length.items():
             if n <= size:
@@ -160,17 +159,18 @@ class Lattices:
         weights[:, 0][none] = v.byte_weight
         forward = np.ones((size + 1, m))
         for end in range(1, size + 1):
-            n, here = min(end, v.longest), weights[end - 1]
+            n, here = min(end, longest), weights[end - 1]
             here[:n] *= forward[end - n : end][::-1]
-            for k in range(1, v.longest):
+            for k in range(1, longest):
                 here[k] += here[k - 1]
             # Only ratios within the longest piece matter, so each end is scaled to 1 and nothing underflows.
             total = here[-1].copy()
             forward[end - n : end] /= total
             here /= total
         rows = slice(self.used, self.used + m * size)
-        self.cumulative[rows, : v.longest] = weights.transpose(2, 0, 1).reshape(m * size, -1)
-        self.pieces[rows] = ids.transpose(2, 0, 1).reshape(m * size, -1)
+        self.cumulative[rows, :longest] = weights.transpose(2, 0, 1).reshape(m * size, -1)
+        self.cumulative[rows, longest:] = 1  # no piece is longer than the chunk
+        self.pieces[rows, :longest] = ids.transpose(2, 0, 1).reshape(m * size, -1)
         self.points[rows] = points.ravel()
         self.base.update(zip(chunks, range(self.used, self.used + m * size, size), strict=True))
         self.used += m * size

@@ -297,3 +297,25 @@ def test_pieces_of_more_chunks_than_the_table_has_rows(monkeypatch):
     monkeypatch.setattr(sentence_pieces, "TABLE_ROWS", 300)
     found = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, seeds)
     assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True)) and len(wanted[1]) == 3
+
+
+def test_every_ordinary_piece_is_in_the_vocabulary():
+    import sentencepiece
+
+    path = queries.tokenizer_path(queries.PIECE_MODEL)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ordinary = {model.id_to_piece(i).replace(sentence_pieces.MARK, " "): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    v = sentence_pieces.Vocabulary(path, 0.25)
+    assert v.ids == ordinary and v.longest == max(map(len, ordinary))
+    # The lattices of tables have the long ones too, with the probabilities of the plain filter.
+    lattices = sentence_pieces.Lattices(v)
+    for text in (" relationship", " implementation", " " * 16, "=" * 20):
+        lattices.learn({text})
+        forward = [1.0]
+        for end in range(1, len(text) + 1):
+            here = [(n, i, w * forward[end - n]) for n, i, w in v.ending(text, end)]
+            forward.append(sum(x[2] for x in here))
+            row = lattices.base[text] + end - 1
+            p = np.diff(lattices.cumulative[row], prepend=0)
+            assert {n + 1: int(lattices.pieces[row, n]) for n in np.flatnonzero(p)} == {n: i if i < sentence_pieces.BYTES else lattices.none for n, i, _ in here}
+            assert [p[n - 1] for n, _, _ in here] == pytest.approx([x[2] / forward[-1] for x in here], abs=1e-6)
