@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -22,13 +25,21 @@ def kmeans_sweep(points: DataFrame, ks: tuple[int, ...], seeds: tuple[int, ...]
 
 
 def gram(points: DataFrame, dims: int) -> np.ndarray:
-    """The frames x frames matrix of products of the voxels' centred curves: one aggregate, whose result is dims squared numbers."""
-    centred = points.select(F.transform("point", lambda x: x - F.aggregate("point", F.lit(0.0), lambda s, y: s + y) / dims).alias("c"))
-    sums = centred.agg(*[F.sum(F.col("c")[i] * F.col("c")[j]).alias(f"g{i}_{j}") for i in range(dims) for j in range(i, dims)]).first()
+    """The frames x frames matrix of products of the voxels' centred curves: one number a pair of frames from each task, which Spark adds up."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dims, dims))
+        for batch in batches:
+            curves = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            centred = curves - curves.mean(1, keepdims=True)
+            total += centred.T @ centred
+        i, j = np.triu_indices(dims)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
+
+    sums = points.select("point").where("point IS NOT NULL").mapInArrow(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
     out = np.zeros((dims, dims))
-    for i in range(dims):
-        for j in range(i, dims):
-            out[i, j] = out[j, i] = sums[f"g{i}_{j}"] or 0.0
+    for i, j, g in sums.collect():  # dims squared / 2 rows
+        out[i, j] = out[j, i] = g
     return out
 
 
@@ -37,7 +48,7 @@ def principal(points: DataFrame, dims: int, n: int = 6) -> DataFrame:
     values, vectors = np.linalg.eigh(gram(points, dims))
     top = vectors[:, np.argsort(-values)[:n]]
     top *= np.where(np.abs(top).max(0) == top.max(0), 1, -1)
-    return _scores(points, top, dims)
+    return _scores(points, top)
 
 
 def independent(points: DataFrame, dims: int, n: int = 6, rounds: int = 200, seed: int = 1) -> DataFrame:
@@ -54,13 +65,13 @@ def independent(points: DataFrame, dims: int, n: int = 6, rounds: int = 200, see
         w = new
         if done:
             break
-    return _scores(points, white @ w.T / dims, dims)
+    return _scores(points, white @ w.T / dims)
 
 
-def _scores(points: DataFrame, axes: np.ndarray, dims: int) -> DataFrame:
-    dot = lambda k: sum((F.col("point")[i] * F.lit(float(axes[i, k])) for i in range(dims)), F.lit(0.0))
-    arrays = F.array(*[dot(k) for k in range(axes.shape[1])])
-    return points.select("vox_id", F.posexplode(arrays).alias("component", "score")).withColumn("component", F.col("component") + 1)
+def _scores(points: DataFrame, axes: np.ndarray) -> DataFrame:
+    columns = F.array(*[F.array(*[F.lit(float(x)) for x in axis]) for axis in axes.T])
+    dots = F.transform(columns, lambda axis: F.aggregate(F.zip_with("point", axis, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    return points.select("vox_id", F.posexplode(dots).alias("component", "score")).withColumn("component", F.col("component") + 1)
 
 
 def component_stats(scores: DataFrame) -> DataFrame:

@@ -474,6 +474,10 @@ def q_progress_delta(spark, d):
     return proxies.read(spark, d, "events").select("event_id", "user_id", r6(F.lag("value").over(w) - F.col("value"), "delta"))
 
 
+#: Frames of each curve.
+FRAMES = 64
+
+
 def _points(spark, d, dims: int | None = None) -> DataFrame:
     rows = proxies.read(spark, d, "embeddings")
     point = F.transform("embedding", lambda x: x.cast("double") + F.lit(proxies.OFFSET))
@@ -502,12 +506,15 @@ def q_kmeans_mllib(spark, d):
 
 @query()
 def q_pca(spark, d):
-    return components.principal(_points(spark, d, 16), 16, 4).withColumn("score", F.round("score", 6))
+    return components.principal(_points(spark, d), FRAMES).withColumn("score", F.round("score", 6))
 
 
 @query()
 def q_ica(spark, d):
-    return components.independent(_points(spark, d, 16), 16, 4).withColumn("score", F.round("score", 6))
+    # As many components as tell most, and all that centred curves have.
+    points = _points(spark, d)
+    found = [components.independent(points, FRAMES, n).select(F.lit(n).alias("n"), "vox_id", "component", "score") for n in (6, FRAMES - 1)]
+    return found[0].unionByName(found[1]).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -1,9 +1,11 @@
 """Each query against its SQL in DuckDB, or, without SQL, for rows."""
 
 import os
+from collections import defaultdict
 from glob import glob
 
 import duckdb
+import numpy as np
 import pytest
 
 from kinespark.plans.catalogue import ORACLES, QUERIES
@@ -32,3 +34,24 @@ def test_query(spark, duck, sf, name):
         found = duck.execute(ORACLES[name])
         assert got == rows([c[0] for c in found.description], found.fetchall())
     assert got[1] or name in ("q_alternate", "q_json_sidecar")
+
+
+def test_components_are_those_of_whole_curves(spark, sf):
+    read = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    points = {r["vec_id"]: np.array(r["embedding"], float) for r in read}
+    centred = np.stack([p - p.mean() for p in points.values()])
+    top = np.linalg.svd(centred, compute_uv=False)[:6] ** 2
+    sums = QUERIES["q_pca"](spark, sf).groupBy("component").agg({"score": "count"}).collect()
+    assert sorted(tuple(r) for r in sums) == [(i, len(points)) for i in range(1, 7)]
+    energy = defaultdict(float)
+    for r in QUERIES["q_pca"](spark, sf).collect():
+        energy[r["component"]] += r["score"] ** 2
+    assert [energy[i] for i in range(1, 7)] == pytest.approx(top, rel=1e-4)
+    whole, few = defaultdict(float), set()
+    for r in QUERIES["q_ica"](spark, sf).collect():
+        if r["n"] == centred.shape[1] - 1:
+            whole[r["vox_id"]] += r["score"] ** 2 * centred.shape[1]
+        else:
+            few.add((r["n"], r["component"]))
+    assert few == {(6, i) for i in range(1, 7)}
+    assert [whole[i] for i in points] == pytest.approx((centred**2).sum(1), rel=1e-2)
