@@ -129,12 +129,14 @@ def two_tissue(t: np.ndarray, source: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.convolve(k1 / s * (k3 + k2 * np.exp(-s * t)), source)[: len(t)] * (t[1] - t[0])
 
 
-def bootstrap(curves: DataFrame, n: int = 20, noise: float = 0.05, seed: int = 998) -> DataFrame:
+def bootstrap(curves: DataFrame, n: int = 500, noise: float = 0.05, seed: int = 998) -> DataFrame:
     """n perturbed copies of each region's curve (region, frame, activity, source), each fitted for its rate constants.
 
-    The copies are rows, so they spread over the cluster; each is seeded by its number.
+    The copies are rows, so they spread over the cluster; each is seeded by its number. code is 0, or why a copy's whole set is
+    rejected (see validity): all regions of a copy have it if one of them has a constant near 0 or 1. Spreads are those of code 0.
     """
-    copies = curves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = curves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(parts, "region", "copy")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -145,15 +147,20 @@ def bootstrap(curves: DataFrame, n: int = 20, noise: float = 0.05, seed: int = 9
         best = min((levenberg_marquardt(lambda x, p: two_tissue(x, source, p), t, y, rng.uniform(0, 1, 3), np.full(3, 1e-6), np.ones(3), 60) for _ in range(3)), key=lambda x: x[1])
         return pd.DataFrame([(pdf["region"].iloc[0], i, *map(float, best[0]), float(np.sqrt(best[1])))], columns=["region", "copy", "k1", "k2", "k3", "rms"])
 
-    return copies.groupBy("region", "copy").applyInPandas(fit, "region string, copy int, k1 double, k2 double, k3 double, rms double")
+    fits = copies.groupBy("region", "copy").applyInPandas(fit, "region string, copy int, k1 double, k2 double, k3 double, rms double")
+    own = validity(F.col("k1"), F.col("k2"), F.col("k3"))
+    # A constant near 0 anywhere in the set is named before one near 1.
+    code = F.coalesce(F.min(F.when(own > 0, own)).over(Window.partitionBy("copy")), F.lit(0))
+    return fits.withColumn("code", code)
 
 
-def anneal(curves: DataFrame, steps: int = 400, temperature: float = 1.0, seed: int = 5) -> DataFrame:
-    """For each source region, rate constants of the other regions by annealing and a local search: one group a source.
+def anneal(curves: DataFrame, steps: int = 5000, temperature: float = 1.0, seed: int = 5) -> DataFrame:
+    """For each source region, rate constants of the other regions by annealing and a local search: one group a source and target.
 
-    curves: (region, frames: array, activities: array), a table of regions; each group gets the source's row and its targets.
+    curves: (region, frames: array, activities: array), a table of regions.
     """
     pairs = curves.select(F.col("region").alias("source"), F.col("activity").alias("source_activity")).join(curves.select(F.col("region").alias("target"), "activity"), F.col("source") != F.col("target"))
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -177,4 +184,4 @@ def anneal(curves: DataFrame, steps: int = 400, temperature: float = 1.0, seed:
             out.append((row.source, row.target, *map(float, top), float(top[0] * top[2] / (top[1] + top[2])), best))
         return pd.DataFrame(out, columns=["source", "target", "k1", "k2", "k3", "ki", "cost"])
 
-    return pairs.groupBy("source").applyInPandas(fit, "source string, target string, k1 double, k2 double, k3 double, ki double, cost double")
+    return pairs.repartition(parts, "source", "target").groupBy("source", "target").applyInPandas(fit, "source string, target string, k1 double, k2 double, k3 double, ki double, cost double")

@@ -1,5 +1,7 @@
 """Closed-form answers on small tables."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,29 @@ def test_curve_files(spark, tmp_path):
     assert [(r["frame"], r["t"], r["region"], r["activity"]) for r in got] == [(2, 2.0, "hip", 5.0)]
     made = tables.cached(spark, str(tmp_path / "c"), lambda: spark.range(3))
     assert made.count() == tables.cached(spark, str(tmp_path / "c"), lambda: spark.range(9)).count() == 3
+
+
+def test_bootstrap_and_annealing_do_all_draws_and_steps(spark):
+    source = np.exp(-0.3 * np.arange(12.0)) * np.arange(12.0)
+    y = kinetics.two_tissue(np.arange(12.0), source, np.array([0.4, 0.3, 0.1]))
+    rows = spark.createDataFrame([(r, i, float(y[i]), float(source[i])) for r in "ab" for i in range(12)], "region string, frame int, activity double, source double")
+    got = kinetics.bootstrap(rows).groupBy("region").agg(F.count("*"), F.countDistinct("copy")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 500, 500), ("b", 500, 500)]
+    assert inspect.signature(kinetics.anneal).parameters["steps"].default == 5000
+
+
+def test_a_copy_with_a_constant_at_its_bound_is_rejected_for_all_regions(spark):
+    source = np.exp(-0.3 * np.arange(30.0)) * np.arange(30.0)
+    good, flat = (kinetics.two_tissue(np.arange(30.0), source, np.array(p)) for p in ([0.4, 0.3, 0.1], [3.0, 0.3, 0.1]))
+    rows = lambda **curves: spark.createDataFrame([(r, i, float(y[i]), float(source[i])) for r, y in curves.items() for i in range(30)], "region string, frame int, activity double, source double")
+    kept = kinetics.bootstrap(rows(a=good), n=2, noise=0.0).collect()
+    assert len(kept) == 2 and all(r["code"] == 0 for r in kept)
+    gone = kinetics.bootstrap(rows(a=good, b=flat), n=2, noise=0.0).collect()
+    assert sorted((r["region"], r["copy"]) for r in gone) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)] and len({r["code"] for r in gone}) == 1 and gone[0]["code"] in (41, 42)
+
+
+def test_each_source_and_target_is_annealed_alone(spark):
+    source = np.exp(-0.3 * np.arange(12.0)) * np.arange(12.0)
+    rows = spark.createDataFrame([(r, [float(x) for x in source * f]) for r, f in (("a", 1.0), ("b", 0.5), ("c", 0.7))], "region string, activity array<double>")
+    found = kinetics.anneal(rows, steps=50)
+    assert sorted((r["source"], r["target"]) for r in found.collect()) == [(a, b) for a in "abc" for b in "abc" if a != b]
