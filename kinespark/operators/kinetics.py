@@ -95,26 +95,34 @@ def exponentials(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     return sum(p[i] * np.exp(-np.clip(p[i + 1] * t, -50, 50)) for i in range(0, len(p), 2))
 
 
+#: The greatest sum of squared errors of a fit that ended well.
+MOST_ERROR = 10.0
 FIT_SCHEMA = "curve_id long, start int, parameters array<double>, rms double"
 
 
-def fit_decays(curves: DataFrame, starts: int = 6, terms: int = 2, seed: int = 42) -> DataFrame:
-    """Multi-start fits of each curve (curve_id, t, activity) by decays: one row a curve and start that ended well."""
+def fit_decays(curves: DataFrame, successes: int = 10, terms: int = 2, seed: int = 42, failures: int = 4096) -> DataFrame:
+    """Multi-start fits of each curve (curve_id, t, activity) by decays: one row a curve and start that ended well.
+
+    Starts go on until so many successes, or so many failures: fits that aren't finite or whose squared errors exceed MOST_ERROR.
+    """
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y, out = pdf["t"].to_numpy(), pdf["activity"].to_numpy(), []
         scale = max(float(t.max()), 1e-9)
-        for s in range(starts):
+        s = 0
+        while len(out) < successes and s - len(out) < failures:
             rng = np.random.default_rng(seed + 7 * s)
             p0 = np.stack([rng.uniform(0, 2 * max(y.max(), 1e-9), terms), rng.uniform(0, 10, terms)], 1).ravel()
             p, cost = levenberg_marquardt(exponentials, t / scale, y, p0, np.tile([-1e9, -2.0], terms), np.tile([1e9, 200.0], terms))
-            if np.isfinite(cost):
+            if np.isfinite(p).all() and cost <= MOST_ERROR:
                 p[1::2] /= scale
                 out.append((int(pdf["curve_id"].iloc[0]), s, p.tolist(), float(np.sqrt(cost))))
+            s += 1
         return pd.DataFrame(out, columns=["curve_id", "start", "parameters", "rms"])
 
-    return curves.select("curve_id", "t", "activity").groupBy("curve_id").applyInPandas(fit, FIT_SCHEMA)
+    return curves.select("curve_id", "t", "activity").repartition(parts, "curve_id").groupBy("curve_id").applyInPandas(fit, FIT_SCHEMA)
 
 
 def best_fits(fits: DataFrame) -> DataFrame:

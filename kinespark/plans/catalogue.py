@@ -474,6 +474,8 @@ def q_progress_delta(spark, d):
     return proxies.read(spark, d, "events").select("event_id", "user_id", r6(F.lag("value").over(w) - F.col("value"), "delta"))
 
 
+#: Cluster counts of the k-means sweep, those of the reference.
+SWEEP_KS = tuple(range(6, 39, 4))
 #: Frames of each curve.
 FRAMES = 64
 
@@ -501,7 +503,7 @@ def q_kmeans_lloyd(spark, d):
 
 @query()
 def q_kmeans_mllib(spark, d):
-    return components.kmeans_sweep(_points(spark, d), (6, 10), (42,))
+    return components.kmeans_sweep(_points(spark, d), SWEEP_KS)
 
 
 @query()
@@ -519,9 +521,10 @@ def q_ica(spark, d):
 
 @query()
 def q_curve_fit(spark, d):
-    means = clusters.centroids(proxies.voxels(spark, d), proxies.labels(spark, d, (6,)))
-    rows = curves.with_peak(means, ["k", "label"]).where("after_peak")
-    return kinetics.best_fits(kinetics.fit_decays(rows.select(F.col("label").cast("long").alias("curve_id"), frame_time(F.col("frame")).alias("t"), "activity")))
+    # All clusters of all ks; the id of each one's curve is 1000 k + label.
+    rows = curves.with_peak(_centroids(spark, d), ["k", "label"]).where("after_peak")
+    fits = kinetics.best_fits(kinetics.fit_decays(rows.select((F.col("k") * 1000 + F.col("label")).cast("long").alias("curve_id"), frame_time(F.col("frame")).alias("t"), "activity")))
+    return fits.select(F.floor(F.col("curve_id") / 1000).alias("k"), (F.col("curve_id") % 1000).alias("label"), *fits.columns)
 
 
 @query()

@@ -1,5 +1,6 @@
 """Each query against its SQL in DuckDB, or, without SQL, for rows."""
 
+import inspect
 import os
 from collections import defaultdict
 from glob import glob
@@ -8,6 +9,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from kinespark.operators import components
+from kinespark.plans import proxies
 from kinespark.plans.catalogue import ORACLES, QUERIES
 
 
@@ -55,3 +58,15 @@ def test_components_are_those_of_whole_curves(spark, sf):
             few.add((r["n"], r["component"]))
     assert few == {(6, i) for i in range(1, 7)}
     assert [whole[i] for i in points] == pytest.approx((centred**2).sum(1), rel=1e-2)
+
+
+def test_every_cluster_of_every_k_gets_a_fit(spark, sf):
+    found = QUERIES["q_curve_fit"](spark, sf).select("k", "label").collect()
+    assert sorted(tuple(r) for r in found) == [(k, i) for k in proxies.KS for i in range(1, k + 1)]
+
+
+def test_the_sweep_has_all_ks_and_the_best_of_three_seeds(spark, sf, monkeypatch):
+    called = []
+    monkeypatch.setattr(components, "kmeans_sweep", lambda points, ks, seeds=inspect.signature(components.kmeans_sweep).parameters["seeds"].default: called.append((ks, seeds)))
+    QUERIES["q_kmeans_mllib"](spark, sf)
+    assert called == [(tuple(range(6, 39, 4)), (42, 43, 44))]

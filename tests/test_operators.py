@@ -118,3 +118,11 @@ def test_each_source_and_target_is_annealed_alone(spark):
     rows = spark.createDataFrame([(r, [float(x) for x in source * f]) for r, f in (("a", 1.0), ("b", 0.5), ("c", 0.7))], "region string, activity array<double>")
     found = kinetics.anneal(rows, steps=50)
     assert sorted((r["source"], r["target"]) for r in found.collect()) == [(a, b) for a in "abc" for b in "abc" if a != b]
+
+
+def test_starts_go_on_until_ten_fits_succeed(spark):
+    t = np.linspace(0, 10, 40)
+    rows = spark.createDataFrame([(c, float(x), float(3 * np.exp(-0.5 * x) + np.exp(-0.05 * x) + off * (-1) ** i)) for c, off in ((1, 0.0), (2, 9.0)) for i, x in enumerate(t)], "curve_id long, t double, activity double")
+    found = kinetics.fit_decays(rows, failures=20).collect()
+    assert [r["curve_id"] for r in found] == [1] * 10  # no decay comes near the other curve
+    assert all(np.isfinite(r["parameters"]).all() and r["rms"] ** 2 <= 10 for r in found)
