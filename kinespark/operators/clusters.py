@@ -26,8 +26,14 @@ def traits(centroid_curves: DataFrame) -> DataFrame:
     return flagged.withColumn("vascular", ~F.col("noise") & ~F.col("irreversible") & ~F.col("background"))
 
 
-def best_in_k(found: DataFrame) -> DataFrame:
-    """Of each k the vascular cluster that is the highest of those that peak first."""
+def best_in_k(found: DataFrame, confetti: DataFrame | None = None, keep_confetti: bool = False) -> DataFrame:
+    """Of each k the vascular cluster that is the highest of those that peak first.
+
+    confetti (k, label, likely_confetti), from lattice.confetti: clusters that are likely scattered are left out, unless
+    keep_confetti. Without it no cluster is.
+    """
+    if confetti is not None and not keep_confetti:
+        found = found.join(confetti.where("likely_confetti").select("k", "label"), ["k", "label"], "left_anti")
     order = Window.partitionBy("k").orderBy("peak_index", F.desc("peak_value"), "label")
     return found.where("vascular").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
@@ -56,12 +62,17 @@ def stability(similar: DataFrame) -> DataFrame:
     return best.groupBy("k1", "label1").agg(F.avg("best").alias("stability"), F.sum("over").alias("overlapping"))
 
 
-def alternates(found: DataFrame, best: DataFrame) -> DataFrame:
-    """Of each k the highest vascular cluster that peaks one sample after the best and higher: a suggestion, never a change."""
-    b = best.select("k", F.col("peak_index").alias("best_index"), F.col("peak_value").alias("best_value"))
+def alternates(found: DataFrame, best: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of each k the highest vascular cluster that peaks one sample after the best, if it is higher and of fewer blobs: a suggestion, never a change.
+
+    sizes (k, label, blob, n) are lattice.blob_sizes of the clusters.
+    """
+    count = sizes.groupBy("k", "label").agg(F.count("*").alias("blobs"))
+    b = best.join(count, ["k", "label"]).select("k", F.col("blobs").alias("best_blobs"), F.col("peak_index").alias("best_index"), F.col("peak_value").alias("best_value"))
     near = found.where("vascular").join(b, "k").where((F.col("peak_index") == F.col("best_index") + 1) & (F.col("peak_value") > F.col("best_value")))
     order = Window.partitionBy("k").orderBy(F.desc("peak_value"), "label")
-    return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("k", "label", "peak_index", "peak_value")
+    top = near.withColumn("place", F.row_number().over(order)).where("place = 1").join(count, ["k", "label"])
+    return top.where("blobs < best_blobs").select("k", "label", "peak_index", "peak_value")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

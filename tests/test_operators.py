@@ -126,3 +126,25 @@ def test_starts_go_on_until_ten_fits_succeed(spark):
     found = kinetics.fit_decays(rows, failures=20).collect()
     assert [r["curve_id"] for r in found] == [1] * 10  # no decay comes near the other curve
     assert all(np.isfinite(r["parameters"]).all() and r["rms"] ** 2 <= 10 for r in found)
+
+
+TRAITS = "k int, label int, peak_index int, peak_value double, vascular boolean"
+
+
+def test_scattered_clusters_are_not_the_best(spark):
+    found = spark.createDataFrame([(6, 1, 2, 9.0, True), (6, 2, 3, 5.0, True)], TRAITS)
+    flags = spark.createDataFrame([(6, 1, True), (6, 2, False)], "k int, label int, likely_confetti boolean")
+    best = lambda **switch: [r["label"] for r in clusters.best_in_k(found, flags, **switch).collect()]
+    assert best() == [2] and best(keep_confetti=True) == [1]
+
+
+def test_an_alternate_has_fewer_blobs(spark):
+    found = spark.createDataFrame([(6, 1, 2, 5.0, True), (6, 2, 3, 9.0, True), (6, 3, 3, 8.0, True)], TRAITS)
+    best = clusters.best_in_k(found)
+
+    def labels(**blobs):
+        sizes = spark.createDataFrame([(6, int(i[1:]), b, 4) for i, n in blobs.items() for b in range(n)], "k int, label int, blob int, n int")
+        return [r["label"] for r in clusters.alternates(found, best, sizes).collect()]
+
+    assert labels(l1=3, l2=2, l3=1) == [2]
+    assert labels(l1=3, l2=3, l3=1) == []  # the highest alone is compared
