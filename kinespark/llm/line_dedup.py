@@ -93,18 +93,19 @@ def hashed_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
     return found.select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, runs: LineRuns | None = None, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, runs: LineRuns | None = None, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
     """The rows of docs with kept_text, n_lines (before dropping) and n_dropped added (replacing columns of these names).
 
     A key (keys()) of min_chars code points that at least min_docs documents hold loses all its lines, except in the
     largest id that holds it. docs come as batches (by a hash of the id); each adds its run to runs, and in the end the
-    lines are anti-joined with the runs' keys that lose lines there. A run that earlier calls have added counts as well.
+    lines are joined with the runs' keys that lose lines there. A run that earlier calls have added counts as well. A
+    call that is made again on lasting runs with the same name, docs and batches counts them once; without a name each call counts.
     A null or empty text has one empty line. Ids must be unique; rows with a null id keep all lines and count as no
     document. Columns named like those inside (h1, h2, key) don't clash. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     lines = stage(hashed_lines(docs.where(F.col(id_col).isNotNull()), min_chars, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines")
-    runs, call = runs or LineRuns(spark), uuid.uuid4().hex
+    runs, call = runs or LineRuns(spark), name or uuid.uuid4().hex
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i), f"{call}.{i}")
     frequent = stage(runs.merged().where(F.col("n_docs") >= min_docs), "frequent-lines")

@@ -319,3 +319,13 @@ def test_every_ordinary_piece_is_in_the_vocabulary():
             p = np.diff(lattices.cumulative[row], prepend=0)
             assert {n + 1: int(lattices.pieces[row, n]) for n in np.flatnonzero(p)} == {n: i if i < sentence_pieces.BYTES else lattices.none for n, i, _ in here}
             assert [p[n - 1] for n, _, _ in here] == pytest.approx([x[2] / forward[-1] for x in here], abs=1e-6)
+
+
+def test_lines_of_a_job_that_runs_again_count_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a line that two documents hold") for i in range(2)], "doc_id long, text string")
+    for _ in range(2):
+        runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"))
+        assert [r["n_dropped"] for r in line_dedup.dedup_lines(docs, 3, 20, runs, name="monday").collect()] == [0, 0]
+    later = docs.withColumn("doc_id", F.col("doc_id") + 10)
+    found = line_dedup.dedup_lines(later, 3, 20, line_dedup.LineRuns(spark, str(tmp_path / "runs")), name="tuesday").collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in found} == {10: 1, 11: 0}
