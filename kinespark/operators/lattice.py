@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.staging import scratch, stage
+
 
 def voxel_id(x: Column, y: Column, z: Column, nx: int, ny: int) -> Column:
     """The place of a voxel in the matrix: slices outermost, then x, then y."""
@@ -44,19 +43,6 @@ def center_of_mass(cells: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return cells.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"com_{c}") for c in "xyz"])
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df in the shared folder of checkpoints: iterations neither grow lineage nor depend on one executor's disk."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = f"{tempfile.gettempdir()}/kinespark-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def blobs(cells: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     """cells (keys, vox_id, x, y, z) with blob: the least vox_id among the voxels of the same keys that neighbours connect.
 
@@ -68,18 +54,22 @@ def blobs(cells: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     for c in "xyz":
         around = around.withColumn("d", F.explode(steps)).withColumn(c, F.col(c) + F.col("d")).drop("d")
     other = cells.select(*keys, F.col("vox_id").alias("near"), *"xyz")
-    edges = _written(around.join(other, [*keys, *"xyz"]).select(*keys, "vox_id", "near"))
-    labels = cells.select(*keys, "vox_id", F.col("vox_id").alias("blob"))
-    while True:
-        low = edges.join(labels.select(*keys, F.col("vox_id").alias("near"), "blob"), [*keys, "near"]).groupBy(*keys, "vox_id").agg(F.min("blob").alias("low"))
-        low = _written(low)
-        jump = low.select(*keys, F.col("vox_id").alias("low"), F.col("low").alias("lower"))
-        new = low.join(jump, [*keys, "low"], "left").select(*keys, "vox_id", F.least("low", F.coalesce("lower", "low")).alias("blob"))
-        new = _written(new)
-        changed = new.join(labels.withColumnRenamed("blob", "was"), [*keys, "vox_id"]).where(F.col("blob") != F.col("was")).limit(1).count()
-        labels = new
-        if not changed:
-            return cells.join(labels, [*keys, "vox_id"])
+    spark = cells.sparkSession
+    with scratch(spark):
+        edges = stage(around.join(other, [*keys, *"xyz"]).select(*keys, "vox_id", "near"), "edges")
+        labels = cells.select(*keys, "vox_id", F.col("vox_id").alias("blob"))
+        changed = True
+        while changed:
+            with scratch(spark):
+                low = edges.join(labels.select(*keys, F.col("vox_id").alias("near"), "blob"), [*keys, "near"]).groupBy(*keys, "vox_id").agg(F.min("blob").alias("low"))
+                low = stage(low, "low")
+                jump = low.select(*keys, F.col("vox_id").alias("low"), F.col("low").alias("lower"))
+                new = low.join(jump, [*keys, "low"], "left").select(*keys, "vox_id", F.least("low", F.coalesce("lower", "low")).alias("blob"))
+                new = stage(new, "blobs", keep=True)
+            changed = bool(new.join(labels.withColumnRenamed("blob", "was"), [*keys, "vox_id"]).where(F.col("blob") != F.col("was")).limit(1).count())
+            labels = new
+        labels = stage(labels, "labels", keep=True)
+    return cells.join(labels, [*keys, "vox_id"])
 
 
 def blob_sizes(found: DataFrame, keys: list[str]) -> DataFrame:
