@@ -1,17 +1,16 @@
-"""Shared pieces: tables in the shared folder, joins that stand hot keys, and joins chosen by a measured size."""
+"""Shared pieces: Arrow functions over texts, joins that stand hot keys, and joins chosen by a measured size."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinespark.staging import scratch, shared_dir, stage  # noqa: F401
+
 #: The most rows that may be broadcast as hot keys: a key is hot if it has at least 1 / HOT_KEYS of the rows.
 HOT_KEYS = 2000
 #: The most bytes that a join of checked size broadcasts.
@@ -20,31 +19,6 @@ BROADCAST_BYTES = 16 << 20
 BATCH_BYTES, _BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or, where that is unset, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinespark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    schema = df.schema
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """rows.mapInArrow(run, schema) in batches of BATCH_BYTES, as 10,000 texts can be too many to hold.
 
-    The limit is the session's setting, which is made smaller where it is larger. A worker that waits for its next task
-    keeps no memory that it has freed, as it shares the executor's with the JVM.
+    All Arrow functions of this subpackage go through here, so their batches are the same whatever ran before. The limit is
+    the session's setting and is read when the job runs, so it stays as it is made here. A worker that waits for its next
+    task keeps no memory that it has freed, as it shares the executor's with the JVM.
     """
 
     def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +50,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
-    """left joined with right, whose rows take row_bytes each: broadcast if right is counted to fit BROADCAST_BYTES, else by shuffle.
-
-    right should be staged, as it is counted first.
-    """
-    if right.count() * row_bytes <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+def joins_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """table, which should be staged, marked for broadcast if its rows of row_bytes each are counted to fit BROADCAST_BYTES."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
@@ -115,16 +85,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (u, v): root is the smallest node that links reach.
 
     Labels go over the links both ways, the smallest wins, then each label is replaced by its own label, until none
-    changes. Nodes with many links are pre-aggregated; each round is written to the shared folder.
+    changes. Nodes with many links are pre-aggregated; each round is written to the shared folder and the one before
+    deleted.
     """
-    both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct().where("u <> v"), "links")
-    labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")), "labels")
-    while True:
-        seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
-        lower = labels.join(seen, labels["node"] == seen["u"], "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
-        lower = stage(lower, "lower")
-        above = lower.select(F.col("node").alias("at"), F.col("new").alias("above"))
-        jumped = stage(lower.join(above, lower["new"] == above["at"], "left").select("node", F.least("new", F.coalesce("above", "new")).alias("root"), (F.col("root") != F.least("new", F.coalesce("above", "new"))).alias("changed")), "jumped")
-        labels = jumped.select("node", "root")
-        if not jumped.where("changed").limit(1).count():
-            return labels
+    spark = edges.sparkSession
+    with scratch(spark):
+        both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct().where("u <> v"), "links")
+        labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")), "labels")
+        return stage(_settled(spark, both, labels), "roots", keep=True)
+
+
+def _settled(spark: SparkSession, both: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels once a round changes none; a round's tables but its labels go at its end."""
+    changed = True
+    while changed:
+        with scratch(spark):
+            seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("low"))
+            lower = labels.join(seen, labels["node"] == seen["u"], "left").select("node", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
+            lower = stage(lower, "lower")
+            above = lower.select(F.col("node").alias("at"), F.col("new").alias("above"))
+            new = F.least("new", F.coalesce("above", "new"))
+            labels = stage(lower.join(above, lower["new"] == above["at"], "left").select("node", new.alias("root"), (F.col("root") != new).alias("changed")), "jumped", keep=True)
+        changed = bool(labels.where("changed").limit(1).count())
+        labels = labels.select("node", "root")
+    return labels

@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
-from kinespark.llm._common import attach_groups, attach_lists, components, stage
+from kinespark.llm._common import attach_groups, attach_lists, components, map_texts, scratch, stage
 
 #: Members that are compared with a pivot in one task; a pivot's set goes to as many tasks as its region needs.
 REGION_ROWS = 2000
-#: Shingles, about, of the shell documents and of the members that one task compares; documents, where it compares sketches.
-PART_SHINGLES, PART_DOCUMENTS = 1_000_000, 4000
-#: Cells of a sketch: each has the parity of the number of shingles that fall in it, so cells that differ in two sketches
-#: can't be more than the elements that are in one set only. A pair with too many is out; the others are compared in full.
+#: Shingles, about, of the shell documents and of the members that one task compares; cells, where it compares sketches.
+PART_SHINGLES, PART_CELLS = 1_000_000, 8_000_000
+#: Members whose sketches are compared with a pivot's in one task.
+PART_MEMBERS = 4000
+#: Cells of a sketch, at least: each has the parity of the number of shingles that fall in it, so cells that differ in two
+#: sketches can't be more than the elements that are in one set only. A pair with too many is out; the others are compared
+#: in full. A larger set has as many cells as shingles, about, else its sketch would tell it from none.
 CELLS = 2048
 
 
@@ -83,7 +86,17 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).tobytes()
+    cells = max(CELLS, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (64-bit words along the last axis) as those of so many words: cells that fall together add their parities."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -99,7 +112,7 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keys = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_shingles", "set_key", "sketch", "signatures"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary, signatures array<long>")
+    return docs.select("id", "text").transform(map_texts, run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary, signatures array<long>")
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -121,7 +134,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(data, bounds, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary()), batch.column(2).slice(at, len(sets))], ["id", "shingles", "to"])
 
-    sets = attach_lists(docs.select("id", "text"), wanted, "id", "to", 24).select("id", "text", "to").mapInArrow(to_sets, f"id {kind}, shingles binary, to array<struct<pivot:{kind},part:int,member:boolean>>")
+    sets = attach_lists(docs.select("id", "text"), wanted, "id", "to", 24).select("id", "text", "to").transform(map_texts, to_sets, f"id {kind}, shingles binary, to array<struct<pivot:{kind},part:int,member:boolean>>")
     rows = sets.select("id", "shingles", F.explode("to").alias("to")).select("to.pivot", "to.part", "to.member", "id", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +156,13 @@ def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids.take(rows), *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2, 3)]], ["pivot", "member", "common", "pivot_size", "member_size"])
 
     dealt = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
-    return dealt.mapInArrow(compare, f"pivot {kind}, member {kind}, common long, pivot_size long, member_size long")
+    return dealt.transform(map_texts, compare, f"pivot {kind}, member {kind}, common long, pivot_size long, member_size long")
 
 
 def _differing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """pairs (pivot, member, pivot_size, member_size), staged, with apart: the cells in which their sketches differ."""
     kind = pairs.schema["pivot"].dataType.simpleString()
-    parts = stage(pairs.groupBy("pivot").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / PART_DOCUMENTS).cast("int")), "sketch-regions")
+    parts = stage(pairs.groupBy("pivot").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / PART_MEMBERS).cast("int")), "sketch-regions")
     placed = attach_groups(pairs, parts, ["pivot"], "members")
     one = placed.join(sketches, placed["member"] == sketches["id"]).select("pivot", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("listed"), "member", "pivot_size", "member_size", "sketch")
     none = F.lit(0).cast("long")
@@ -162,14 +175,15 @@ def _differing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             for i, raw in enumerate(batch.column(6)):
                 bits = np.frombuffer(raw.as_buffer(), np.uint64)
                 if listed[i]:
-                    apart[i] = np.bitwise_count(bits ^ own).sum()
+                    words_in_both = min(len(bits), len(own))
+                    apart[i] = np.bitwise_count(folded(bits, words_in_both) ^ folded(own, words_in_both)).sum()
                 else:
                     own = bits.copy()
             keep = batch.column(2)
             yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(keep) for i in (0, 3, 4, 5)], pa.array(apart).filter(keep)], ["pivot", "member", "pivot_size", "member_size", "apart"])
 
     dealt = one.unionByName(own).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "listed")
-    return dealt.mapInArrow(compare, f"pivot {kind}, member {kind}, pivot_size long, member_size long, apart long")
+    return dealt.transform(map_texts, compare, f"pivot {kind}, member {kind}, pivot_size long, member_size long, apart long")
 
 
 def _dealt(members: DataFrame, load: str, most: int, percent: int) -> DataFrame:
@@ -194,31 +208,38 @@ def _dealt(members: DataFrame, load: str, most: int, percent: int) -> DataFrame:
 def _near_shell(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(pivot, id): the documents of regions whose sketches allow a link with another root, a shell document being one of the two."""
     kind = members.schema["id"].dataType.simpleString()
-    dealt = _dealt(members.withColumn("one", F.lit(1)), "one", PART_DOCUMENTS, percent).join(sketches, "id").select("pivot", "part", "block", "member", "id", "size", "root", "sketch")
+    cells = F.greatest(F.col("size"), F.lit(CELLS))
+    dealt = _dealt(members.withColumn("cells", cells), "cells", PART_CELLS, percent).join(sketches, "id").select("pivot", "part", "block", "member", "id", "size", "root", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, shells, table = None, [], None
+        place, shells, tables = None, [], None
         for batch in batches:
             found = set()
             for pivot, part, block, member, ident, size, root, raw in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if place != (pivot, part, block):
-                    place, shells, table = (pivot, part, block), [], None
+                    place, shells, tables = (pivot, part, block), [], None
                 if not member:
                     shells.append((ident, size, root, raw))
                     continue
-                if table is None:
-                    ids, sizes, roots, raws = zip(*shells, strict=True) if shells else ((), (), (), ())
-                    table = np.array(ids), np.array(sizes, np.int64), np.array(roots), np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), CELLS // 64)
-                ids, sizes, roots, bits = table
-                apart = np.bitwise_count(bits ^ np.frombuffer(raw, np.uint64)).sum(1).astype(np.int64)
-                near = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + size)) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (roots != root))
-                if len(near):
-                    found.add((pivot, ident))
-                    found.update((pivot, x) for x in ids[near].tolist())
+                if tables is None:
+                    tables = {}
+                    for length in {len(x[3]) for x in shells}:
+                        ids, sizes, roots, raws = zip(*[x for x in shells if len(x[3]) == length], strict=True)
+                        tables[length // 8] = np.array(ids), np.array(sizes, np.int64), np.array(roots), np.frombuffer(b"".join(raws), np.uint64).reshape(len(raws), -1)
+                own = np.frombuffer(raw, np.uint64)
+                for length, (ids, sizes, roots, bits) in tables.items():
+                    if not len(own) <= 2 * length <= 4 * len(own):  # sets of such sizes aren't linked
+                        continue
+                    least = min(length, len(own))
+                    apart = np.bitwise_count(folded(bits, least) ^ folded(own, least)).sum(1).astype(np.int64)
+                    near = np.flatnonzero(((100 + percent) * apart <= (100 - percent) * (sizes + size)) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (roots != root))
+                    if len(near):
+                        found.add((pivot, ident))
+                        found.update((pivot, x) for x in ids[near].tolist())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(f).type) for i, f in ((0, 0), (1, 4))], ["pivot", "id"])
 
-    return dealt.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member").mapInArrow(compare, f"pivot {kind}, id {kind}").distinct()
+    return dealt.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member").transform(map_texts, compare, f"pivot {kind}, id {kind}").distinct()
 
 
 def _judged(compared: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +264,7 @@ def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
                 sets = [s.tobytes() for s in shingle_sets(data, bounds, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary()), batch.column(2).slice(at, len(sets))], ["id", "shingles", "to"])
 
-    sets = attach_lists(docs.select("id", "text"), wanted, "id", "to", 48).select("id", "text", "to").mapInArrow(to_sets, f"id {kind}, shingles binary, to array<struct<{types}>>")
+    sets = attach_lists(docs.select("id", "text"), wanted, "id", "to", 48).select("id", "text", "to").transform(map_texts, to_sets, f"id {kind}, shingles binary, to array<struct<{types}>>")
     rows = sets.select("id", "shingles", F.explode("to").alias("to")).select(*[f"to.{c}" for c in to], "id", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +298,7 @@ def _shell_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.schema.field(5).type) for i in (0, 1)], ["u", "v"])
 
     dealt = rows.repartition("pivot", "part", "block").sortWithinPartitions("pivot", "part", "block", "member")
-    return dealt.mapInArrow(compare, f"u {kind}, v {kind}")
+    return dealt.transform(map_texts, compare, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +311,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        with scratch(docs.sparkSession):
+            described, placed, seeded, sketches = _regions(rows, n, percent)
+        roots = _roots(rows, seeded, sketches, n, percent)
+        sized = placed.groupBy("first_id").agg(F.first("copies").alias("copies"))
+        named = sized.join(roots, sized["first_id"] == roots["node"], "left").select("first_id", "copies", F.coalesce("root", "first_id").alias("component"))
+        ends = attach_groups(placed.select("id", "first_id"), stage(named, "class-roots"), ["first_id"], "copies").select("id", "component").distinct()
+        out = described.join(ends, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        out = stage(out, "components", keep=True)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+
+
+def _regions(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, n_shingles) of all rows, (id, first_id, copies) of classes of equal sets, the regions' members, and sketches.
+
+    Members are rows (signature, id, size, holders, pivot, pivot_size). A signature has a row a document at most, and a
+    document some hundred signatures, so even one that all documents hold is a small part of the rows.
+    """
     described = stage(_described(rows, n, percent), "described")
     real = described.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage(real.groupBy("set_key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")), "set-classes")
-    placed = stage(attach_groups(real.select("id", "set_key"), classes, ["set_key"], "copies").select("id", "first_id", "copies"), "set-members")
+    placed = stage(attach_groups(real.select("id", "set_key"), classes, ["set_key"], "copies").select("id", "first_id", "copies"), "set-members", keep=True)
     copies = stage(placed.where(F.col("id") != F.col("first_id")).select("id", F.array().cast("array<int>").alias("none")), "set-copies")
     single = attach_lists(real.select("id", "n_shingles", "signatures"), copies, "id", "none", 0, "left_anti")
     signed = single.select("id", F.col("n_shingles").cast("int").alias("size"), F.explode("signatures").alias("signature"))
@@ -302,13 +341,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # The most central: the original of many near copies shares more of its signatures than they do among each other.
     central = shared.groupBy("id").agg(F.sum("holders").alias("degree"))
     seeded = shared.join(central, "id").withColumn("first", F.max(F.struct("degree", "id", "size")).over(by_signature))
-    seeded = stage(seeded.select("signature", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded")
+    seeded = stage(seeded.select("signature", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded", keep=True)
+    needed = seeded.select("id").union(seeded.select("pivot")).distinct()
+    sketches = stage(described.select("id", "sketch").join(needed, "id", "left_semi").dropDuplicates(["id"]), "sketches", keep=True)
+    return stage(described.select("id", "n_shingles"), "set-sizes", keep=True), placed, seeded, sketches
+
+
+def _roots(rows: DataFrame, seeded: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+    """Each linked document's root (node, root)."""
+    by_signature = Window.partitionBy("signature")
     # A set much smaller than the other can't have the similarity; of such a pair no distance is known.
     fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
     pairs = seeded.where(fits).groupBy("pivot", F.col("id").alias("member")).agg(F.first("pivot_size").cast("long").alias("pivot_size"), F.first("size").cast("long").alias("member_size"))
     pairs = stage(pairs, "pairs")
-    needed = seeded.select("id").union(seeded.select("pivot")).distinct()
-    sketches = stage(described.select("id", "sketch").join(needed, "id", "left_semi").dropDuplicates(["id"]), "sketches")
     apart = stage(_differing(pairs, sketches), "apart")
     both, least = F.col("pivot_size") + F.col("member_size"), F.col("apart")
     near = apart.where((100 + percent) * least <= (100 - percent) * both)
@@ -325,9 +370,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     members = stage(members.join(_near_shell(members, sketches, percent), ["pivot", "id"], "left_semi"), "near-members")
     more = stage(_shell_links(rows, members, n, percent), "shell-links")
     if more.limit(1).count():
-        roots = components(links.union(more))
-    sized = placed.groupBy("first_id").agg(F.first("copies").alias("copies"))
-    named = sized.join(roots, sized["first_id"] == roots["node"], "left").select("first_id", "copies", F.coalesce("root", "first_id").alias("component"))
-    ends = attach_groups(placed.select("id", "first_id"), stage(named, "class-roots"), ["first_id"], "copies").select("id", "component").distinct()
-    out = described.select("id", "n_shingles").join(ends, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        return components(links.union(more))
+    return roots

@@ -5,35 +5,42 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from kinespark.llm._common import attach_groups, lower_ascii, shared_dir, stage
+from kinespark.llm._common import attach_groups, lower_ascii
+from kinespark.staging import delete, scratch, stage, stage_dir
 
 #: The white space that is stripped at both ends of a line.
 SPACE = " \t\n\v\f\r"
-#: Runs of a level that are merged into one of the next level.
+#: Batches of a level whose runs are merged into one of the next level.
 FANOUT = 4
 
 
-def keys(text: Column, min_chars: int) -> Column:
-    """The distinct keys of a text's lines, of min_chars code points at least: lines stripped, A-Z lower-cased."""
-    lines = F.split(lower_ascii(text), "\n", -1)
-    return F.array_distinct(F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE))), lambda x: F.length(x) >= min_chars))
+def hashed_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h1, h2, places) of each document's distinct keys of min_chars code points at least: lines stripped, A-Z lower-cased."""
+    lines = F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)
+    found = docs.select(F.col(id_col).alias("id"), F.posexplode(lines).alias("place", "line"))
+    keyed = found.select("id", "place", F.btrim("line", F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
+    hashed = keyed.select("id", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    # A document's lines stand in one task, so a line that it repeats is one row before the shuffle.
+    return hashed.groupBy("id", "h1", "h2").agg(F.collect_list("place").alias("places"))
 
 
 class LineRuns:
-    """Runs of (h1, h2, n_docs, keep_id), each with a key once, sorted by key within files that are ranges of keys.
+    """Levelled runs of (h1, h2, n_docs, keep_id), each with a key once, sorted by key within files that are hash ranges of keys.
 
-    A key stands as two 64-bit hashes, 128 bits together. Each batch adds a run at level 0; once a level has FANOUT runs,
-    they are merged into one run of the next level, so a key is found in a number of runs that grows with the logarithm of
-    the batches. The list of live runs is a small table of names, written anew after each change; a job that fails in
-    between leaves the former list valid.
+    A key stands as two 64-bit hashes, 128 bits together. Each batch merge-anti-joins the runs: the keys that no run has
+    become a run of new keys at level 0, so that all runs of new keys together have each key once. The others become a run
+    of repeats, which raise the counts of keys known before. Once a level has FANOUT batches, their runs are merged into
+    one run of each kind at the next level, so the number of runs grows with the logarithm of the batches. The list of live
+    runs is a small table of names, written anew after each change; a job that fails in between leaves the former list valid.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.path = path or f"{stage_dir(spark)}/line-runs-{uuid.uuid4().hex}"
         self.live: list[tuple[int, str, str]] = self._read()
 
     def _read(self) -> list[tuple[int, str, str]]:
@@ -50,75 +57,88 @@ class LineRuns:
         version = max([int(x[1].split("-")[-1]) for x in live], default=0)
         line = json.dumps([f"{version:012d}-{uuid.uuid4().hex}", live])
         self.spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/lists")
+        gone = {x[1] for x in self.live} - {x[1] for x in live}
         self.live = live
+        for name in gone:
+            delete(self.spark, f"{self.path}/{name}")
 
-    def _write(self, counted: DataFrame, level: int, batch: str) -> tuple[int, str, str]:
-        number = 1 + max([int(x[1].split("-")[-1]) for x in self.live], default=0)
-        name = f"level{level}-{number}"
-        counted.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def _write(self, new: DataFrame, repeats: DataFrame | None, level: int, batch: str) -> tuple[int, str, str]:
+        name = f"level{level}-{1 + max([int(x[1].split('-')[-1]) for x in self.live], default=0)}"
+        for kind, rows in (("new", new), ("repeats", repeats if repeats is not None else new.limit(0))):
+            rows.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(f"{self.path}/{name}/{kind}")
         return level, name, batch
 
-    def rows(self) -> DataFrame | None:
-        """All live runs' rows; a key may be in several runs."""
-        return self.spark.read.parquet(*[f"{self.path}/{name}" for _, name, _ in self.live]) if self.live else None
+    def rows(self, kind: str, names: list[str] | None = None) -> DataFrame | None:
+        """The rows of live runs: of kind new, where each key stands once over all runs, or of repeats."""
+        names = [name for _, name, _ in self.live] if names is None else names
+        return self.spark.read.schema(self._schema()).parquet(*[f"{self.path}/{name}/{kind}" for name in names]) if names else None
+
+    def _schema(self) -> StructType:
+        return self.spark.read.parquet(f"{self.path}/{self.live[0][1]}/new").schema
 
     def merged(self) -> DataFrame | None:
-        """Each key once, over all live runs."""
-        rows = self.rows()
-        return None if rows is None else rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
+        """Each key once, with its count and largest id over all live runs."""
+        return _summed(self.rows("new").unionByName(self.rows("repeats"))) if self.live else None
 
     def add(self, lines: DataFrame, batch: str) -> None:
-        """Adds the run of a batch of lines (id, h1, h2; a key once a document), then merges levels that are full."""
+        """Adds a batch of lines (id, h1, h2; a key once a document) under a name, unless a batch of that name is in already; merges levels that are full."""
         if any(batch in b.split("+") for _, _, b in self.live):
             return
-        counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id"))
-        self._list([*self.live, self._write(counted, 0, batch)])
+        with scratch(self.spark):
+            counted = stage(lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keep_id")), "batch-keys")
+            repeats = counted.join(self.rows("new").select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi") if self.live else None
+            run = self._write(self.unseen(counted), repeats, 0, batch)
+        self._list([*self.live, run])
         level = 0
         while len(full := [x for x in self.live if x[0] == level]) >= self.fanout:
-            rows = self.spark.read.parquet(*[f"{self.path}/{name}" for _, name, _ in full])
-            one = rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
-            run = self._write(one, level + 1, "+".join(b for _, _, b in full))
+            names = [name for _, name, _ in full]
+            run = self._write(self.rows("new", names), _summed(self.rows("repeats", names)), level + 1, "+".join(b for _, _, b in full))
             self._list([*[x for x in self.live if x[0] != level], run])
             level += 1
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Of a new batch's lines (id, h1, h2) those that no run has: a merge anti-join."""
-        rows = self.rows()
-        return lines if rows is None else lines.join(rows.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        """Of a batch's rows (h1, h2, ...) those whose key no run has: a merge anti-join."""
+        known = self.rows("new")
+        return lines if known is None else lines.join(known.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
 
 
-def hashed_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2) of each document's distinct keys."""
-    found = docs.select(F.col(id_col).alias("id"), F.explode(keys(F.coalesce(F.col(text_col), F.lit("")), min_chars)).alias("key"))
-    return found.select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, runs: LineRuns | None = None, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, runs: LineRuns | None = None, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", name: str = "documents") -> DataFrame:
     """The rows of docs with kept_text, n_lines (before dropping) and n_dropped added (replacing columns of these names).
 
-    A key (keys()) of min_chars code points that at least min_docs documents hold loses all its lines, except in the
-    largest id that holds it. docs come as batches (by a hash of the id); each adds its run to runs, and in the end the
-    lines are joined with the runs' keys that lose lines there. A run that earlier calls have added counts as well. A
-    call that is made again on lasting runs with the same name, docs and batches counts them once; without a name each call counts.
-    A null or empty text has one empty line. Ids must be unique; rows with a null id keep all lines and count as no
-    document. Columns named like those inside (h1, h2, key) don't clash. An empty table gives an empty result.
+    A key (a line stripped of ASCII white space, A-Z lower-cased) of min_chars code points that at least min_docs documents
+    hold loses all its lines, except in the largest id that holds it. docs come as batches (by a hash of the id); each
+    merge-anti-joins the runs and adds its own. What earlier calls have added to lasting runs counts as well; there a call
+    is known by its name, and one made again with the same name, docs and batches, after a failure say, counts once.
+    A null or empty text has one empty line. Ids must be unique (lines of rows that share an id count as one document's);
+    rows with a null id keep all lines and count as no document. Very long texts and documents of very many lines are
+    handled in time linear in their lines. Columns named like those inside (h1, h2, id, key) don't clash. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
-    lines = stage(hashed_lines(docs.where(F.col(id_col).isNotNull()), min_chars, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines")
-    runs, call = runs or LineRuns(spark), name or uuid.uuid4().hex
-    for i in range(batches):
-        runs.add(lines.where(F.col("batch") == i), f"{call}.{i}")
-    frequent = stage(runs.merged().where(F.col("n_docs") >= min_docs), "frequent-lines")
-    lost = attach_groups(lines.select("id", "h1", "h2"), frequent, ["h1", "h2"], "n_docs").where(F.col("id") != F.col("keep_id"))
-    # A document's lost keys are a part of its own lines, so the arrays are no larger than the texts.
-    by_doc = stage(lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")), "lost-lines")
+    with scratch(spark):
+        lines = stage(hashed_lines(docs.where(F.col(id_col).isNotNull()), min_chars, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "lines")
+        runs = runs or LineRuns(spark)
+        for i in range(batches):
+            runs.add(lines.where(F.col("batch") == i).select("id", "h1", "h2"), f"{name}.{i}")
+        frequent = stage(runs.merged().where(F.col("n_docs") >= min_docs), "frequent-lines")
+        lost = attach_groups(lines.select("id", "h1", "h2", "places"), frequent, ["h1", "h2"], "n_docs").where(F.col("id") != F.col("keep_id"))
+        # A document's lost places are a part of its lines, so the arrays are no larger than the texts.
+        by_doc = stage(lost.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("lost")), "lost-lines", keep=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    key = lambda x: F.btrim(lower_ascii(x), F.lit(SPACE))
-    gone = lambda x: F.array_contains(F.col("__lost"), F.struct(F.xxhash64(key(x)).alias("h1"), F.xxhash64(F.lit("second"), key(x)).alias("h2")))
     joined = docs.select(*rest).join(by_doc.select(F.col("id").alias("__id"), F.col("lost").alias("__lost")), F.col(id_col) == F.col("__id"), "left")
-    split = F.split(text, "\n", -1)
-    kept = F.when(F.col("__lost").isNull(), split).otherwise(F.filter(split, lambda x: (F.length(key(x)) < min_chars) | ~gone(x)))
-    return joined.select(*rest, split.alias("__all"), kept.alias("__kept")).select(
-        *rest, F.array_join("__kept", "\n").alias("kept_text"), F.size("__all").cast("long").alias("n_lines"), (F.size("__all") - F.size("__kept")).cast("long").alias("n_dropped")
+    split = joined.select(*rest, "__lost", F.split(text, "\n", -1).alias("__all"))
+    # array_except hashes the places, so this is linear; places beyond a text's lines come from rows that share its id.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__lost")
+    kept = split.withColumn("__places", F.when(F.col("__lost").isNotNull(), places))
+    line = F.transform("__places", lambda i: F.get("__all", i))
+    return kept.select(
+        *rest,
+        F.when(F.col("__places").isNull(), text).otherwise(F.array_join(line, "\n")).alias("kept_text"),
+        F.size("__all").cast("long").alias("n_lines"),
+        F.when(F.col("__places").isNull(), F.lit(0)).otherwise(F.size("__all") - F.size("__places")).cast("long").alias("n_dropped"),
     )
