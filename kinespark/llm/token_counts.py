@@ -17,6 +17,7 @@ from kinespark.llm._common import map_texts
 #: Bytes of one call of the tokenizer, and of the stretch of a long text that is split into words at once.
 BATCH_BYTES = 1 << 18
 STRETCH_BYTES = 4 << 20
+SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 #: Words longer than this aren't remembered; so many are.
 LONG_WORD, REMEMBERED = 64, 1_000_000
 
@@ -45,14 +46,15 @@ def _encode(tokenizer, texts: list[bytes]) -> Iterator[int]:
 
 
 def _stretches(text: bytes) -> Iterator[bytes]:
-    """The text in stretches of about STRETCH_BYTES that end before white space."""
+    """The text in stretches of STRETCH_BYTES at most that end before white space; a word that is longer is a stretch of its own."""
     at = 0
-    while at < len(text):
-        to = at + STRETCH_BYTES
-        while to < len(text) and text[to] not in b" \t\n\v\f\r":
-            to += 1
+    while len(text) - at > STRETCH_BYTES:
+        to = max(text.rfind(c, at + 1, at + STRETCH_BYTES) for c in SPACES)
+        if to < 0:
+            to = min((x for c in SPACES if (x := text.find(c, at + STRETCH_BYTES)) >= 0), default=len(text))
         yield text[at:to]
         at = to
+    yield text[at:]
 
 
 def lengths(path: str, texts: list[bytes]) -> list[int]:
@@ -60,23 +62,22 @@ def lengths(path: str, texts: list[bytes]) -> list[int]:
 
     Each distinct word is encoded once and its count remembered by the worker, up to REMEMBERED words.
     """
+    if len(texts) == 1 and len(texts[0]) > STRETCH_BYTES:
+        return [sum(_counted(path, [stretch])[0] for stretch in _stretches(texts[0]))]
+    return _counted(path, texts)
+
+
+def _counted(path: str, texts: list[bytes]) -> list[int]:
     tokenizer, known = _tokenizer(path)
-    out = [0] * len(texts)
-    for i, text in enumerate(texts):
-        if len(text) > STRETCH_BYTES:
-            out[i] = sum(sum(lengths(path, [stretch])) for stretch in _stretches(text))
-    short = [(i, text.split()) for i, text in enumerate(texts) if len(text) <= STRETCH_BYTES]
-    wanted = set()
-    for _, found in short:
-        wanted.update(found)
+    found = [text.split() for text in texts]
+    wanted = set().union(*found)
     new = [w for w in wanted if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(wanted)
     counts = dict(zip(new, _encode(tokenizer, new), strict=True))
     known.update(counts)
-    for i, found in short:
-        out[i] = sum(map(known.__getitem__, found))
+    out = [sum(map(known.__getitem__, x)) for x in found]
     for w in counts:
         if len(w) > LONG_WORD:
             del known[w]
@@ -87,7 +88,8 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col:
     """One row per row of docs: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     tokenizer_path names a tokenizers .json whose tokenizer drops white space (its normaliser and pre-tokenizer keep
-    nothing across white space); texts are then split safely at any ASCII white space. A null text counts as empty.
+    nothing across white space); texts are then split safely at any ASCII white space, very long ones in stretches of
+    STRETCH_BYTES. A single word goes to the library whole, however long. A null text counts as empty.
     Special strings inside texts are handled as the library does by default. Ids may repeat or be null. Other columns are
     not read. An empty table gives an empty result.
     """
@@ -95,6 +97,7 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_tokens, n_bytes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            # A text over the limit of a group is a group of its own, so lengths() has it alone.
             for at, data, bounds in words.groups(batch.column(1)):
                 raw = data.tobytes()
                 n_tokens[at : at + len(bounds) - 1] = lengths(tokenizer_path, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE to the powers 0 to n - 1, and their inverses modulo 2^64."""
     base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
@@ -72,16 +72,23 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z taken as a-z if lower."""
+    """A 64-bit hash of each word, with A-Z taken as a-z if lower. Words of any length take memory for GROUP_BYTES only."""
     out, letters, at = np.zeros(len(starts), np.uint64), _LOWER if lower else _LETTERS, 0
+    power, inverse = _powers(GROUP_BYTES)
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + GROUP_BYTES, "right")))
-        first, n = starts[at], int(ends[to - 1] - starts[at])
-        power, inverse = _powers(1 << max(21, (n - 1).bit_length()))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters[data[first : first + n]] * power[:n], out=sums[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _STEP)
+        first, n = int(starts[at]), int(ends[to - 1] - starts[at])
+        if n > GROUP_BYTES:  # one long word: the same sum, a stretch at a time
+            total, step = 0, pow(_BASE, GROUP_BYTES, 1 << 64)
+            for k, low in enumerate(range(first, first + n, GROUP_BYTES)):
+                part = letters[data[low : min(low + GROUP_BYTES, first + n)]]
+                total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(step, k, 1 << 64)
+            out[at] = mix(np.array([total % (1 << 64)], np.uint64) + np.array([n], np.uint64) * _STEP)[0]
+        else:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(letters[data[first : first + n]] * power[:n], out=sums[1:])
+            s, e = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _STEP)
         at = to
     return out
 
