@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm import words
-from kinespark.llm._common import attach_groups, map_texts, stage
+from kinespark.llm._common import attach_groups, map_texts, scratch, stage
 
 #: The most labelled rows that the document classifier is fitted on, chosen by a hash. Nothing else is bounded.
 SAMPLE_ROWS = 20_000
@@ -121,25 +121,25 @@ def _strength(mean: Column, between: Column) -> Column:
     return F.least(F.greatest(mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(LEAST_PRIOR)), F.lit(MOST_PRIOR))
 
 
-def site_rates(paths: DataFrame) -> DataFrame:
-    """Posterior means of the rate of good documents, for paths (host, path, n, good: the sum of evidence).
+def site_sums(paths: DataFrame) -> DataFrame:
+    """paths (host, path, n, p_sum, good_sum) with host_n, host_good, all_n, all_good, host_prior, path_prior.
 
-    All documents give the global rate; the spread of hosts around it gives the strength of the global prior of a host;
-    the spread of paths around their hosts, pooled, that of a host's prior of a path. Spreads are by moments, less what
-    chance alone gives.
+    The spread of hosts around the global rate gives the strength of a host's prior; the spread of paths around their
+    hosts, pooled, that of a path's. Spreads are by moments of the classifier's probabilities, less what chance alone gives;
+    labels don't enter them.
     """
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    share, rate = F.col("host_good") / F.col("host_n"), F.col("all_good") / F.col("all_n")
-    # One row of totals; joined to groups, of which there are far fewer than documents.
-    total = hosts.agg(F.coalesce(F.sum("host_n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("host_good"), F.lit(0.0)).alias("all_good"))
-    placed = hosts.crossJoin(F.broadcast(total)).withColumn("rate", rate)
-    spread = placed.agg(F.sum(F.col("host_n") * (share - F.col("rate")) ** 2 - F.col("rate") * (1 - F.col("rate"))).alias("x"), F.sum("host_n").alias("y"))
-    shrunk = placed.crossJoin(F.broadcast(spread)).withColumn("host_prior", _strength(F.col("rate"), F.col("x") / F.col("y")))
-    shrunk = shrunk.withColumn("host_rate", (F.col("host_prior") * F.col("rate") + F.col("host_good")) / (F.col("host_prior") + F.col("host_n"))).select("host", "rate", "host_prior", "host_rate")
-    inner = paths.join(shrunk, paths["host"].eqNullSafe(shrunk["host"])).select(paths["*"], "rate", "host_prior", "host_rate")
-    own = F.col("good") / F.col("n")
-    within = inner.agg(F.sum(F.col("n") * (own - F.col("host_rate")) ** 2 - F.col("host_rate") * (1 - F.col("host_rate"))).alias("x"), F.sum("n").alias("y"))
-    return inner.crossJoin(F.broadcast(within)).withColumn("path_prior", _strength(F.col("rate"), F.col("x") / F.col("y"))).drop("x", "y")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("p_sum").alias("host_p"), F.sum("good_sum").alias("host_good"))
+    # Totals are one row; joined to groups, of which there are far fewer than documents.
+    total = hosts.agg(F.coalesce(F.sum("host_n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("host_p"), F.lit(0.0)).alias("all_p"), F.coalesce(F.sum("host_good"), F.lit(0.0)).alias("all_good"))
+    placed = hosts.crossJoin(F.broadcast(total)).withColumn("rate", F.col("all_p") / F.col("all_n"))
+    chance = lambda rate: rate * (1 - rate)
+    spread = placed.agg(F.sum(F.col("host_n") * (F.col("host_p") / F.col("host_n") - F.col("rate")) ** 2 - chance(F.col("rate"))).alias("x"), F.sum("host_n").alias("y"))
+    shrunk = placed.crossJoin(F.broadcast(spread)).withColumn("host_prior", _strength(F.col("rate"), F.col("x") / F.col("y"))).drop("x", "y")
+    shrunk = shrunk.withColumn("host_rate", (F.col("host_prior") * F.col("rate") + F.col("host_p")) / (F.col("host_prior") + F.col("host_n")))
+    inner = paths.join(shrunk, "host")
+    within = inner.agg(F.sum(F.col("n") * (F.col("p_sum") / F.col("n") - F.col("host_rate")) ** 2 - chance(F.col("host_rate"))).alias("x"), F.sum("n").alias("y"))
+    inner = inner.crossJoin(F.broadcast(within)).withColumn("path_prior", _strength(F.col("rate"), F.col("x") / F.col("y")))
+    return inner.select("host", "path", "n", "good_sum", "host_n", "host_good", "all_n", "all_good", "host_prior", "path_prior")
 
 
 def classify(docs: DataFrame, classifier: DocumentClassifier, labels: DataFrame | None = None, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -147,10 +147,11 @@ def classify(docs: DataFrame, classifier: DocumentClassifier, labels: DataFrame
 
     host and path (default: source, and source with lang) are the levels of a site; null is a site of its own. A site's
     evidence is the sum of its documents' probabilities, or labels where there are any. A document's posterior adds to
-    its log-odds how much better or worse than the global rate its site is without the document itself. Documents with a
-    label are judged by the classifier all the same. A text without words has evidence by the features of an empty text.
-    Rows with equal or null ids are judged each by itself. Other columns are not read. An empty table gives an empty
-    result.
+    its log-odds how much better or worse than the global rate its site is, all three levels without the document itself:
+    given the classifier, its own label never changes its row. Of a table's only document the global rate is one half.
+    Documents with a label are judged by the classifier all the same. A text without words has evidence by the features of
+    an empty text. Rows with equal or null ids are judged each by itself; of labels that repeat an id the least counts.
+    Other columns are not read. Very long texts are read whole. An empty table gives an empty result.
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
@@ -172,12 +173,15 @@ def classify(docs: DataFrame, classifier: DocumentClassifier, labels: DataFrame
         judged = judged.withColumn("good", F.col("p"))
     # A null host or path is told apart from an empty one by a leading mark.
     marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    judged = stage(judged.select("id", marked("host").alias("host"), marked("path").alias("path"), "odds", "p", "good"), "judged")
-    paths = stage(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good_sum")), "sites")
-    sites = stage(site_rates(paths.withColumnRenamed("good_sum", "good")).withColumnRenamed("good", "good_sum"), "site-rates")
+    with scratch(docs.sparkSession):
+        judged = stage(judged.select("id", marked("host").alias("host"), marked("path").alias("path"), "odds", "p", "good"), "judged", keep=True)
+        paths = stage(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("p_sum"), F.sum("good").alias("good_sum")), "sites")
+        sites = stage(site_sums(paths), "site-sums", keep=True)
     joined = attach_groups(judged, sites, ["host", "path"], "n")
-    rest = (F.col("path_prior") * F.col("host_rate") + F.col("good_sum") - F.col("good")) / (F.col("path_prior") + F.col("n") - 1)
+    shrunk = lambda prior, rate, good, n: (F.col(prior) * F.col(rate) + F.col(good) - F.col("good")) / (F.col(prior) + F.col(n) - 1)
+    rate = F.when(F.col("all_n") > 1, (F.col("all_good") - F.col("good")) / (F.col("all_n") - 1)).otherwise(0.5)
+    joined = joined.withColumn("rate", rate).withColumn("host_rate", shrunk("host_prior", "rate", "host_good", "host_n")).withColumn("site_rate", shrunk("path_prior", "host_rate", "good_sum", "n"))
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
     shift = F.greatest(F.least(logit(F.col("site_rate")) - logit(F.col("rate")), F.lit(MOST_SITE)), F.lit(-MOST_SITE))
-    out = joined.withColumn("site_rate", rest).withColumn("posterior", 1 / (1 + F.exp(-(F.col("odds") + shift))))
+    out = joined.withColumn("posterior", 1 / (1 + F.exp(-(F.col("odds") + shift))))
     return out.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_rate", "site_rate", "posterior", (F.col("posterior") >= THRESHOLD).alias("kept"))
