@@ -43,26 +43,34 @@ class ByteNet:
         return out
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        out = np.empty((len(windows), len(self.langs)), np.float32)
-        for at in range(0, len(windows), AT_ONCE):
-            pooled = np.maximum(self.convolve(windows[at : at + AT_ONCE]).max(1) + self.bias, 0)
-            out[at : at + AT_ONCE] = pooled @ self.top + self.top_bias
-        return out
+        return np.maximum(self.convolve(windows).max(1) + self.bias, 0) @ self.top + self.top_bias
 
+    def log_scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The mean logits of all windows of each text (texts x languages), AT_ONCE windows at once; zeros for an empty text."""
+        start, row = places(bounds)
+        total = np.zeros((len(bounds) - 1, len(self.langs)))
+        for at in range(0, len(row), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            np.add.at(total, row[part], self.logits(cut(data, start[part], bounds[1:][row[part]])))
+        return total / np.maximum(np.bincount(row, minlength=len(total)), 1)[:, None]
 
-def cut(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All of each text as windows of WINDOW bytes (the last one padded with zeros) and each window's text.
 
-    A window also holds the first bytes of the next one, so that no filter misses a place between windows.
-    """
-    more = max(WIDTHS) - 1
+def places(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window of each text starts (the last one may be short), and its text."""
     per = -(-np.diff(bounds) // WINDOW)
     row = np.repeat(np.arange(len(per)), per)
-    start = bounds[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
-    place = start[:, None] + np.arange(WINDOW + more)
-    inside = place < bounds[1:][row][:, None]
+    return bounds[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW, row
+
+
+def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The windows of WINDOW bytes from these starts, padded with zeros from the ends of their texts.
+
+    A window also holds the first bytes of the next one, so that no filter misses a place between windows.
+    """
+    place = start[:, None] + np.arange(WINDOW + max(WIDTHS) - 1)
+    inside = place < end[:, None]
     place[~inside] = 0
-    return np.where(inside, data[place], 0).astype(np.uint8) if len(data) else np.zeros((0, WINDOW + more), np.uint8), row
+    return np.where(inside, data[place], 0).astype(np.uint8) if len(data) else np.zeros((0, place.shape[1]), np.uint8)
 
 
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int = 7) -> ByteNet:
@@ -117,7 +125,8 @@ def fit(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str
     found = sorted((r["id"] or "", r["lang"], *r["places"]) for r in sample.collect())
     langs = sorted({x[1] for x in found})
     data, bounds = words.flat(pa.array([p for x in found for p in x[2:]], pa.string()))
-    windows, row = cut(data, bounds)
+    start, row = places(bounds)
+    windows = cut(data, start, bounds[1:][row])
     keep = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
     return train(windows[keep], np.array([langs.index(x[1]) for x in found], np.int64)[row[keep] // SAMPLE_WINDOWS], langs) if len(row) else None
 
@@ -125,17 +134,16 @@ def fit(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str
 def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, lang_pred, score (the network's probability for it, from the mean over all windows of the whole text).
 
-    A text that is null or has no letter gives und and score 0, and so does every text if net is None. Ids may repeat or
-    be null; other columns are not read. An empty table gives an empty result.
+    A text that is null or has no letter gives und and score 0, and so does every text if net is None. A very long text is
+    read whole, some windows at a time. Ids may repeat or be null; other columns are not read. An empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, bounds in words.groups(batch.column(1)):
                 n = len(bounds) - 1
-                windows, row = cut(data, bounds)
-                logits, per = net.logits(windows), np.bincount(row, minlength=n)
-                mean = np.stack([np.bincount(row, logits[:, k], minlength=n) for k in range(len(net.langs))], 1) / np.maximum(per, 1)[:, None]
+                mean = net.log_scores(data, bounds)
                 p = np.exp(mean - mean.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)

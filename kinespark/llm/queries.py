@@ -27,7 +27,7 @@ def tokenizer_path(name: str) -> str:
 
 def held_out(id_col: str = "doc_id"):
     """The fold that no training reads."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
