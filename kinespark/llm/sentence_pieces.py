@@ -20,7 +20,9 @@ RANK_OFFSET, BYTE_WEIGHT = 300.0, -15.0
 #: Sharpness of the sampling: piece log-weights are multiplied by it.
 ALPHA = 0.25
 #: The lattice of a chunk of up to so many characters is kept as a table row for each of its ends; so many rows are kept.
-TABLE_CHARS, TABLE_ROWS = 32, 750_000
+TABLE_CHARS, TABLE_ROWS = 32, 500_000
+#: A longer chunk is filtered in blocks of so many ends, of which one at a time is held.
+BLOCK_ENDS = 1 << 15
 MARK = "▁"
 #: What stands for a character that is no piece until it is written as bytes: BYTES + its code point.
 BYTES = 1 << 22
@@ -30,8 +32,16 @@ _CHUNK = re.compile(r"\n| *[^ \n]+| +")
 #: Leading bits of a hash that choose its slot.
 SLOT_BITS = 18
 _SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
-_POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(TABLE_CHARS, 0x5851F42D4C957F2D, np.uint64), dtype=np.uint64)])
-_INVERSES = np.array([pow(int(x), -1, 1 << 64) for x in _POWERS], np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A base to the powers 0 to n - 1, and their inverses modulo 2^64."""
+    base = 0x5851F42D4C957F2D
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64), dtype=np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+
+
+#: As long as anything that is hashed at once: a block with what stands before it, a chunk of a table, a piece.
+_POWERS, _INVERSES = _powers(BLOCK_ENDS + 4096)
 
 
 def _points(texts: list[str], width: int) -> np.ndarray:
@@ -94,9 +104,9 @@ class Vocabulary:
                 if MARK not in text.replace(" ", "") and " " not in text.lstrip(" "):
                     self.ids[text] = i
                     self.weights[text] = float(np.exp(-alpha * np.log(max(0.0, -model.get_score(i)) + RANK_OFFSET)))
-        # Pieces by length, for looking many substrings up at once; those too long for a chunk of a table are met by ending() only.
+        # Pieces by length, for looking many substrings up at once.
         self.by_length = {}
-        for n in {len(p) for p in self.ids if len(p) <= TABLE_CHARS}:
+        for n in sorted({len(p) for p in self.ids}):
             pieces = [p for p in self.ids if len(p) == n]
             self.by_length[n] = Pieces(_substrings(_sums(_points(pieces, n)), n)[0], np.array([self.ids[p] for p in pieces], np.int32), np.array([self.weights[p] for p in pieces]))
         self.byte_ids = np.array([self.first_byte[b] for b in range(256)], np.int32)
@@ -119,9 +129,9 @@ def spelled(path: str) -> list[bytes]:
     return [b"" if no else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, (p, no) in enumerate(zip(pieces, none, strict=True))]
 
 
-def _uniform(seed: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
+def _uniform(seed: np.ndarray, place: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """A number in [0, 1) that depends on a row's seed, the chunk's place in the row and the step in the chunk alone."""
-    return (words.mix(seed ^ words.mix((place.astype(np.uint64) << np.uint64(20)) + np.uint64(step))) >> np.uint64(11)).astype(float) * 2.0**-53
+    return (words.mix(seed ^ words.mix((place.astype(np.uint64) << np.uint64(32)) + np.asarray(step, np.uint64))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
 class Lattices:
@@ -139,14 +149,12 @@ class Lattices:
         self.base: dict[str, int] = {}
         self.used = 0
 
-    def add(self, chunks: list[str]) -> None:
-        """Forward filtering of chunks of one length together, end by end; their rows must fit."""
-        v, size, m = self.vocabulary, len(chunks[0]), len(chunks)
-        longest = min(size, v.longest)
-        points = _points(chunks, size)
+    def matches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of chunks given a row each, the ids and weights of the pieces that end at each place (places x lengths x chunks)."""
+        v, (m, size) = self.vocabulary, points.shape
         sums = _sums(points)
         # Chunks are the last axis, so that each operation runs along many of them.
-        ids = np.zeros((size, longest, m), self.pieces.dtype)
+        ids = np.zeros((size, v.longest, m), self.pieces.dtype)
         weights = np.zeros(ids.shape)
         for n, pieces in v.by_length.items():
             if n <= size:
@@ -157,20 +165,56 @@ class Lattices:
         none = weights[:, 0] == 0
         ids[:, 0][none] = self.none
         weights[:, 0][none] = v.byte_weight
-        forward = np.ones((size + 1, m))
-        for end in range(1, size + 1):
-            n, here = min(end, longest), weights[end - 1]
-            here[:n] *= forward[end - n : end][::-1]
+        return ids, weights
+
+    def filter(self, weights: np.ndarray, forward: np.ndarray) -> np.ndarray:
+        """Forward filtering, end by end: weights become cumulative backward probabilities.
+
+        forward holds the sums of the ends before (lengths x chunks, the nearest first; 0 where there is none). It is
+        returned as it stands after the last end. Only ratios within the longest piece matter, so ends are scaled to 1 and
+        nothing underflows.
+        """
+        longest, m = forward.shape
+        sums = np.zeros((len(weights) + longest, m))
+        sums[:longest] = forward[::-1]
+        if m == 1:
+            return self._filter_one(weights[:, :, 0], sums[:, 0])[:, None]
+        for end, here in enumerate(weights, longest):
+            here *= sums[end - longest : end][::-1]
             for k in range(1, longest):
                 here[k] += here[k - 1]
-            # Only ratios within the longest piece matter, so each end is scaled to 1 and nothing underflows.
             total = here[-1].copy()
-            forward[end - n : end] /= total
+            sums[end - longest : end] /= total
             here /= total
+            sums[end] = 1
+        return sums[-longest:][::-1].copy()
+
+    def _filter_one(self, weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """filter() of one chunk with fewer operations: ends are scaled only where numbers get out of hand."""
+        longest = self.vocabulary.longest
+        for i in range(len(weights)):
+            total = np.add.accumulate(np.multiply(weights[i], sums[i : i + longest][::-1], out=weights[i]), out=weights[i])[-1]
+            sums[i + longest] = total
+            if not 1e-90 < total < 1e90:
+                sums[i + 1 : i + longest + 1] /= total
+        weights /= weights[:, -1:].copy()
+        last = sums[-longest:][::-1]
+        return last / last[0]
+
+    def start(self, m: int) -> np.ndarray:
+        forward = np.zeros((self.vocabulary.longest, m))
+        forward[0] = 1
+        return forward
+
+    def add(self, chunks: list[str]) -> None:
+        """The lattices of chunks of one length together; their rows must fit."""
+        size, m, longest = len(chunks[0]), len(chunks), self.vocabulary.longest
+        points = _points(chunks, size)
+        ids, weights = self.matches(points)
+        self.filter(weights, self.start(m))
         rows = slice(self.used, self.used + m * size)
         self.cumulative[rows, :longest] = weights.transpose(2, 0, 1).reshape(m * size, -1)
-        self.cumulative[rows, longest:] = 1  # no piece is longer than the chunk
-        self.pieces[rows, :longest] = ids.transpose(2, 0, 1).reshape(m * size, -1)
+        self.pieces[rows] = ids.transpose(2, 0, 1).reshape(m * size, -1)
         self.points[rows] = points.ravel()
         self.base.update(zip(chunks, range(self.used, self.used + m * size, size), strict=True))
         self.used += m * size
@@ -212,28 +256,41 @@ class Lattices:
         return out, count
 
 
-def sample_long(vocabulary: Vocabulary, chunk: str, seed: np.ndarray, place: int) -> list[int]:
-    """One chunk that is too long for a table, in time linear in its length."""
-    forward, found = [1.0], []
-    for end in range(1, len(chunk) + 1):
-        here = [(n, piece, weight * forward[end - n]) for n, piece, weight in vocabulary.ending(chunk, end)]
-        total = sum(x[2] for x in here)
-        found.append([(n, piece, p / total) for n, piece, p in here])
-        forward.append(total)
-        if total < 1e-100:  # only ratios within the longest piece matter
-            for k in range(max(0, end - vocabulary.longest), end + 1):
-                forward[k] /= total
-    out, end, step = [], len(chunk), 0
-    while end:
-        u = float(_uniform(seed, np.array([place]), step)[0])
-        for n, piece, p in found[end - 1]:
-            u -= p
-            if u < 0:
-                break
-        out.append(piece)
-        end -= n
-        step += 1
-    return out[::-1]
+def sample_long(lattices: Lattices, chunk: str, seed: np.ndarray, place: int) -> np.ndarray:
+    """The pieces of one chunk that is too long for a table, as sample() draws them, in time linear in its length.
+
+    Blocks of ends are filtered from first to last, of which the sums at their borders are kept; then each is filtered again,
+    from last to first, and sampled. Memory is that of a block, and of 4 bytes a character and piece.
+    """
+    longest, none, size = lattices.vocabulary.longest, lattices.none, len(chunk)
+    points = _points([chunk], size)
+
+    def block(at: int) -> tuple[np.ndarray, np.ndarray]:
+        low = max(0, at - longest + 1)  # pieces that end in the block may start before it
+        ids, weights = lattices.matches(points[:, low : at + BLOCK_ENDS])
+        return ids[at - low :], weights[at - low :]
+
+    borders = [lattices.start(1)]
+    for at in range(0, size - BLOCK_ENDS, BLOCK_ENDS):
+        borders.append(lattices.filter(block(at)[1], borders[-1]))
+    out, end, step = [], size, 0
+    for at in range((size - 1) // BLOCK_ENDS * BLOCK_ENDS, -1, -BLOCK_ENDS):
+        ids, weights = block(at)
+        lattices.filter(weights, borders.pop())
+        cumulative, ids = weights[:, :, 0].astype(np.float32), ids[:, :, 0]
+        u = _uniform(seed, np.array([place]), np.arange(step, step + min(BLOCK_ENDS, end - at))).astype(np.float32)
+        found, first = [], step
+        while end > at:
+            row = cumulative[end - 1 - at]
+            n = int(row.searchsorted(u[step - first], "right"))
+            if n >= longest:
+                n = int((row < 1).sum())
+            piece = int(ids[end - 1 - at, n])
+            found.append(BYTES + int(points[0, end - 1]) if piece == none else piece)
+            end -= n + 1
+            step += 1
+        out.append(np.array(found, np.int32))
+    return np.concatenate(out)[::-1]
 
 
 def _as_bytes(vocabulary: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +329,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray) -> tup
     if not short.all():
         parts, at, start = [], 0, np.cumsum(count) - count
         for i in np.flatnonzero(~short):
-            parts += [pieces[at : start[i]], np.array(sample_long(lattices.vocabulary, flat[i], seed[i : i + 1], int(place[i])), np.int32)]
+            parts += [pieces[at : start[i]], sample_long(lattices, flat[i], seed[i : i + 1], int(place[i]))]
             at, count[i] = start[i], len(parts[-1])
         pieces = np.concatenate([*parts, pieces[at:]])
     out, became = _as_bytes(lattices.vocabulary, pieces)
@@ -287,7 +344,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA
     row always gives the same pieces, wherever it is computed, and rows with equal ids and texts give equal ones. A text is
     cut before each run of spaces and around newlines, which no piece crosses, so chunks are drawn independently. A
     character that is no piece, the white space mark itself included, is written as bytes, and one space is put in front,
-    so decode() restores every text. A null text has null pieces, an empty one the pieces of the space in front. A null id
+    so decode() restores every text. A chunk of any length is drawn in bounded memory (sample_long). A null text has null pieces, an empty one the pieces of the space in front. A null id
     is seeded by the seed alone. An empty table gives an empty result.
     """
 

@@ -185,7 +185,9 @@ def test_language(spark, sf, odd, empty):
 
 def test_windows_cover_whole_texts():
     data = np.arange(700, dtype=np.uint8) + 1
-    windows, row = language_id.cut(data, np.array([0, 300, 300, 700]))
+    bounds = np.array([0, 300, 300, 700])
+    start, row = language_id.places(bounds)
+    windows = language_id.cut(data, start, bounds[1:][row])
     assert row.tolist() == [0, 0, 0, 2, 2, 2, 2]
     assert b"".join(w[: language_id.WINDOW].tobytes() for w in windows[:3])[:300] == data[:300].tobytes()
 
@@ -220,8 +222,6 @@ def test_pieces_are_drawn_by_their_weights():
     out, count = sentence_pieces.sample_texts(lattices, ["then"] * n, words.mix(np.arange(n, dtype=np.uint64)))
     seen = Counter(tuple(x.tolist()) for x in np.split(out, np.cumsum(count)[:-1]))
     assert all(abs(seen[k] / n - w / total) < 0.015 for k, w in ways.items())
-    long = Counter(tuple(sentence_pieces.sample_long(v, text, words.mix(np.array([i], np.uint64)), 0)) for i in range(3000))
-    assert all(abs(long[k] / 3000 - w / total) < 0.04 for k, w in ways.items())
 
 
 def test_tokens(spark, sf, odd, empty):
@@ -329,3 +329,140 @@ def test_lines_of_a_job_that_runs_again_count_once(spark, tmp_path):
     later = docs.withColumn("doc_id", F.col("doc_id") + 10)
     found = line_dedup.dedup_lines(later, 3, 20, line_dedup.LineRuns(spark, str(tmp_path / "runs")), name="tuesday").collect()
     assert {r["doc_id"]: r["n_dropped"] for r in found} == {10: 1, 11: 0}
+
+
+def test_classifier_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join("word%d," % k for k in rng.integers(0, 40, int(rng.integers(5, 90)))) + "." * (i % 3), f"h{i % 4}" if i % 13 else None, ["de", "en", None][i % 3]) for i in range(200)]
+    rows.append((None, "one more text without an id", "alone", "en"))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string").withColumn("host", F.lit("clash")).withColumn("good", F.lit(1))
+    label = {i: int(rng.integers(0, 2)) for i in range(0, 200, 3)}
+    table = lambda known: spark.createDataFrame([(i, y, 0) for i, y in known.items()], "doc_id int, quality int, toxic int")
+    model = quality_classifier.fit(docs, table(label))
+    found = {r["doc_id"]: r for r in quality_classifier.classify(docs, model, table(label)).collect()}
+    data, bounds = words.flat(__import__("pyarrow").array([r[1] for r in rows]))
+    odds = model.log_odds(quality_classifier.features(data, bounds))
+    p = 1 / (1 + np.exp(-odds))
+    y = np.array([label.get(r[0], q) for r, q in zip(rows, p, strict=True)], float)
+    host = [r[2] for r in rows]
+    path = [(r[2], r[3]) for r in rows]
+
+    def strength(mean, groups, centre):
+        x = sum(len(g) * (p[g].mean() - centre(g)) ** 2 - centre(g) * (1 - centre(g)) for g in groups) / len(rows)
+        return min(max(mean * (1 - mean) / max(x, 1e-9) - 1, 2.0), 10_000.0)
+
+    members = lambda keys: [np.array([i for i, k in enumerate(keys) if k == key]) for key in dict.fromkeys(keys)]
+    mean = p.mean()
+    a = strength(mean, members(host), lambda g: mean)
+    shrunk = {host[g[0]]: (a * mean + p[g].sum()) / (a + len(g)) for g in members(host)}
+    b = strength(mean, members(path), lambda g: shrunk[host[g[0]]])
+    logit = lambda x: np.log(max(x, 1e-6) / max(1 - x, 1e-6))
+    for i, r in enumerate(rows):
+        others = lambda keys, i=i: y[[k for k in range(len(rows)) if keys[k] == keys[i] and k != i]]
+        rate = np.delete(y, i).mean()
+        h = (a * rate + others(host).sum()) / (a + len(others(host)))
+        s = (b * h + others(path).sum()) / (b + len(others(path)))
+        posterior = 1 / (1 + np.exp(-(odds[i] + np.clip(logit(s) - logit(rate), -4, 4))))
+        got = found[r[0]]
+        assert (got["host_rate"], got["site_rate"], got["posterior"]) == pytest.approx((h, s, posterior), abs=1e-9)
+        assert got["kept"] == (got["posterior"] >= 0.5)
+    # A document's own label never changes its row.
+    for i in (0, 3, 99):
+        other = quality_classifier.classify(docs, model, table(label | {i: 1 - label[i]})).where(F.col("doc_id") == i).first()
+        assert other["posterior"] == pytest.approx(found[i]["posterior"], abs=1e-12)
+
+
+def test_sites_of_one_document_ignore_its_label(spark):
+    docs = spark.createDataFrame([(i, "", f"h{i}", "en") for i in range(60)], "doc_id long, text string, source string, lang string")
+    model = quality_classifier.fit_features(np.zeros((0, 12)), np.zeros(0))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = [r["posterior"] for r in quality_classifier.classify(docs, model, labels).orderBy("doc_id").collect()]
+    flipped = [r["posterior"] for r in quality_classifier.classify(docs, model, labels.withColumn("quality", F.when(F.col("doc_id") == 7, 0).otherwise(F.col("quality")))).orderBy("doc_id").collect()]
+    assert got[7] == pytest.approx(flipped[7], abs=1e-12)
+
+
+def test_network_against_a_plain_one():
+    """The forward pass by loops, and the gradient of a step by differences."""
+    rng = np.random.default_rng(2)
+    filters = 3 * language_id.FILTERS
+    width = np.repeat(language_id.WIDTHS, language_id.FILTERS)
+    live = (np.arange(4)[:, None, None] < width).astype(np.float32)
+    net = language_id.ByteNet(["a", "b", "c"], (rng.normal(0, 0.3, (4, 256, filters)) * live).astype(np.float32), rng.normal(0, 0.1, filters).astype(np.float32), rng.normal(0, 0.2, (filters, 3)).astype(np.float32), rng.normal(0, 0.1, 3).astype(np.float32))
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (1, 5, 128, 129, 700)] + [b""]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.cumsum([0, *map(len, texts)])
+
+    def plain(text):
+        total, n = np.zeros(3), 0
+        for at in range(0, len(text), language_id.WINDOW):
+            window = text[at : at + language_id.WINDOW + 3].ljust(language_id.WINDOW + 3, b"\0")
+            pooled = [max(0.0, max(sum(float(net.taps[k, window[i + k], f]) for k in range(width[f])) for i in range(language_id.WINDOW)) + float(net.bias[f])) for f in range(filters)]
+            total += np.array(pooled) @ net.top + net.top_bias
+            n += 1
+        return total / max(n, 1)
+
+    assert np.allclose(net.log_scores(data, bounds), [plain(t) for t in texts], atol=1e-4)
+    small = language_id.AT_ONCE
+    try:
+        language_id.AT_ONCE = 2
+        assert np.allclose(net.log_scores(data, bounds), [plain(t) for t in texts], atol=1e-4)
+    finally:
+        language_id.AT_ONCE = small
+
+
+def test_training_lowers_the_loss_and_finds_planted_bytes():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 6000)
+    windows = rng.integers(97, 123, (6000, language_id.WINDOW + 3)).astype(np.uint8)
+    for i, k in enumerate(y):
+        at = rng.integers(0, 100)
+        windows[i, at : at + 3] = list(b"#!%" if k else b"%#!")
+    net = language_id.train(windows, y, ["x", "z"])
+    assert (net.logits(windows).argmax(1) == y).mean() > 0.95
+
+
+def test_long_texts_of_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(1)
+    run = " ".join(f"w{i}x" for i in rng.integers(0, 3000, 900_000))
+    limit = token_counts.STRETCH_BYTES
+    for text in (run, "ab1c" * 1_250_000, " " * limit + "a b" + " \n" * limit):
+        stretches = list(token_counts._stretches(text.encode()))
+        assert b"".join(stretches) == text.encode() and all(len(s) <= limit or not s.strip().split()[1:] for s in stretches)
+        assert token_counts.lengths(path, [text.encode()]) == [len(library.encode(text, add_special_tokens=False))]
+    monkeypatch.setattr(token_counts, "STRETCH_BYTES", 7)
+    for text in ("", " ", "a b c d e f g h i", "abcdefghijkl mn", "       x", "ab cdefghij  kl"):
+        assert b"".join(token_counts._stretches(text.encode())) == text.encode()
+        assert token_counts.lengths(path, [text.encode()]) == [len(library.encode(text, add_special_tokens=False))]
+
+
+def test_hashes_of_long_words(monkeypatch):
+    data = np.frombuffer(b"abc " + b"xyZq" * 3000 + b" def xyzq", np.uint8)
+    starts, ends, _ = words.spans(data, np.array([0, len(data)]))
+    wanted = words.hashes(data, starts, ends, True)
+    monkeypatch.setattr(words, "GROUP_BYTES", 64)
+    assert (words.hashes(data, starts, ends, True) == wanted).all()
+
+
+def test_long_chunks_are_drawn_as_short_ones_are(monkeypatch):
+    path, seeds = queries.tokenizer_path(queries.PIECE_MODEL), words.mix(np.arange(6, dtype=np.uint64))
+    texts = ["aninternationalrelationship", "x" * 31, "é☃" * 15, "=" * 16 + "implementationdetails", "one two", ""]
+    wanted = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, seeds)
+    for chars, ends in ((3, 1 << 15), (3, 5), (0, 1)):
+        monkeypatch.setattr(sentence_pieces, "TABLE_CHARS", chars)
+        monkeypatch.setattr(sentence_pieces, "BLOCK_ENDS", ends)
+        found = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, seeds)
+        assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True))
+
+
+def test_a_piece_of_the_greatest_length_is_drawn_and_decoded(spark):
+    path = queries.tokenizer_path(queries.PIECE_MODEL)
+    docs = spark.createDataFrame([(i, " implementation" * 40) for i in range(40)], "doc_id long, text string")
+    encoded = sentence_pieces.encode(docs, path, 3, alpha=1.0, keep=("text",)).cache()
+    spelled = sentence_pieces.spelled(path)
+    assert max(len(spelled[i]) for r in encoded.collect() for i in r["pieces"]) >= 14
+    assert all(r["decoded"] == r["text"] for r in sentence_pieces.decode(encoded, path).collect())
+    encoded.unpersist()
