@@ -4,6 +4,10 @@ The reference is the corpus itself, which no broadcast holds. Its shards are the
 words has an anchor (the least hash of its shorter runs of words), equal windows have equal anchors, and a shard holds the
 stretches around one anchor. Only anchors found twice or more make shards. A shard's stretches are streamed in the order
 of the documents through the automaton of those before them, so a window that it knows has started earlier.
+
+Anchors that stand at many places would make large shards. Their windows are instead compared by key: each window's
+earliest start is found by an aggregation, which combines within tasks first, so no task grows with a phrase's frequency.
+Which anchors are treated so decides the cost alone; both ways find the same windows.
 """
 
 from __future__ import annotations
@@ -15,12 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinespark.llm import words
-from kinespark.llm._common import attach_groups, attach_lists, stage
+from kinespark.llm._common import attach_groups, attach_lists, map_texts, scratch, stage
 
 #: Words of the runs whose least hash anchors a window.
 ANCHOR_WORDS = 8
+#: An anchor is hot if some group of texts that is read at once has it this often and at least at 1 / HOT_SHARE of its
+#: stretches; every anchor with more than 1 / HOT_SHARE of all stretches is, as it must have that share in some group.
+HOT_LEAST, HOT_SHARE = 16, 2000
+#: The most hot anchors, those found most often; all tasks know them.
+HOT_ANCHORS = 10_000
 
 
 class SuffixAutomaton:
@@ -148,10 +158,38 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     maximal span of window words or more that repeats, the earliest occurrence stays. A document whose words are those of
     one with a smaller id loses all of them, if it has a window, and takes no part in the search. Words are unchanged
     maximal runs without ASCII white space; null counts as empty. Ids must be unique (rows that repeat id and text count
-    as one); rows with a null id keep all words and count for no other. Other columns are not read. An empty table gives
-    an empty result.
+    as one); rows with a null id keep all words and count for no other. Ids may be of any type that Spark orders. Very long
+    texts are read whole. Other columns are not read. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with scratch(spark):
+        gone = stage(_gone(rows, window), "gone", keep=True)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2).to_pylist()
+            for at, data, bounds in words.groups(batch.column(1)):
+                raw, kept, n_words, n_removed = data.tobytes(), [], [], []
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    found = raw[a:b].split()
+                    n_words.append(len(found))
+                    if lists[at + i]:
+                        lost = np.zeros(len(found), bool)
+                        for span in lists[at + i]:
+                            lost[span["low"] : span["high"]] = True
+                        found = [w for w, x in zip(found, lost.tolist(), strict=True) if not x]
+                    n_removed.append(n_words[-1] - len(found))
+                    kept.append(b" ".join(found).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+
+    final = rows.join(gone, "id", "left").select("id", "text", "gone")
+    return final.transform(map_texts, keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+
+
+def _single(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The rows with a window that no smaller id has the same words as; the ids of those that one has; the hot anchors."""
     kind = rows.schema["id"].dataType.simpleString()
     real = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= 2 * window - 1))
 
@@ -160,22 +198,61 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
                 n = len(first) - 1
                 keys = [blake2b(hashed[a:b].tobytes(), digest_size=16).digest() if b - a >= window else None for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(keys, pa.binary())], ["id", "words_key"])
-
-    known = stage(real.mapInArrow(keyed, f"id {kind}, words_key binary").where(F.col("words_key").isNotNull()), "word-keys")
+                anchor, times = np.unique(anchored(hashed, first, window)[0], return_counts=True)
+                often = times >= max(HOT_LEAST, times.sum() / HOT_SHARE)
+                none = pa.nulls(int(often.sum()))
+                counts = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(anchor[often].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[often], pa.int64())])
+                ids = batch.column(0).slice(at, n)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, none.cast(ids.type)]), pa.concat_arrays([pa.array(keys, pa.binary()), none.cast(pa.binary())]), *counts], ["id", "words_key", "anchor", "times"])
+
+    found = stage(real.transform(map_texts, keyed, f"id {kind}, words_key binary, anchor long, times long"), "word-keys")
+    known = found.where(F.col("words_key").isNotNull())
+    often = found.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.sum("times").alias("times"))
+    hot = [r["anchor"] for r in often.orderBy(F.desc("times"), "anchor").limit(HOT_ANCHORS).collect()]
     classes = stage(known.groupBy("words_key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")), "word-classes")
     # array() stands for a list in attach_lists: a copy has no stretches.
-    copies = attach_groups(known, classes.where("copies > 1"), ["words_key"], "copies").where(F.col("id") != F.col("first_id"))
+    copies = attach_groups(known.select("id", "words_key"), classes.where("copies > 1"), ["words_key"], "copies").where(F.col("id") != F.col("first_id"))
     copies = stage(copies.select("id", F.array().cast("array<int>").alias("none")).distinct(), "word-copies")
-    single = attach_lists(real, copies, "id", "none", 0, "left_anti")
+    return attach_lists(real, copies, "id", "none", 0, "left_anti"), copies, hot
+
+
+def _hot_spans(single: DataFrame, window: int, hot: list[int]) -> DataFrame:
+    """(id, low, high) of the windows with a hot anchor that start earlier elsewhere, by 128-bit keys of windows."""
+    kind = single.schema["id"].dataType.simpleString()
+    known = np.array(sorted(hot), np.int64)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
+                anchor, row, _, low, high = anchored(hashed, first, window)
+                here = np.isin(anchor.view(np.int64), known)
+                low, row, size = low[here], row[here], (high - low + 1)[here]
+                start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                row = np.repeat(row, size)
+                keys = (words.shingles(hashed, window)[start], words.shingles(words.mix(hashed), window)[start]) if len(start) else (np.zeros(0, np.uint64),) * 2
+                yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in keys], batch.column(0).take(pa.array(at + row)), pa.array((start - first[row]).astype(np.int32))], ["w1", "w2", "id", "start"])
+
+    rows = stage(single.select("id", "text").transform(map_texts, windows, f"w1 long, w2 long, id {kind}, start int"), "hot-windows")
+    firsts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = attach_groups(rows, stage(firsts, "first-windows"), ["w1", "w2"], "n").where(F.struct("id", "start") != F.col("first"))
+    return later.select("id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
+
+
+def _gone(rows: DataFrame, window: int) -> DataFrame:
+    """(id, gone): the ranges of words that each document loses."""
+    kind = rows.schema["id"].dataType.simpleString()
+    single, copies, hot = _single(rows, window)
+    known_hot, id_arrow = np.array(sorted(hot), np.int64), to_arrow_type(rows.schema["id"].dataType)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
                 anchor, row, place, _, _ = anchored(hashed, first, window)
+                cold = ~np.isin(anchor.view(np.int64), known_hot)
+                anchor, row, place = anchor[cold], row[cold], place[cold]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(pa.array(at + row)), pa.array((place - first[row]).astype(np.int32))], ["anchor", "id", "place"])
 
-    found = single.select("id", "text").mapInArrow(anchors, f"anchor long, id {kind}, place int")
+    found = single.select("id", "text").transform(map_texts, anchors, f"anchor long, id {kind}, place int")
     in_shard = Window.partitionBy("anchor").orderBy("id", "place")
     twice = found.withColumn("other", F.coalesce(F.lag("place").over(in_shard), F.lead("place").over(in_shard))).where(F.col("other").isNotNull())
     # A document's places are a part of its words.
@@ -189,12 +266,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 lists = batch.column(2).slice(at, n)
                 size = np.diff(lists.offsets.to_numpy())
                 wanted = np.repeat(first[:-1], size) + lists.flatten().to_numpy()
-                at_i = np.flatnonzero(np.isin(place, wanted))
+                at_i = np.flatnonzero(np.isin(place, wanted) & ~np.isin(anchor.view(np.int64), known_hot))
                 a, b = starts[low[at_i]], ends[high[at_i] + window - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at_i].view(np.int64)), batch.column(0).take(pa.array(at + row[at_i])), pa.array((low - first[row])[at_i].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(a, b, strict=True)], pa.binary())], ["anchor", "id", "start", "stretch"])
 
     held = single.select("id", "text").join(places, "id").select("id", "text", "places")
-    shards = held.mapInArrow(stretches, f"anchor long, id {kind}, start int, stretch binary")
+    shards = held.transform(map_texts, stretches, f"anchor long, id {kind}, start int, stretch binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one_by_one() -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -204,9 +281,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
         def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
             ids, low, high = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, types), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["id", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["id", "low", "high"])
 
-        types = pa.int64() if kind in ("bigint", "int") else pa.string()
         ready: list[tuple[int, int, int]] = []
         source = one_by_one()
         row = next(source, None)
@@ -226,27 +302,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                     ready = []
         yield out(ready)
 
-    spans = shards.repartition("anchor").sortWithinPartitions("anchor", "id", "start").mapInArrow(match, f"id {kind}, low int, high int")
+    spans = shards.repartition("anchor").sortWithinPartitions("anchor", "id", "start").transform(map_texts, match, f"id {kind}, low int, high int")
+    if hot:
+        spans = spans.unionByName(_hot_spans(single, window, hot))
     gone = spans.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     whole = copies.select("id", F.array(F.struct(F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high"))).alias("gone"))
-    gone = stage(gone.unionByName(whole), "gone")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2).to_pylist()
-            for at, data, bounds in words.groups(batch.column(1)):
-                raw, kept, n_words, n_removed = data.tobytes(), [], [], []
-                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    found = raw[a:b].split()
-                    n_words.append(len(found))
-                    if lists[at + i]:
-                        lost = np.zeros(len(found), bool)
-                        for span in lists[at + i]:
-                            lost[span["low"] : span["high"]] = True
-                        found = [w for w, x in zip(found, lost.tolist(), strict=True) if not x]
-                    n_removed.append(n_words[-1] - len(found))
-                    kept.append(b" ".join(found).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
-
-    final = rows.join(gone, "id", "left").select("id", "text", "gone")
-    return final.mapInArrow(keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return gone.unionByName(whole)

@@ -466,3 +466,19 @@ def test_a_piece_of_the_greatest_length_is_drawn_and_decoded(spark):
     assert max(len(spelled[i]) for r in encoded.collect() for i in r["pieces"]) >= 14
     assert all(r["decoded"] == r["text"] for r in sentence_pieces.decode(encoded, path).collect())
     encoded.unpersist()
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_spans_with_hot_anchors_and_ids_of_any_type(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    phrase = " ".join(f"common{i}" for i in range(12))
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 200, n))
+    tail = draw(40)
+    texts = [f"{draw(12)} {phrase} {draw(12)}" for _ in range(60)] + [f"{draw(5)} {phrase} {tail}" for _ in range(25)] + [tail, tail, f"{phrase} {tail} {phrase} {tail}", None, ""]
+    rows = [(i + 100, t) for i, t in enumerate(texts)]
+    want = brute_spans(dict(rows), 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text", F.lit(1).alias("id"), F.lit("x").alias("anchor"))
+    for least in (16, 2, 10**9):
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        got = {int(r["doc_id"]): (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs, 20).collect()}
+        assert got == want
