@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kinespark.llm._common import attach_groups, lower_ascii
+from kinespark.llm._common import attach_groups, attach_lists, lower_ascii
 from kinespark.staging import delete, scratch, stage, stage_dir
 
 #: The white space that is stripped at both ends of a line.
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, runs: L
         by_doc = stage(lost.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("lost")), "lost-lines", keep=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(by_doc.select(F.col("id").alias("__id"), F.col("lost").alias("__lost")), F.col(id_col) == F.col("__id"), "left")
+    joined = attach_lists(docs.select(*rest), by_doc.select(F.col("id").alias(id_col), F.col("lost").alias("__lost")), id_col, "__lost", 4, "left")
     split = joined.select(*rest, "__lost", F.split(text, "\n", -1).alias("__all"))
     # array_except hashes the places, so this is linear; places beyond a text's lines come from rows that share its id.
     places = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), "__lost")
