@@ -18,20 +18,27 @@ MOST_LOST = 0.5
 #: A line is navigation if it has so many separators at least, and one for so many words at most.
 SEPARATORS, WORDS_A_SEPARATOR = 3, 4
 #: A line of so many words at least fails if it has no sentence punctuation at all.
-LONG_LINE = 40
+LONG_LINE = 12
 #: A line fails if more than this share of its characters, white space aside, are neither letters nor digits.
 MOST_MARKS = 0.4
 #: A boilerplate line has so many words at most.
 BOILERPLATE_WORDS = 25
-BOILERPLATE = re.compile(
-    r"all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookie policy|use of cookies|accept cookies|lorem ipsum"
-    r"|enable javascript|javascript is (disabled|required)|click here|read more|sign up now|log ?in to (view|continue)|subscribe to our|share (this )?on (facebook|twitter)"
-    r"|powered by|skip to (main )?content|back to top",
-    re.IGNORECASE,
-)
-_SENTENCE = re.compile(r"[.!?…:;,。！？]")
-_SEPARATOR = re.compile(r"[|»›•·¦]|(?:^|\s)(?:>|/|::)(?=\s|$)")
-_MARK = re.compile(r"[^\w\s]|_")
+#: Phrases of boilerplate by language, as regular expressions that Python and RE2 read alike.
+PHRASES = {
+    "en": ["all rights reserved", "terms (?:of|and) (?:use|service|conditions)", "privacy policy", "cookie policy", "use of cookies", "accept (?:all )?cookies", "enable javascript", "javascript is (?:disabled|required)", "click here", "read more", "sign up now", "log ?in to (?:view|continue)", "subscribe to our", "share (?:this )?on (?:facebook|twitter)", "powered by", "skip to (?:main )?content", "back to top"],
+    "de": ["alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl(?:ä|ae)rung", "cookie-richtlinie", "cookies akzeptieren", "verwendung von cookies", "javascript (?:ist deaktiviert|aktivieren)", "hier klicken", "weiterlesen", "jetzt anmelden", "newsletter abonnieren", "teilen auf (?:facebook|twitter)", "zum (?:hauptinhalt|seitenanfang)", "impressum"],
+    "fr": ["tous droits réservés", "conditions (?:générales )?d'utilisation", "politique de confidentialité", "politique de cookies", "accepter les cookies", "utilisation de cookies", "active[rz] javascript", "cliquez ici", "lire la suite", "inscrivez-vous", "abonnez-vous à", "partager sur (?:facebook|twitter)", "aller au contenu", "haut de page", "mentions légales"],
+    "es": ["todos los derechos reservados", "términos (?:de|y) (?:uso|servicio|condiciones)", "política de privacidad", "política de cookies", "aceptar (?:las )?cookies", "uso de cookies", "habilit[ae]r? javascript", "haga clic aquí", "leer más", "regístrese ahora", "suscríbase a", "compartir en (?:facebook|twitter)", "saltar al contenido", "volver arriba", "aviso legal"],
+    "": ["lorem ipsum"],
+}
+BOILERPLATE = "|".join(p for phrases in PHRASES.values() for p in phrases)
+#: Separators of navigation: these characters anywhere, and these words.
+SEPARATOR_CHARS, SEPARATOR_WORDS = "|»›•·¦", (">", "/", "::")
+SENTENCE = ".!?…:;,。！？"
+_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE)
+_SENTENCE, _SEPARATOR = re.compile(f"[{SENTENCE}]"), re.compile(f"[{SEPARATOR_CHARS}]")
+_MARK = re.compile(r"[^\w\x20\x09-\x0D]|_")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -43,13 +50,14 @@ def line_fails(line: str, n_words: int) -> str | None:
     """The rule that the line fails: navigation, boilerplate, marks or punctuation; None if it passes. Blank lines pass."""
     if not n_words:
         return None
-    separators = len(_SEPARATOR.findall(line))
+    found = _WORD.findall(line)
+    separators = len(_SEPARATOR.findall(line)) + sum(map(found.count, SEPARATOR_WORDS))
     if separators >= SEPARATORS and separators * WORDS_A_SEPARATOR >= n_words:
         return "navigation"
-    if n_words <= BOILERPLATE_WORDS and BOILERPLATE.search(line):
+    if n_words <= BOILERPLATE_WORDS and _BOILERPLATE.search(line):
         return "boilerplate"
-    size = sum(map(len, line.split()))
-    if size >= 10 and len(_MARK.findall(line)) > MOST_MARKS * size:
+    size = sum(map(len, found))
+    if size >= 10 and 10 * len(_MARK.findall(line)) > 10 * MOST_MARKS * size:
         return "marks"
     if n_words >= LONG_LINE and not _SENTENCE.search(line):
         return "punctuation"

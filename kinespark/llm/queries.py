@@ -87,6 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_jaccard_join, op5_line_dedup, op6_sentence_pieces, op7_substring_dedup, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+_LIST = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -115,4 +116,40 @@ c AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY
 m AS (SELECT k.*, c.keep_id IS NOT NULL AND c.keep_id <> k.doc_id AS lost FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT lost), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op4_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LIST.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(a, z) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, b.v FROM r JOIN b ON r.z = b.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(z) AS component_id FROM r GROUP BY a) m USING (doc_id)""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_LIST.format("coalesce(text, '')")} AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS place FROM k) WHERE place > 1),
+g AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM l)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+o AS (SELECT x.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(o.n_removed, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)""",
+    "op8_quality_rules": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, {_LIST.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT row, i, count(*) OVER (PARTITION BY row, w[i:i + 2]) AS times FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+h AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM (SELECT row, i, unnest([0, 1, 2]) AS j FROM g WHERE times > 1) GROUP BY row),
+l AS (SELECT row, line, {_LIST.format("line")} AS v FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT row, line, v, len(v) AS n, len(array_to_string(v, '')) AS size,
+             len(regexp_extract_all(line, '[{quality_rules.SEPARATOR_CHARS}]')) + len(list_filter(v, lambda x: x IN {quality_rules.SEPARATOR_WORDS})) AS marks FROM l),
+f AS (SELECT *, n > 0 AND (marks >= {quality_rules.SEPARATORS} AND marks * {quality_rules.WORDS_A_SEPARATOR} >= n
+             OR n <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(line, '(?i){quality_rules.BOILERPLATE.replace("'", "''")}')
+             OR size >= 10 AND 10 * len(regexp_extract_all(line, '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]')) > {10 * quality_rules.MOST_MARKS} * size
+             OR n >= {quality_rules.LONG_LINE} AND NOT regexp_matches(line, '[{quality_rules.SENTENCE}]')) AS fails FROM m),
+a AS (SELECT row, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, count(*) FILTER (WHERE fails) AS n_lines_removed,
+             CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS n_words_removed FROM f GROUP BY row),
+o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_lines_removed, n_words_removed FROM d JOIN a USING (row) LEFT JOIN h USING (row))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_removed <= {quality_rules.MOST_LOST} * n_words AS kept FROM o""",
 }
