@@ -62,14 +62,26 @@ def stability(similar: DataFrame) -> DataFrame:
     return best.groupBy("k1", "label1").agg(F.avg("best").alias("stability"), F.sum("over").alias("overlapping"))
 
 
-def alternates(found: DataFrame, best: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of each k the highest vascular cluster that peaks one sample after the best, if it is higher and of fewer blobs: a suggestion, never a change.
+def matches_best(similar: DataFrame, best: DataFrame) -> DataFrame:
+    """Of each cluster: its mean Dice with the best of each k (matches_best; one that shares no voxel counts as 0), and the
+    clusters of other ks with a Dice over a half (overlapping: names label-k of two digits each, sorted)."""
+    top = best.select(F.col("k").alias("k2"), F.col("label").alias("label2"), F.lit(True).alias("is_best"))
+    rows = similar.join(F.broadcast(top), ["k2", "label2"], "left")  # a row a k
+    over = F.when((F.col("k1") != F.col("k2")) & (F.col("dice") > 0.5), F.format_string("%02d-%02d", F.col("label2"), F.col("k2")))
+    found = rows.groupBy("k1", "label1").agg(F.coalesce(F.sum(F.when(F.col("is_best"), F.col("dice"))), F.lit(0.0)).alias("match"), F.sort_array(F.collect_list(over)).alias("overlapping"))
+    count = best.agg(F.count("*").alias("n_best"))
+    shared = F.when(F.col("n_best") > 0, F.col("match") / F.col("n_best")).otherwise(0.0)
+    return found.crossJoin(F.broadcast(count)).select(F.col("k1").alias("k"), F.col("label1").alias("label"), shared.alias("matches_best"), "overlapping")
+
+
+def alternates(found: DataFrame, best: DataFrame, sizes: DataFrame, within: int = 1) -> DataFrame:
+    """Of each k the highest vascular cluster that peaks 1 to within samples after the best, if it is higher and of fewer blobs: a suggestion, never a change.
 
     sizes (k, label, blob, n) are lattice.blob_sizes of the clusters.
     """
     count = sizes.groupBy("k", "label").agg(F.count("*").alias("blobs"))
     b = best.join(count, ["k", "label"]).select("k", F.col("blobs").alias("best_blobs"), F.col("peak_index").alias("best_index"), F.col("peak_value").alias("best_value"))
-    near = found.where("vascular").join(b, "k").where((F.col("peak_index") == F.col("best_index") + 1) & (F.col("peak_value") > F.col("best_value")))
+    near = found.where("vascular").join(b, "k").where((F.col("peak_index") - F.col("best_index")).between(1, within) & (F.col("peak_value") > F.col("best_value")))
     order = Window.partitionBy("k").orderBy(F.desc("peak_value"), "label")
     top = near.withColumn("place", F.row_number().over(order)).where("place = 1").join(count, ["k", "label"])
     return top.where("blobs < best_blobs").select("k", "label", "peak_index", "peak_value")
@@ -80,12 +92,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def kmeans_step(points: DataFrame, centers: DataFrame, dims: int) -> DataFrame:
-    """(label, center): one step of Lloyd's algorithm. centers (label, center: array) are a table of k rows, broadcast."""
-    distance = F.aggregate(F.zip_with("point", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = points.crossJoin(F.broadcast(centers)).groupBy("vox_id").agg(F.min_by(F.struct("label", "point"), F.struct(F.round(distance, 9), F.col("label"))).alias("own"))
-    means = F.array(*[F.avg(F.col("own.point")[i]) for i in range(dims)])
-    return near.groupBy(F.col("own.label").alias("label")).agg(means.alias("center"), F.count("*").alias("n"))
+def kmeans_step(points: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """(label, center, n): one step of Lloyd's algorithm from k centres, which are literals of the plan.
+
+    A voxel finds its centre in its own row, so the means are the only shuffle, and of partial sums.
+    """
+    dims = len(centers[0])
+    table = F.array(*[F.struct(F.lit(i + 1).alias("label"), F.array(*map(F.lit, c)).alias("center")) for i, c in enumerate(centers)])
+    away = lambda c: F.round(F.aggregate(F.zip_with("point", c["center"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    nearest = F.array_min(F.transform(table, lambda c: F.struct(away(c).alias("away"), c["label"].alias("label"))))["label"]
+    means = F.array(*[F.avg(F.col("point")[i]) for i in range(dims)])
+    return points.select(nearest.alias("label"), "point").groupBy("label").agg(means.alias("center"), F.count("*").alias("n"))
 
 
 def long_table(found: DataFrame, centroid_curves: DataFrame, best: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def voxel_xyz(vox_id: Column, nx: int, ny: int) -> tuple[Column, Column, Column]
     return F.floor(vox_id / ny) % nx, vox_id % ny, F.floor(vox_id / (nx * ny))
 
 
-def block_means(cells: DataFrame, value: str, by: int = 2) -> DataFrame:
-    """The mean of each block of by cells along each axis; blocks at the edge are smaller."""
-    return cells.groupBy(*[F.floor(F.col(c) / by).alias(c) for c in "xyz"]).agg(F.avg(value).alias(value))
+def block_means(cells: DataFrame, value: str, by: int = 2, keys: list[str] | None = None) -> DataFrame:
+    """The mean of each block of by cells along each axis, for each of keys; blocks at the edge are smaller."""
+    return cells.groupBy(*(keys or []), *[F.floor(F.col(c) / by).alias(c) for c in "xyz"]).agg(F.avg(value).alias(value))
 
 
 def clip_axial(cells: DataFrame, n: int) -> DataFrame:
@@ -32,13 +32,63 @@ def density(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "z").agg(F.count("*").alias("n"))
 
 
-def confetti(slices: DataFrame, keys: list[str], total: str, low: Column, high: Column) -> DataFrame:
-    """Each cluster's score: the share of its voxels in each slice times the slice's weight (-5 between low and high, 0.5 below
-    low, 1 above high); over 0 means scattered."""
-    weight = F.when((F.col("z") >= low) & (F.col("z") <= high), -5.0).when(F.col("z") < low, 0.5).otherwise(1.0)
+#: Millimetres from the centre of mass: the range of vessels, and below which noise is weak, or strong; the slice at whose
+#: height all below is noise.
+VESSELS_BELOW, VESSELS_ABOVE, WEAK_BELOW, STRONG_BELOW, NOISE_SLICE = 33.6, 84.0, 31.9, 67.7, 10
+
+
+def slice_of(world: Column, zoom: float, origin: float) -> Column:
+    """The slice at a height in millimetres, for slices of zoom millimetres from origin on, cut towards 0."""
+    return ((world - F.lit(float(origin))) / F.lit(float(zoom))).cast("int")
+
+
+def confetti_bounds(com_z: Column, zoom: float, origin: float) -> dict[str, Column]:
+    """The slices that confetti() weighs by, for an image with its centre of mass at this (fractional) slice.
+
+    floor is the height in millimetres, not the slice, of NOISE_SLICE: scores were calibrated with it so.
+    """
+    com = com_z * F.lit(float(zoom)) + F.lit(float(origin))
+    at = lambda mm: slice_of(com + F.lit(mm), zoom, origin)
+    return {"low": at(-VESSELS_BELOW), "high": at(VESSELS_ABOVE), "weak": at(-WEAK_BELOW), "strong": at(-STRONG_BELOW), "floor": F.lit(int(NOISE_SLICE * zoom + origin))}
+
+
+def confetti(slices: DataFrame, keys: list[str], total: str, low: Column, high: Column, weak: Column, strong: Column, floor: Column) -> DataFrame:
+    """Each cluster's score: the share of its voxels in each slice times the slice's weight; over 0 means scattered.
+
+    A slice weighs -5 from low to high, and, added up, 0.5 below weak, 1 below strong and 1 below floor.
+    """
+    z = F.col("z")
+    part = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    weight = part((z >= low) & (z <= high), -5.0) + part(z < weak, 0.5) + part(z < strong, 1.0) + part(z < floor, 1.0)
     return slices.groupBy(*keys).agg(F.sum(F.col("n") / F.col(total) * weight).alias("score")).withColumn("likely_confetti", F.col("score") > 0)
 
 
+def world(place: tuple[Column, Column, Column], affine: list[list[float]]) -> list[Column]:
+    """World coordinates of a voxel by the rows of its image's affine."""
+    return [sum((F.lit(float(a)) * c for a, c in zip(row[:3], place, strict=True)), F.lit(float(row[3]))) for row in affine[:3]]
+
+
+def world_corners(shape: DataFrame, affine: list[list[float]]) -> DataFrame:
+    """The eight corners of an image of shape (nx, ny, nz) in world coordinates (corner, wx, wy, wz)."""
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("corner"), F.lit(i // 4).alias("cx"), F.lit(i // 2 % 2).alias("cy"), F.lit(i % 2).alias("cz")) for i in range(8)]))
+    rows = shape.withColumn("c", corner).select("c.corner", *[(F.col(f"c.c{a}") * F.col(f"n{a}")).alias(a) for a in "xyz"])
+    found = world((F.col("x"), F.col("y"), F.col("z")), affine)
+    return rows.select("corner", *[w.alias(f"w{a}") for a, w in zip("xyz", found, strict=True)])
+
+
+def superior_axis(shape: tuple[int, int, int], affine: list[list[float]]) -> tuple[int, int] | None:
+    """(axis, 1) of the axis whose first slice is the lowest in the world, (axis, -1) if it is the highest; None if neither."""
+    at = lambda place, row: sum(a * p for a, p in zip(row[:3], place, strict=True)) + row[3]
+    ends = at((0, 0, 0), affine[2]), at(shape, affine[2])
+    for axis in (2, 1, 0):
+        middle = [n // 2 for n in shape]
+        middle[axis] = 0
+        height = at(middle, affine[axis])
+        if height in (min(ends), max(ends)):
+            return axis, 1 if height == min(ends) else -1
+    return None
+
+
 def center_of_mass(cells: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return cells.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"com_{c}") for c in "xyz"])
 

@@ -184,8 +184,7 @@ def q_affine_mode(spark, d):
 @query(sql("vox", "xyz") + "SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, frame, round(avg(activity), 6) AS activity FROM vox JOIN xyz USING (vox_id) GROUP BY 1, 2, 3, frame")
 def q_downsample2(spark, d):
     cells = proxies.voxels(spark, d).join(proxies.lattice(spark, d), "vox_id")
-    blocks = cells.groupBy(*[F.floor(F.col(c) / 2).alias(c) for c in "xyz"], "frame").agg(r6(F.avg("activity"), "activity"))
-    return blocks
+    return lattice.block_means(cells, "activity", 2, ["frame"]).withColumn("activity", F.round("activity", 6))
 
 
 @query(sql("xyz") + "SELECT vox_id, label, x, y, z - 2 AS z FROM xyz WHERE z >= 2")
@@ -205,10 +204,35 @@ def q_density(spark, d):
     return _density(spark, d)
 
 
-@query(DENSITY + ", tot AS (SELECT k, label, sum(n) AS total FROM den GROUP BY k, label) SELECT k, label, round(sum(n / total * CASE WHEN z BETWEEN 3 AND 9 THEN -5e0 WHEN z < 3 THEN 0.5e0 ELSE 1e0 END), 6) AS score, sum(n / total * CASE WHEN z BETWEEN 3 AND 9 THEN -5e0 WHEN z < 3 THEN 0.5e0 ELSE 1e0 END) > 0 AS likely_confetti FROM den JOIN tot USING (k, label) GROUP BY k, label")
-def q_confetti(spark, d):
+#: The proxy image's slices: their thickness and the height of the first, in millimetres.
+ZOOM, ORIGIN = 12.0, -110.0
+CONFETTI = DENSITY + f""", tot AS (SELECT k, label, sum(n) AS total FROM den GROUP BY k, label),
+com AS (SELECT sum(z * m) / sum(m) * {ZOOM}e0 + {ORIGIN}e0 AS mm FROM xyz JOIN (SELECT vec_id AS vox_id, list_avg(list_transform(embedding, lambda v: CAST(v AS DOUBLE) + 0.05e0)) AS m FROM embeddings) USING (vox_id)),
+bnd AS (SELECT {", ".join(f"trunc((mm + {mm}e0 - {ORIGIN}e0) / {ZOOM}e0) AS {name}" for name, mm in (("lo", -33.6), ("hi", 84.0), ("weak", -31.9), ("strong", -67.7)))}, 10 AS floor FROM com),
+cft AS (SELECT k, label, sum(n / total * (CASE WHEN z BETWEEN lo AND hi THEN -5e0 ELSE 0 END + CASE WHEN z < weak THEN 0.5e0 ELSE 0 END + CASE WHEN z < strong THEN 1e0 ELSE 0 END + CASE WHEN z < floor THEN 1e0 ELSE 0 END)) AS score FROM den JOIN tot USING (k, label) CROSS JOIN bnd GROUP BY k, label)
+"""
+
+
+def image_mass(spark, d):
+    """(vox_id, mass): each voxel's mean activity, in its row."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") + F.lit(proxies.OFFSET))
+    return proxies.read(spark, d, "embeddings").select(F.col("vec_id").alias("vox_id"), (total / F.size("embedding")).alias("mass"))
+
+
+def image_center(spark, d):
+    """One row: com_x, com_y, com_z of the mean image."""
+    return lattice.center_of_mass(proxies.lattice(spark, d).join(image_mass(spark, d), "vox_id"), [], "mass")
+
+
+def _confetti(spark, d):
     slices = _density(spark, d).withColumn("total", F.sum("n").over(Window.partitionBy("k", "label")))
-    return lattice.confetti(slices, ["k", "label"], "total", F.lit(3), F.lit(9)).withColumn("score", F.round("score", 6))
+    rows = slices.crossJoin(F.broadcast(image_center(spark, d).select(F.col("com_z").alias("image_z"))))  # one row
+    return lattice.confetti(rows, ["k", "label"], "total", **lattice.confetti_bounds(F.col("image_z"), ZOOM, ORIGIN))
+
+
+@query(CONFETTI + "SELECT k, label, round(score, 6) AS score, score > 0 AS likely_confetti FROM cft")
+def q_confetti(spark, d):
+    return _confetti(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query(sql("vox", "xyz") + "SELECT label, round(sum(x * m) / sum(m), 6) AS com_x, round(sum(y * m) / sum(m), 6) AS com_y, round(sum(z * m) / sum(m), 6) AS com_z FROM xyz JOIN (SELECT vox_id, sum(activity * activity) AS m FROM vox GROUP BY vox_id) USING (vox_id) GROUP BY label")
@@ -262,10 +286,14 @@ def q_dice(spark, d):
     return clusters.dice(proxies.labels(spark, d)).withColumn("dice", F.round("dice", 6))
 
 
-@query(DICE + "SELECT label1, " + ", ".join(f"round(coalesce(max(dice) FILTER (WHERE label2 = {i}), 0), 6) AS \"l{i}\"" for i in range(1, 11)) + " FROM dice WHERE k1 = 6 AND k2 = 10 GROUP BY label1")
+ALL_CLUSTERS = [(k, label) for k in proxies.KS for label in range(1, k + 1)]
+
+
+@query(DICE + "SELECT k1, label1, " + ", ".join(f"round(coalesce(max(dice) FILTER (WHERE k2 = {k} AND label2 = {i}), 0), 6) AS \"c{i:02d}_{k:02d}\"" for k, i in ALL_CLUSTERS) + " FROM dice GROUP BY k1, label1")
 def q_dice_matrix(spark, d):
-    rows = clusters.dice(proxies.labels(spark, d).where("k IN (6, 10)")).where("k1 = 6 AND k2 = 10")
-    return rows.groupBy("label1").agg(*[F.round(F.coalesce(F.max(F.when(F.col("label2") == i, F.col("dice"))), F.lit(0.0)), 6).alias(f"l{i}") for i in range(1, 11)])
+    name = F.format_string("c%02d_%02d", "label2", "k2")
+    rows = clusters.dice(proxies.labels(spark, d)).withColumn("name", name)
+    return rows.groupBy("k1", "label1").pivot("name", [f"c{i:02d}_{k:02d}" for k, i in ALL_CLUSTERS]).agg(F.round(F.max("dice"), 6)).fillna(0.0)
 
 
 @query("WITH v AS (SELECT label, unnest(range(1, 65)) AS f, CAST(unnest(embedding) AS DOUBLE) AS a FROM embeddings), m AS (SELECT label, f, avg(a) AS a FROM v GROUP BY label, f) SELECT x.label AS label1, y.label AS label2, round(sum(x.a * y.a) / (sqrt(sum(x.a * x.a)) * sqrt(sum(y.a * y.a))), 6) AS cosine FROM m x JOIN m y ON x.f = y.f AND x.label < y.label GROUP BY ALL")
@@ -282,15 +310,32 @@ def q_k_stability(spark, d):
     return found.select(F.col("k1").alias("k"), F.col("label1").alias("label"), r6(F.col("stability"), "stability"), F.col("overlapping").cast("long").alias("overlapping"))
 
 
-@query(TRAITS + "SELECT t.k, t.label, t.peak_index, round(t.peak_value, 6) AS peak_value FROM t JOIN b ON t.k = b.k AND t.peak_index > b.peak_index AND t.peak_value > b.peak_value WHERE t.vascular QUALIFY row_number() OVER (PARTITION BY t.k ORDER BY t.peak_value DESC, t.label) = 1")
+#: Blobs of all clusters of all ks, as common table expressions that follow others.
+CLUSTER_BLOBS = """, xyz AS (SELECT vec_id AS vox_id, vec_id % 8 AS x, (vec_id // 8) % 8 AS y, vec_id // 64 AS z FROM embeddings),
+ce AS (SELECT clu.k, clu.label, clu.vox_id, x, y, z FROM clu JOIN xyz USING (vox_id)),
+ed AS (SELECT a.k, a.label, a.vox_id AS a, b.vox_id AS b FROM ce a JOIN ce b ON a.k = b.k AND a.label = b.label AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+rr AS (SELECT k, label, vox_id, vox_id AS root FROM ce UNION SELECT ed.k, ed.label, ed.b, rr.root FROM rr JOIN ed ON ed.k = rr.k AND ed.label = rr.label AND ed.a = rr.vox_id WHERE rr.root < ed.b),
+cb AS (SELECT k, label, vox_id, min(root) AS blob FROM rr GROUP BY ALL),
+bs AS (SELECT k, label, blob, count(*) AS n FROM cb GROUP BY ALL),
+bc AS (SELECT k, label, count(*) AS blobs FROM bs GROUP BY ALL)
+"""
+RECURSIVE_TRAITS = TRAITS.replace("WITH ", "WITH RECURSIVE ", 1) + CLUSTER_BLOBS
+#: Samples after the best's peak that an alternate may peak at: one is the rule, but these curves rarely have such.
+WITHIN = 64
+
+
+def cluster_blobs(spark, d):
+    cells = proxies.labels(spark, d).join(proxies.lattice(spark, d).drop("label"), "vox_id")
+    return lattice.blobs(cells, ["k", "label"])
+
+
+@query(RECURSIVE_TRAITS + """, near AS (SELECT t.k, t.label, t.peak_index, t.peak_value, b.label AS best FROM t JOIN b ON t.k = b.k AND t.peak_index > b.peak_index AND t.peak_value > b.peak_value WHERE t.vascular
+    QUALIFY row_number() OVER (PARTITION BY t.k ORDER BY t.peak_value DESC, t.label) = 1)
+SELECT near.k, near.label, near.peak_index, round(near.peak_value, 6) AS peak_value FROM near JOIN bc x ON x.k = near.k AND x.label = near.label JOIN bc y ON y.k = near.k AND y.label = near.best WHERE x.blobs < y.blobs""")
 def q_alternate(spark, d):
-    # One sample later is the rule; these curves need a wider one to have any.
     found = _traits(spark, d)
-    best = clusters.best_in_k(found)
-    b = best.select("k", F.col("peak_index").alias("i"), F.col("peak_value").alias("v"))
-    near = found.where("vascular").join(b, "k").where("peak_index > i AND peak_value > v")
-    top = near.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("peak_value"), "label"))).where("place = 1")
-    return top.select("k", "label", "peak_index", F.round("peak_value", 6).alias("peak_value"))
+    sizes = lattice.blob_sizes(cluster_blobs(spark, d), ["k", "label"])
+    return clusters.alternates(found, clusters.best_in_k(found), sizes, WITHIN).withColumn("peak_value", F.round("peak_value", 6))
 
 
 @query(sql("clu") + "SELECT vox_id, " + ", ".join(f"CAST(max(CASE WHEN label = {i} THEN 1 ELSE 0 END) AS INT) AS m{i}" for i in range(1, 7)) + " FROM clu WHERE k = 6 GROUP BY vox_id")
@@ -358,9 +403,15 @@ def q_kde_fwhm(spark, d):
     return found.select("region", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"), r6(F.col("max_density"), "max_density"))
 
 
-@query(_kde("k3") + "SELECT region, 'k3' AS param, round(min(x) FILTER (WHERE density > top / 2), 4) AS low, round(max(x) FILTER (WHERE density > top / 2), 4) AS high FROM t GROUP BY region")
+BOUNDED = {"k1": "k1", "k2": "k2", "k3": "k3", "ki": "k1 * k3 / (k2 + k3)"}
+_KDE_ALL = _kde("k3").replace("c AS (SELECT region, k3 AS v, count(*) AS w FROM boot GROUP BY ALL)", "c AS (SELECT l.region || '/' || p AS region, round(v, 6) AS v, count(*) AS w FROM (" + " UNION ALL ".join(f"SELECT region, '{n}' AS p, {e} AS v FROM boot" for n, e in BOUNDED.items()) + ") l GROUP BY ALL)")
+
+
+@query(_KDE_ALL + "SELECT split_part(region, '/', 1) AS region, split_part(region, '/', 2) AS param, round(min(x) FILTER (WHERE density > top / 2), 4) AS low, round(max(x) FILTER (WHERE density > top / 2), 4) AS high FROM t GROUP BY ALL")
 def q_bounds(spark, d):
-    rows = proxies.rate_constants(spark, d).select("region", F.lit("k3").alias("param"), F.col("k3").alias("value"))
+    rows = proxies.rate_constants(spark, d)
+    each = [rows.select("region", F.lit(n).alias("param"), F.round(F.expr(e), 6).alias("value")) for n, e in BOUNDED.items()]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
     return kinetics.kde_fwhm(rows, ["region", "param"], "value").select("region", "param", F.round("left", 4).alias("low"), F.round("right", 4).alias("high"))
 
 
@@ -391,7 +442,17 @@ def q_interp_linear(spark, d):
     return curves.interpolate(rows, grid, ["curve_id"]).withColumn("activity", F.round("activity", 6))
 
 
-@query()
+@query(sql("vox", "clu", "cent") + """, a AS (SELECT k, label, frame * frame / 64e0 AS t, activity AS y FROM cent),
+b AS (SELECT *, lead(t) OVER w - t AS h, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS m, lead(y) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY k, label ORDER BY t)),
+c AS (SELECT *, lag(h) OVER w AS h0, lag(m) OVER w AS m0, lead(h) OVER w AS h1, lead(m) OVER w AS m1, lag(h, 2) OVER w AS h00, lag(m, 2) OVER w AS m00 FROM b WINDOW w AS (PARTITION BY k, label ORDER BY t)),
+e AS (SELECT *, ((2 * h + h1) * m - h * m1) / (h + h1) AS head, ((2 * h0 + h00) * m0 - h0 * m00) / (h0 + h00) AS tail FROM c),
+s AS (SELECT *, CASE
+  WHEN m0 IS NULL THEN CASE WHEN h1 IS NULL THEN m WHEN sign(head) <> sign(m) THEN 0 WHEN sign(m) <> sign(m1) AND abs(head) > 3 * abs(m) THEN 3 * m ELSE head END
+  WHEN m IS NULL THEN CASE WHEN h00 IS NULL THEN m0 WHEN sign(tail) <> sign(m0) THEN 0 WHEN sign(m0) <> sign(m00) AND abs(tail) > 3 * abs(m0) THEN 3 * m0 ELSE tail END
+  WHEN m0 * m <= 0 THEN 0 ELSE (3 * h + 3 * h0) / ((2 * h + h0) / m0 + (h + 2 * h0) / m) END AS d FROM e),
+f AS (SELECT *, lead(d) OVER (PARTITION BY k, label ORDER BY t) AS d1 FROM s),
+g AS (SELECT *, unnest(CASE WHEN h IS NULL THEN [0e0] ELSE [0e0, 0.5e0] END) AS u FROM f)
+SELECT k, label, t + u * coalesce(h, 0) AS t, round(CASE WHEN u = 0 THEN y ELSE (2 * u * u * u - 3 * u * u + 1) * y + (u * u * u - 2 * u * u + u) * h * d + (3 * u * u - 2 * u * u * u) * y1 + (u * u * u - u * u) * h * d1 END, 6) AS activity FROM g""")
 def q_pchip(spark, d):
     rows = _centroids(spark, d).withColumn("t", frame_time(F.col("frame"))).select("k", "label", "t", "activity")
     return curves.pchip(rows, ["k", "label"]).withColumn("activity", F.round("activity", 6))
@@ -486,19 +547,21 @@ def _points(spark, d, dims: int | None = None) -> DataFrame:
     return rows.select(F.col("vec_id").alias("vox_id"), (F.slice(point, 1, dims) if dims else point).alias("point"))
 
 
-@query("""WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) + 0.05e0 AS a, CAST(embedding[2] AS DOUBLE) + 0.05e0 AS b FROM embeddings),
-c0 AS (SELECT vec_id + 1 AS label, a, b FROM p WHERE vec_id < 4),
-n1 AS (SELECT p.a, p.b, arg_min(label, (round((p.a - c.a) * (p.a - c.a) + (p.b - c.b) * (p.b - c.b), 9), label)) AS label FROM p, c0 c GROUP BY vec_id, p.a, p.b),
-c1 AS (SELECT label, avg(a) AS a, avg(b) AS b FROM n1 GROUP BY label),
-n2 AS (SELECT p.a, p.b, arg_min(label, (round((p.a - c.a) * (p.a - c.a) + (p.b - c.b) * (p.b - c.b), 9), label)) AS label FROM p, c1 c GROUP BY vec_id, p.a, p.b)
-SELECT label, round(avg(a), 6) AS a, round(avg(b), 6) AS b, count(*) AS n FROM n2 GROUP BY label""")
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) + 0.05e0) AS v FROM embeddings),
+c0 AS (SELECT vec_id + 1 AS label, v AS c FROM p WHERE vec_id < 4),
+n1 AS (SELECT vec_id, arg_min(label, (round(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.c[i]) * (p.v[i] - c.c[i]))), 9), label)) AS label FROM p, c0 c GROUP BY vec_id),
+e1 AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(1, 65)) AS i FROM n1 JOIN p USING (vec_id)) GROUP BY label, i),
+c1 AS (SELECT label, list(x ORDER BY i) AS c FROM e1 GROUP BY label),
+n2 AS (SELECT vec_id, arg_min(label, (round(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.c[i]) * (p.v[i] - c.c[i]))), 9), label)) AS label FROM p, c1 c GROUP BY vec_id),
+z AS (SELECT label, count(*) AS n FROM n2 GROUP BY label)
+SELECT label, i AS frame, round(avg(x), 6) AS activity, any_value(z.n) AS n FROM (SELECT label, unnest(v) AS x, unnest(range(1, 65)) AS i FROM n2 JOIN p USING (vec_id)) JOIN z USING (label) GROUP BY label, i""")
 def q_kmeans_lloyd(spark, d):
-    points = _points(spark, d, 2)
-    centers = points.where("vox_id < 4").select((F.col("vox_id") + 1).alias("label"), F.col("point").alias("center"))
+    points = _points(spark, d)
+    centers = [r["point"] for r in points.where("vox_id < 4").orderBy("vox_id").collect()]  # four rows
     for _ in range(2):
-        found = clusters.kmeans_step(points, centers.select("label", "center"), 2)
-        centers = found
-    return found.select("label", r6(F.col("center")[0], "a"), r6(F.col("center")[1], "b"), "n")
+        found = clusters.kmeans_step(points, centers)
+        centers = [r["center"] for r in found.orderBy("label").collect()]  # k rows
+    return found.select("label", F.posexplode("center").alias("at", "x"), "n").select("label", (F.col("at") + 1).cast("long").alias("frame"), r6(F.col("x"), "activity"), "n")
 
 
 @query()
