@@ -1,14 +1,13 @@
-"""Rate constants and fits: SQL where it can say it, seeded numpy kernels in Arrow-backed group functions for the fits."""
+"""Rate constants, their densities and closed-form models, as columns. The fits are in tracer.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.curves import interpolate
+
 
 def ki(k1: Column, k2: Column, k3: Column) -> Column:
     return k1 * k3 / (k2 + k3)
@@ -64,132 +63,48 @@ def zeta(ks: tuple[float, float], kt: tuple[float, float], t: Column) -> Column:
     return F.lit(alpha - m) * F.exp(F.lit(nu) * t) + F.lit(m) * F.exp(F.lit(eps) * t)
 
 
-def levenberg_marquardt(f: Callable, x: np.ndarray, y: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Least squares within bounds by damped Gauss-Newton steps with a numeric Jacobian."""
-    damping, r = 1e-2, f(x, p) - y
-    cost = float(r @ r)
-    for _ in range(steps):
-        eps = 1e-6 * np.maximum(1, np.abs(p))
-        j = np.stack([(f(x, np.where(np.arange(len(p)) == i, p + eps, p)) - f(x, p)) / eps[i] for i in range(len(p))], 1)
-        a, g = j.T @ j, j.T @ r
-        try:
-            step = np.linalg.solve(a + damping * np.diag(np.diag(a) + 1e-12), -g)
-        except np.linalg.LinAlgError:
-            break
-        new = np.clip(p + step, low, high)
-        rn = f(x, new) - y
-        cn = float(rn @ rn)
-        if np.isfinite(cn) and cn < cost:
-            done = cost - cn < 1e-14 * (1 + cost)
-            p, r, cost, damping = new, rn, cn, max(damping / 5, 1e-12)
-            if done:
-                break
-        else:
-            damping *= 5
-            if damping > 1e12:
-                break
-    return p, cost
-
-
-def exponentials(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return sum(p[i] * np.exp(-np.clip(p[i + 1] * t, -50, 50)) for i in range(0, len(p), 2))
-
-
-#: The greatest sum of squared errors of a fit that ended well.
-MOST_ERROR = 10.0
-FIT_SCHEMA = "curve_id long, start int, parameters array<double>, rms double"
-
-
-def fit_decays(curves: DataFrame, successes: int = 10, terms: int = 2, seed: int = 42, failures: int = 4096) -> DataFrame:
-    """Multi-start fits of each curve (curve_id, t, activity) by decays: one row a curve and start that ended well.
-
-    Starts go on until so many successes, or so many failures: fits that aren't finite or whose squared errors exceed MOST_ERROR.
-    """
-    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, y, out = pdf["t"].to_numpy(), pdf["activity"].to_numpy(), []
-        scale = max(float(t.max()), 1e-9)
-        s = 0
-        while len(out) < successes and s - len(out) < failures:
-            rng = np.random.default_rng(seed + 7 * s)
-            p0 = np.stack([rng.uniform(0, 2 * max(y.max(), 1e-9), terms), rng.uniform(0, 10, terms)], 1).ravel()
-            p, cost = levenberg_marquardt(exponentials, t / scale, y, p0, np.tile([-1e9, -2.0], terms), np.tile([1e9, 200.0], terms))
-            if np.isfinite(p).all() and cost <= MOST_ERROR:
-                p[1::2] /= scale
-                out.append((int(pdf["curve_id"].iloc[0]), s, p.tolist(), float(np.sqrt(cost))))
-            s += 1
-        return pd.DataFrame(out, columns=["curve_id", "start", "parameters", "rms"])
-
-    return curves.select("curve_id", "t", "activity").repartition(parts, "curve_id").groupBy("curve_id").applyInPandas(fit, FIT_SCHEMA)
-
-
-def best_fits(fits: DataFrame) -> DataFrame:
-    best = F.min_by(F.struct("start", "parameters", "rms"), F.struct("rms", "start"))
-    return fits.groupBy("curve_id").agg(best.alias("best")).select("curve_id", "best.*")
-
+def source_to_target_cost(curves: DataFrame, rates: DataFrame, peaks: DataFrame, step: float, weight: str = "weight") -> DataFrame:
+    """(source, cost): how far all other regions' curves are from those that each source's curve and the rates predict.
 
-def two_tissue(t: np.ndarray, source: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The tissue curve on an even grid t: source convolved with the impulse response."""
-    k1, k2, k3 = p
-    s = max(k2 + k3, 1e-9)
-    return np.convolve(k1 / s * (k3 + k2 * np.exp(-s * t)), source)[: len(t)] * (t[1] - t[0])
-
-
-def bootstrap(curves: DataFrame, n: int = 500, noise: float = 0.05, seed: int = 998) -> DataFrame:
-    """n perturbed copies of each region's curve (region, frame, activity, source), each fitted for its rate constants.
-
-    The copies are rows, so they spread over the cluster; each is seeded by its number. code is 0, or why a copy's whole set is
-    rejected (see validity): all regions of a copy have it if one of them has a constant near 0 or 1. Spreads are those of code 0.
+    curves: (region, frame, activity, weight) at even times step apart; rates: (region, k1, k2, k3); peaks: (region, ki).
+    The cost is the weighted sum of squares over targets and frames, and the sum over regions of the distance of Ki from
+    its peak. rates and peaks are tables of regions.
     """
-    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = curves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(parts, "region", "copy")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        i, t = int(pdf["copy"].iloc[0]), np.arange(len(pdf), dtype=float)
-        rng = np.random.default_rng(seed + i)
-        y = pdf["activity"].to_numpy() * (1 + noise * rng.uniform(-1, 1, len(pdf)))
-        source = pdf["source"].to_numpy()
-        best = min((levenberg_marquardt(lambda x, p: two_tissue(x, source, p), t, y, rng.uniform(0, 1, 3), np.full(3, 1e-6), np.ones(3), 60) for _ in range(3)), key=lambda x: x[1])
-        return pd.DataFrame([(pdf["region"].iloc[0], i, *map(float, best[0]), float(np.sqrt(best[1])))], columns=["region", "copy", "k1", "k2", "k3", "rms"])
-
-    fits = copies.groupBy("region", "copy").applyInPandas(fit, "region string, copy int, k1 double, k2 double, k3 double, rms double")
-    own = validity(F.col("k1"), F.col("k2"), F.col("k3"))
-    # A constant near 0 anywhere in the set is named before one near 1.
-    code = F.coalesce(F.min(F.when(own > 0, own)).over(Window.partitionBy("copy")), F.lit(0))
-    return fits.withColumn("code", code)
-
-
-def anneal(curves: DataFrame, steps: int = 5000, temperature: float = 1.0, seed: int = 5) -> DataFrame:
-    """For each source region, rate constants of the other regions by annealing and a local search: one group a source and target.
-
-    curves: (region, frames: array, activities: array), a table of regions.
+    s = rates.select(F.col("region").alias("source"), *[F.col(c).alias(f"{c}s") for c in ("k1", "k2", "k3")])
+    t = rates.select(F.col("region").alias("target"), *[F.col(c).alias(f"{c}t") for c in ("k1", "k2", "k3")])
+    c = F.col
+    r = c("k2t") + c("k3t")
+    pairs = s.join(t, c("source") != c("target"))
+    pairs = pairs.withColumn("nu", -F.least(c("k3s"), r)).withColumn("eps", -F.greatest(c("k3s"), r)).withColumn("alpha", c("k2s") - c("k2t"))
+    beta = c("k3t") * (c("k2s") + c("k3s")) - c("k3s") * r
+    pairs = pairs.withColumn("m", (beta + c("alpha") * c("eps")) / (c("eps") - c("nu"))).withColumn("scale", c("k1t") / c("k1s"))
+    pairs = F.broadcast(pairs.select("source", "target", "nu", "eps", "alpha", "m", "scale"))
+    at = curves.select(c("region").alias("source"), c("frame").alias("from"), c("activity").alias("own"))
+    own = curves.select(c("region").alias("target"), "frame", "activity", weight)
+    # A curve is some tens of frames, so pairs of frames of one region pair are few.
+    rows = own.join(pairs, "target").join(at, "source").where(c("from") <= c("frame"))
+    lag = (c("frame") - c("from")) * F.lit(float(step))
+    zeta = (c("alpha") - c("m")) * F.exp(c("nu") * lag) + c("m") * F.exp(c("eps") * lag)
+    fit = F.sum(c("scale") * c("own") * (F.lit(float(step)) * zeta + F.when(c("from") == c("frame"), 1.0).otherwise(0.0)))
+    off = rows.groupBy("source", "target", "frame").agg(fit.alias("fit"), F.first("activity").alias("activity"), F.first(weight).alias("w"))
+    cost = off.groupBy("source").agg(F.sum(c("w") * F.pow(c("activity") - c("fit"), 2)).alias("cost"))
+    penalty = rates.join(peaks, "region").agg(F.sum(F.abs(ki(c("k1"), c("k2"), c("k3")) - c("ki"))).alias("penalty"))
+    return cost.crossJoin(F.broadcast(penalty)).select("source", (c("cost") + c("penalty")).alias("cost"))
+
+
+def full_curve(curves: DataFrame, fits: DataFrame, keys: list[str], step: float = 0.1) -> DataFrame:
+    """(keys, i, t, activity): each curve (keys, t, activity) on an even grid of step from 0 to its last time.
+
+    Up to the peak the samples are interpolated linearly, on the first two samples' line before the first; from the peak on
+    the curve is the fit's. fits: (keys, terms: array of (c, rate)).
     """
-    pairs = curves.select(F.col("region").alias("source"), F.col("activity").alias("source_activity")).join(curves.select(F.col("region").alias("target"), "activity"), F.col("source") != F.col("target"))
-    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in pdf.sort_values("target").itertuples():
-            source, y = np.asarray(row.source_activity), np.asarray(row.activity)
-            t, rng = np.arange(len(y), dtype=float), np.random.default_rng(seed)
-            model = lambda x, p, s=source: two_tissue(x, s, p)
-            cost = lambda p, y=y, t=t: float(((model(t, p) - y) ** 2).sum())  # noqa: E731,B023
-            p = rng.uniform(0, 1, 3)
-            now = best = cost(p)
-            top = p
-            for i in range(steps):
-                heat = temperature / (1 + i)
-                q = np.clip(p + rng.standard_cauchy(3) * 0.1 * max(heat, 0.02), 1e-6, 1)
-                c = cost(q)
-                if c < now or rng.random() < np.exp(-(c - now) / max(heat * best, 1e-12)):
-                    p, now = q, c
-                if c < best:
-                    best, top = c, q
-            top, best = levenberg_marquardt(model, t, y, top, np.full(3, 1e-6), np.ones(3), 60)
-            out.append((row.source, row.target, *map(float, top), float(top[0] * top[2] / (top[1] + top[2])), best))
-        return pd.DataFrame(out, columns=["source", "target", "k1", "k2", "k3", "ki", "cost"])
-
-    return pairs.repartition(parts, "source", "target").groupBy("source", "target").applyInPandas(fit, "source string, target string, k1 double, k2 double, k3 double, ki double, cost double")
+    top = F.min_by(F.struct(F.col("t").alias("t"), F.col("activity").alias("a")), F.struct(-F.col("activity"), F.col("t")))
+    ends = curves.groupBy(*keys).agg(top.alias("top"), F.max("t").alias("last"))
+    n = F.floor(F.round(F.col("last") / F.lit(step), 6)).cast("int")
+    grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), n))).select(*keys, "i", F.round(F.col("i") * F.lit(step), 6).alias("t"), F.col("top.t").alias("peak"))
+    before = curves.join(ends.select(*keys, F.col("top.t").alias("peak")), keys).where(F.col("t") <= F.col("peak")).select(*keys, "t", "activity")
+    early = interpolate(before, grid.where("t < peak").select(*keys, "t"), keys, extrapolate=True)
+    decay = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["c"] * F.exp(-x["rate"] * F.col("t")))
+    late = grid.where("t >= peak").join(fits, keys).withColumn("activity", decay)
+    early = grid.where("t < peak").join(early, [*keys, "t"])
+    return early.select(*keys, "i", "t", "activity").unionByName(late.select(*keys, "i", "t", "activity"))

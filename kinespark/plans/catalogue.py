@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import curves
-from kinespark.operators import clusters, components, kinetics, lattice
+from kinespark.operators import clusters, components, kinetics, lattice, tracer
 from kinespark.plans import proxies
 from kinespark.plans.proxies import sql
 from kinespark.sources import tables
@@ -584,25 +584,13 @@ def q_ica(spark, d):
 
 @query()
 def q_curve_fit(spark, d):
-    # All clusters of all ks; the id of each one's curve is 1000 k + label.
-    rows = curves.with_peak(_centroids(spark, d), ["k", "label"]).where("after_peak")
-    fits = kinetics.best_fits(kinetics.fit_decays(rows.select((F.col("k") * 1000 + F.col("label")).cast("long").alias("curve_id"), frame_time(F.col("frame")).alias("t"), "activity")))
+    # All clusters of all ks; the id of each one's curve is 1000 k + label. Errors weigh by the frames' lengths.
+    rows = curves.with_peak(_centroids(spark, d), ["k", "label"]).where("after_peak").withColumn("t", frame_time(F.col("frame")))
+    sigma = 1 / F.sqrt(F.sqrt((2 * F.col("frame") + 1) / F.lit(64.0)))
+    fits = tracer.best_fits(tracer.fit_decays(rows.select((F.col("k") * 1000 + F.col("label")).cast("long").alias("curve_id"), "t", "activity", sigma.alias("sigma"))))
     return fits.select(F.floor(F.col("curve_id") / 1000).alias("k"), (F.col("curve_id") % 1000).alias("label"), *fits.columns)
 
 
-@query()
-def q_bootstrap(spark, d):
-    rows = proxies.regional_curves(spark, d)
-    source = rows.groupBy("frame").agg(F.sum("activity").alias("source"))
-    return kinetics.bootstrap(rows.join(source, "frame"))
-
-
-@query()
-def q_anneal(spark, d):
-    rows = proxies.regional_curves(spark, d).groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "activity"))), lambda x: x["activity"]).alias("activity"))
-    return kinetics.anneal(rows)
-
-
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, max(value) AS peak_value, count(*) AS n FROM events GROUP BY ALL")
 def q_running_peaks(spark, d):
     rows = proxies.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("activity"))

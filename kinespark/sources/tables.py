@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PLASMA = "t double, plasma_radioactivity double"
-
-
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     """The first of the candidate paths that exists, on whatever file system."""
     for path in candidates:
@@ -56,6 +55,20 @@ def log_values(lines: DataFrame, pattern: str, groups: dict[str, tuple[int, str]
     return lines.where(F.col(text).rlike(pattern)).select("*", *[F.regexp_extract(text, pattern, i).cast(kind).alias(n) for n, (i, kind) in groups.items()])
 
 
+def clip_threshold(lines: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, clip): the slices to clip that the newest log names (lines: keys, file, value; files sort by age), else 0."""
+    found = log_values(lines, r"--axial-slices-to-clip (\d+)", {"clip": (1, "int")})
+    newest = found.groupBy(*keys).agg(F.max_by("clip", "file").alias("clip"))
+    return subjects.join(newest, keys, "left").select(*keys, F.coalesce("clip", F.lit(0)).alias("clip"))
+
+
+def run_folders(paths: DataFrame) -> DataFrame:
+    """paths (path, ...) with what a run's folder says of it: sr (sparsity reduction; 0 for nosr), clip, overridden."""
+    part = lambda pattern: F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("int")
+    sr = F.when(F.col("path").contains("_nosr"), 0).otherwise(part(r"sr-(\d+)"))
+    return paths.withColumns({"sr": sr, "clip": F.coalesce(part(r"clip-(\d+)"), F.lit(0)), "overridden": F.col("path").rlike("or-x")})
+
+
 def decode_nifti(raw: bytes) -> tuple[tuple[int, ...], np.ndarray]:
     """(shape, values in the file's order) of a NIfTI-1 or Analyze file's bytes, plain or gzipped."""
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
@@ -83,7 +96,7 @@ def encode_nifti(values: np.ndarray) -> bytes:
 def read_images(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, frame from 1, x, y, z, activity) of images: each file is decoded where it is read, one file a row of bytes.
 
-    A 4-D file gives its own frames; of several 3-D files the order of their names gives the frames.
+    A 4-D file gives its own frames; of several 3-D files the last number in their names orders the frames, then the name.
     """
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
 
@@ -98,7 +111,9 @@ def read_images(spark: SparkSession, pattern: str) -> DataFrame:
 
     cells = files.mapInPandas(decode, "path string, at int, x int, y int, z int, activity double")
     order = files.select("path").distinct()
-    placed = order.withColumn("place", F.row_number().over(Window.orderBy("path")) - 1)
+    # One row a file: a scan has some tens.
+    number = F.element_at(F.regexp_extract_all(F.regexp_replace("path", r"\.(nii|img|hdr)(\.gz)?$", ""), F.lit(r"(\d+)"), F.lit(1)), -1).cast("long")
+    placed = order.withColumn("place", F.row_number().over(Window.orderBy(number, "path")) - 1)
     many = F.max("at").over(Window.partitionBy()) > 0
     sizes = cells.groupBy("path").agg(F.max("at").alias("at")).withColumn("many", many).select("path", "many")
     return cells.join(F.broadcast(placed), "path").join(F.broadcast(sizes), "path").select("path", (F.when(F.col("many"), F.col("at")).otherwise(F.col("place")) + 1).alias("frame"), "x", "y", "z", "activity")
@@ -113,8 +128,10 @@ def write_frames(voxels: DataFrame, path: str, again: bool = False) -> None:
     voxels.write.mode("overwrite" if again else "ignore").partitionBy("frame").parquet(path)
 
 
-def cached(spark: SparkSession, path: str, make, force: bool = False) -> DataFrame:
-    """The table at path; made and written first if it is absent or force is given."""
+def cached(spark: SparkSession, path: str, make, force: bool = False, **config) -> DataFrame:
+    """The table made with config, kept under path in a folder that the config names; made first if it is absent or force is given."""
+    if config:
+        path = f"{path}/{sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
     if force or not first_existing(spark, [path]):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
