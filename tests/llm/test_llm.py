@@ -482,3 +482,80 @@ def test_spans_with_hot_anchors_and_ids_of_any_type(spark, monkeypatch, kind):
         monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
         got = {int(r["doc_id"]): (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs, 20).collect()}
         assert got == want
+
+
+@pytest.fixture(scope="module")
+def peculiar(spark):
+    """Null and repeated ids, ids of type int, and columns named like those inside the operators."""
+    rng = np.random.default_rng(4)
+    base = " ".join(f"w{i}," for i in rng.integers(0, 900, 120)) + "."
+    near = base.replace("w1", "v1", 1)
+    rows = [(None, base), (None, "one line that is long enough\nx"), (7, base), (7, near), (8, None), (8, ""), (9, base.upper()), (10, "one line that is long enough"), (11, "One line that is long enough\ny z"), (12, "one line that is long enough\nq"), (13, base), (13, base)]
+    docs = spark.createDataFrame([(i, t, "en" if n % 3 else None, f"s{n % 2}" if n % 4 else None, 0) for n, (i, t) in enumerate(rows)], "doc_id int, text string, lang string, source string, n_chars int")
+    for name in ("id", "key", "h1", "place", "signature", "size", "odds", "anchor", "n_words", "__id", "words_key"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    return docs
+
+
+def test_operators_on_null_and_repeated_ids(spark, peculiar):
+    n, ids = peculiar.count(), sorted((r["doc_id"] for r in peculiar.select("doc_id").collect()), key=str)
+    path = queries.tokenizer_path(queries.PIECE_MODEL)
+    found = {
+        "mix": mixing.mix(peculiar, [3, 1, 2]), "lang": language_id.predict(peculiar, None), "lines": line_dedup.dedup_lines(peculiar), "rules": quality_rules.apply_rules(peculiar),
+        "near": jaccard_join.near_duplicates(peculiar, 4, 85), "spans": substring_dedup.remove_repeats(peculiar, 20), "tokens": token_counts.with_token_counts(peculiar, queries.tokenizer_path(queries.TOKENIZER), 9),
+        "pieces": sentence_pieces.encode(peculiar, path), "quality": quality_classifier.classify(peculiar, quality_classifier.fit(peculiar.limit(0), spark.createDataFrame([(7, 1)], "doc_id int, quality int"))),
+        "exact": exact_dedup.dedup_exact(peculiar),
+    }
+    rows = {name: df.collect() for name, df in found.items()}
+    assert {name: sorted((r["doc_id"] for r in x), key=str) for name, x in rows.items()} == dict.fromkeys(rows, ids) and n == 12
+    # Rows without an id keep their lines and words, and belong to no group; the others see each other only.
+    assert all(r["n_dropped"] == 0 for r in rows["lines"] if r["doc_id"] is None)
+    assert {r["doc_id"]: r["n_dropped"] for r in rows["lines"] if r["doc_id"] in (10, 11, 12)} == {10: 1, 11: 1, 12: 0}
+    assert all(r["n_removed"] == 0 for r in rows["spans"] if r["doc_id"] is None)
+    assert all(r["n_removed"] == r["n_words"] for r in rows["spans"] if r["doc_id"] == 13)
+    assert {(r["doc_id"], r["component_id"]) for r in rows["near"]} == {(None, None), (7, 7), (8, 8), (9, 7), (10, 10), (11, 11), (12, 12), (13, 7)}
+
+
+def test_pipeline_on_null_and_repeated_ids_and_on_no_rows(spark, sf, peculiar):
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    docs = peculiar.select("doc_id", "text", "lang", "source", "n_chars")
+    near = stages["near duplicates"](spark, docs, sf)
+    assert sorted((r["doc_id"] for r in near.collect()), key=str) == sorted([7, 7, 8, 8, 10, 11, 12, None, None], key=str)
+    lines = stages["line dedup"](spark, docs, sf).collect()
+    # 10 would lose all its text, so it is left out; 11 keeps its second line.
+    assert {r["text"] for r in lines if r["doc_id"] in (10, 11, 12)} == {"y z", "one line that is long enough\nq"}
+    assert sum(r["doc_id"] is None for r in lines) == 2 and all(r["n_chars"] == len(r["text"]) for r in lines if r["text"])
+    mixed = stages["mixing"](spark, docs, sf).groupBy("doc_id", "text").count().collect()
+    times = {i: {r["count"] for r in mixed if r["doc_id"] == i and r["text"]} for i in (None, 7)}
+    assert all(len(x) <= 1 for x in times.values()) and all(r["text"] for r in mixed if r["doc_id"] != 8)
+    assert stages["quality classifier"](spark, docs, sf).where("doc_id = 7").count() in (0, 2)
+    out = stages["sentence pieces"](spark, docs, sf).collect()
+    assert len(out) == 12 and all(r["lossless"] for r in out)
+    docs = docs.limit(0)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+
+
+def test_many_lost_lines_and_a_rerun(spark, tmp_path):
+    text = "\n".join(f"a long shared line number {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, f"own {i}\n{text}\nown {i}") for i in range(3)], "doc_id long, text string")
+    for name in ("first", "first"):
+        runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"))
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(docs, runs=runs, name=name).collect()}
+        assert got == {i: (20_002, 20_000, f"own {i}\nown {i}") for i in range(2)} | {2: (20_002, 0, f"own 2\n{text}\nown 2")}
+    assert runs.merged().agg(F.max("n_docs")).first()[0] == 3
+    assert runs.rows("new").count() == runs.rows("new").select("h1", "h2").distinct().count() == 20_000
+
+
+def test_sketches_of_any_size_never_rule_a_link_out():
+    rng = np.random.default_rng(6)
+    for size in (1, 500, 2048, 2049, 9000):
+        a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.93)], rng.integers(0, 2**64, max(1, size // 20), np.uint64)]))
+        x, y = (np.frombuffer(jaccard_join.sketch(s), np.uint64) for s in (a, b))
+        least = min(len(x), len(y))
+        apart = int(np.bitwise_count(jaccard_join.folded(x, least) ^ jaccard_join.folded(y, least)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (size < 500 or apart > 0)
