@@ -44,6 +44,27 @@ def timing(times: DataFrame, keys: list[str], t: str = "t", used: str = "used")
     return found.select(*keys, (mid - d / 2).alias("t_start"), mid.alias("t_mid"), (mid + d / 2).alias("t_end"), "duration", used, F.sqrt(d).alias("weight"), (1 / F.sqrt(F.sqrt(d))).alias("sigma"))
 
 
+def weights(timed: DataFrame, by_root: bool = True) -> DataFrame:
+    """The used rows of timing with the weight of their duration: its root, or itself."""
+    return timed.where("used").withColumn("weight", F.sqrt("duration") if by_root else F.col("duration"))
+
+
+def rising(found: DataFrame) -> DataFrame:
+    """lines with whether the curve rises, whole and without its first sample: what has no slope (one sample) doesn't."""
+    up = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return found.withColumns({"rising": up("whole_slope"), "rising_later": up("wo_first_slope")})
+
+
+def early_limit(units: Column, minutes: float = 10.0) -> Column:
+    """The latest time of an early peak in the units of time: seconds if their name starts with s, else minutes."""
+    return F.when(F.lower(units).startswith("s"), F.lit(60.0 * minutes)).otherwise(F.lit(float(minutes)))
+
+
+def described(mean: Column, sd: Column, low: Column, high: Column) -> Column:
+    """A line on values: mean, sd, the range of two sd about the mean, and the whole range."""
+    return F.format_string("mean %.1f +/- sd %.1f, 95%% [%.1f to %.1f] range [%.1f to %.1f]", mean, sd, mean - sd - sd, mean + sd + sd, low, high)
+
+
 def uniform(times: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Whether each curve's steps are equal to 4 decimals."""
     step = F.round((F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))) * 10000)
@@ -69,8 +90,8 @@ def interpolate(curves: DataFrame, grid: DataFrame, keys: list[str], t: str = "t
     return placed.select(*keys, t, F.when(F.col("a").isNull(), start).otherwise(inside).alias(value))
 
 
-def pchip(curves: DataFrame, keys: list[str], t: str = "t", value: str = "activity", steps: int = 2) -> DataFrame:
-    """Monotone cubic interpolation (Fritsch-Carlson slopes) at steps even points of each interval, and at the last knot."""
+def _intervals(curves: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
+    """Each knot with the interval after it: its length h, the slope d at the knot (Fritsch-Carlson), and d1 and y1 at the next."""
     w = Window.partitionBy(*keys).orderBy(t)
     h, y = F.lead(t).over(w) - F.col(t), F.col(value)
     a = curves.withColumn("h", h).withColumn("m", (F.lead(value).over(w) - y) / h)
@@ -84,14 +105,44 @@ def pchip(curves: DataFrame, keys: list[str], t: str = "t", value: str = "activi
     w1, w2 = 2 * F.col("h") + F.col("h0"), F.col("h") + 2 * F.col("h0")
     middle = F.when(F.col("m0") * F.col("m") <= 0, 0.0).otherwise((w1 + w2) / (w1 / F.col("m0") + w2 / F.col("m")))
     slope = F.when(F.col("m0").isNull(), end("h", "h1", "m", "m1")).when(F.col("m").isNull(), end("h0", "h00", "m0", "m00")).otherwise(middle)
-    b = a.withColumn("d", slope).withColumn("d1", F.lead("d").over(w)).withColumn("y1", F.lead(value).over(w))
+    return a.withColumn("d", slope).withColumn("d1", F.lead("d").over(w)).withColumn("y1", F.lead(value).over(w))
+
+
+def _cubic(u: Column, h: Column, y: Column, d: Column, y1: Column, d1: Column) -> Column:
+    """The monotone cubic at the share u of an interval."""
+    return (2 * u * u * u - 3 * u * u + 1) * y + (u * u * u - 2 * u * u + u) * h * d + (3 * u * u - 2 * u * u * u) * y1 + (u * u * u - u * u) * h * d1
+
+
+def pchip(curves: DataFrame, keys: list[str], t: str = "t", value: str = "activity", steps: int = 2) -> DataFrame:
+    """Monotone cubic interpolation (Fritsch-Carlson slopes) at steps even points of each interval, and at the last knot."""
+    y, b = F.col(value), _intervals(curves, keys, t, value)
     s = F.explode(F.when(F.col("h").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(steps - 1)))).alias("step")
     c = b.select(*keys, t, value, "h", "d", "d1", "y1", s).withColumn("s", F.col("step") / F.lit(float(steps)))
     u = F.col("s")
-    cubic = (2 * u * u * u - 3 * u * u + 1) * y + (u * u * u - 2 * u * u + u) * F.col("h") * F.col("d") + (3 * u * u - 2 * u * u * u) * F.col("y1") + (u * u * u - u * u) * F.col("h") * F.col("d1")
+    cubic = _cubic(u, F.col("h"), y, F.col("d"), F.col("y1"), F.col("d1"))
     return c.select(*keys, (F.col(t) + u * F.coalesce("h", F.lit(0.0))).alias(t), F.when(u == 0, y).otherwise(cubic).alias(value))
 
 
+def pchip_at(curves: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", value: str = "activity") -> DataFrame:
+    """The monotone cubic through each curve at grid (keys, t): an as-of join by one window. Beyond the ends the outermost cubics
+    go on; a curve of one knot has its value everywhere, and keys without a curve give null."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    names = ["at", "h", "y", "d", "y1", "d1"]
+    b = _intervals(curves, keys, t, value).withColumn("at", F.col(t)).withColumn("y", F.col(value))
+    own = F.struct(*names)
+    # The last knot stands for the interval before it.
+    b = b.withColumn("own", own).withColumn("knot", F.when(F.col("h").isNull(), F.coalesce(F.lag("own").over(w), F.col("own"))).otherwise(F.col("own")))
+    knots = b.select(*keys, t, "knot", F.lit(0).alias("kind"))
+    both = knots.unionByName(grid.select(*keys, t, F.lit(None).cast(knots.schema["knot"].dataType).alias("knot"), F.lit(1).alias("kind")))
+    before = Window.partitionBy(*keys).orderBy(t, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(t, F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
+    knot = F.coalesce(F.last("knot", True).over(before), F.first("knot", True).over(after))
+    placed = both.withColumn("knot", knot).where("kind = 1")
+    k = lambda name: F.col(f"knot.{name}")
+    cubic = _cubic((F.col(t) - k("at")) / k("h"), *[k(n) for n in names[1:]])
+    return placed.select(*keys, t, F.when(k("h").isNull(), k("y")).otherwise(cubic).alias(value))
+
+
 def convolve(curves: DataFrame, kernel: Column, keys: list[str], at: str = "frame", value: str = "activity", step: float = 1.0) -> DataFrame:
     """Causal convolution with a kernel, a function of the column lag: y[n] = step * sum of kernel(j) x[n - j]; a curve is an array of frames."""
     own = F.collect_list(F.struct(F.col(at), F.col(value))).over(Window.partitionBy(*keys).orderBy(at))

@@ -87,6 +87,16 @@ def alternates(found: DataFrame, best: DataFrame, sizes: DataFrame, within: int
     return top.where("blobs < best_blobs").select("k", "label", "peak_index", "peak_value")
 
 
+def runners_up(found: DataFrame, best: DataFrame, offsets: tuple[int, ...] | None = (1, 2)) -> DataFrame:
+    """(k, offset, place, label, peak_value): the vascular clusters that peak so many samples after the best of their k, the highest
+    first. offsets None takes all that peak later."""
+    b = best.select("k", F.col("peak_index").alias("best_index"))
+    later = found.where("vascular").join(b, "k").withColumn("offset", F.col("peak_index") - F.col("best_index"))
+    later = later.where("offset > 0") if offsets is None else later.where(F.col("offset").isin(*offsets))
+    order = Window.partitionBy("k", "offset").orderBy(F.desc("peak_value"), "label")
+    return later.select("k", "offset", F.row_number().over(order).alias("place"), "label", "peak_value")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new added or put in place of those with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

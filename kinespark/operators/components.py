@@ -75,4 +75,5 @@ def _scores(points: DataFrame, axes: np.ndarray) -> DataFrame:
 
 
 def component_stats(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("component").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.min("score").alias("low"), F.max("score").alias("high"))
+    """(component, n, mean, sd, low, high) of the voxels' scores."""
+    return scores.groupBy("component").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.min("score").alias("low"), F.max("score").alias("high"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions.curves import interpolate
+from kinespark.functions.curves import interpolate, pchip_at
 
 
 def ki(k1: Column, k2: Column, k3: Column) -> Column:
@@ -108,3 +108,15 @@ def full_curve(curves: DataFrame, fits: DataFrame, keys: list[str], step: float
     late = grid.where("t >= peak").join(fits, keys).withColumn("activity", decay)
     early = grid.where("t < peak").join(early, [*keys, "t"])
     return early.select(*keys, "i", "t", "activity").unionByName(late.select(*keys, "i", "t", "activity"))
+
+
+def resampled(curves: DataFrame, fits: DataFrame, keys: list[str], step: float = 0.1) -> DataFrame:
+    """(keys, t, activity): full_curve by its monotone cubics at each curve's own times."""
+    return pchip_at(full_curve(curves, fits, keys, step), curves.select(*keys, "t"), keys)
+
+
+def equation(terms: Column) -> Column:
+    """The text of a sum of decays (terms: array of (c, rate)), the largest coefficients first; equal ones stay in order."""
+    larger_first = lambda a, b: F.when(a["c"] > b["c"], -1).when(a["c"] < b["c"], 1).otherwise(0)
+    text = lambda x: F.format_string("%.2fe^{%.2ft}", x["c"], -x["rate"])
+    return F.array_join(F.transform(F.array_sort(terms, larger_first), text), " + ")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     """The first of the candidate paths that exists, on whatever file system."""
     for path in candidates:
@@ -62,6 +63,23 @@ def clip_threshold(lines: DataFrame, subjects: DataFrame, keys: list[str]) -> Da
     return subjects.join(newest, keys, "left").select(*keys, F.coalesce("clip", F.lit(0)).alias("clip"))
 
 
+# Fixed value: how a log names a cluster, and one that was taken in place of another.
+_CLUSTER = r"centroid ([0-9]+)/([0-9]+): peak=([0-9.]+) @ t=([0-9]+)/([0-9]+), ([0-9]+) blobs w/~([0-9.]+) voxels"
+_CLUSTER_FIELDS = (("label", "int"), ("k", "int"), ("peak", "double"), ("t", "int"), ("t_len", "int"), ("blobs", "int"), ("vox_per_blob", "double"))
+
+
+def alternates_taken(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Log lines that say that an alternate was taken, with orig and final: structs of the clusters' seven typed fields, and step.
+
+    The second clustering has four clusters, so step is 2 if the original's k is 4. Other lines are left out.
+    """
+    pattern = "alternate.*" + _CLUSTER + ".*" + _CLUSTER
+    field = lambda i, name, kind: F.regexp_extract(text, pattern, i).cast(kind).alias(name)
+    one = lambda start: F.struct(*[field(start + i, *f) for i, f in enumerate(_CLUSTER_FIELDS)])
+    found = lines.where(F.col(text).rlike(pattern)).withColumns({"orig": one(1), "final": one(8)})
+    return found.withColumn("step", F.when(F.col("orig.k") == 4, 2).otherwise(1))
+
+
 def run_folders(paths: DataFrame) -> DataFrame:
     """paths (path, ...) with what a run's folder says of it: sr (sparsity reduction; 0 for nosr), clip, overridden."""
     part = lambda pattern: F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")).cast("int")
@@ -123,6 +141,28 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep)
 
 
+def write_cluster_tables(found: DataFrame, centroid_curves: DataFrame, path: str) -> None:
+    """Under path: metadata (a row a cluster, doubles to 5 places) and tacs (a row a frame, a column l-label_k-k a cluster), as CSV."""
+    rounded = [F.round(c, 5).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes]
+    write_csv(found.select(*rounded).orderBy("k", "label"), f"{path}/metadata")
+    names = found.select("k", "label").distinct().orderBy("k", "label").collect()  # a row a cluster: columns of the table
+    name = F.format_string("l-%d_k-%d", "label", "k")
+    wide = centroid_curves.withColumn("name", name).groupBy("frame").pivot("name", [f"l-{r['label']}_k-{r['k']}" for r in names]).agg(F.first("activity"))
+    write_csv(wide.orderBy("frame"), f"{path}/tacs")
+
+
+def write_matrix(similar: DataFrame, path: str) -> None:
+    """The square Dice matrix (k1, label1, k2, label2, dice) as CSV: rows and columns are clusters; no shared voxel gives 0."""
+    names = [r["name"] for r in similar.select(F.format_string("%02d-%02d", "label1", "k1").alias("name")).distinct().orderBy("name").collect()]
+    rows = similar.select(F.format_string("%02d-%02d", "label1", "k1").alias("cluster"), F.format_string("%02d-%02d", "label2", "k2").alias("name"), "dice")
+    write_csv(rows.groupBy("cluster").pivot("name", names).agg(F.first("dice")).fillna(0.0).orderBy("cluster"), path)
+
+
+def write_masks(masks: DataFrame, path: str, again: bool = False) -> None:
+    """masks (bucket, k, label, x, y, z): a folder a bucket and cluster; left alone if it exists, unless again."""
+    masks.write.mode("overwrite" if again else "ignore").partitionBy("bucket", "k", "label").parquet(path)
+
+
 def write_frames(voxels: DataFrame, path: str, again: bool = False) -> None:
     """A folder of Parquet for each frame; left alone if it exists, unless again."""
     voxels.write.mode("overwrite" if again else "ignore").partitionBy("frame").parquet(path)
