@@ -73,11 +73,11 @@ def q_frame_weights(spark, d):
 
 
 @query(sql("tac") + _TIMES + """, p AS (SELECT region, arg_min(frame, (-activity, frame)) AS top FROM tac GROUP BY region)
-SELECT region, frame >= top AS after_peak, count(*) AS n, round(sum(activity), 6) AS activity, round(sum(sqrt(duration)), 6) AS weight, round(sum(1 / sqrt(sqrt(duration))), 6) AS sigma, round(sum(duration), 6) AS duration FROM tac JOIN w USING (region, frame) JOIN p USING (region) GROUP BY ALL""")
+SELECT region, frame >= top AS after_peak, count(*) AS n, round(sum(activity), 8) AS activity, round(sum(sqrt(duration)), 6) AS weight, round(sum(1 / sqrt(sqrt(duration))), 6) AS sigma, round(sum(duration), 6) AS duration FROM tac JOIN w USING (region, frame) JOIN p USING (region) GROUP BY ALL""")
 def q_peak_halves(spark, d):
     rows = curves.with_peak(proxies.regional_curves(spark, d), ["region"]).withColumn("t_mid", frame_time(F.col("frame")))
     both = rows.join(_timing(spark, d), ["region", "t_mid"]).groupBy("region", "after_peak")
-    return both.agg(F.count("*").alias("n"), *[r6(F.sum(c), c) for c in ("activity", "weight", "sigma", "duration")])
+    return both.agg(F.count("*").alias("n"), F.round(F.sum("activity"), 8).alias("activity"), *[r6(F.sum(c), c) for c in ("weight", "sigma", "duration")])
 
 
 @query(sql("tac") + _TIMES + " SELECT frame, region, round(t - duration / 2, 6) AS t_start, round(t + duration / 2, 6) AS t_end, round(activity * duration, 6) AS counts FROM tac JOIN w USING (region, frame)")
@@ -99,10 +99,11 @@ def q_early_peak(spark, d):
     return catalogue._traits(spark, d).select("k", "label", (t < curves.early_limit(F.when(seconds, "s").otherwise("min"))).alias("early"))
 
 
-@query(sql("tac") + "SELECT frame, round(avg(activity), 6) AS mean, round(stddev_pop(activity), 6) AS sd, round(min(activity), 6) AS low, round(max(activity), 6) AS high FROM tac GROUP BY frame")
+@query(sql("tac") + "SELECT frame, round(avg(activity), 8) AS mean, round(stddev_pop(activity), 8) AS sd, round(min(activity), 8) AS low, round(max(activity), 8) AS high FROM tac GROUP BY frame")
 def q_curve_ensemble(spark, d):
     rows = proxies.regional_curves(spark, d).groupBy("frame")
-    return rows.agg(r6(F.avg("activity"), "mean"), r6(F.stddev_pop("activity"), "sd"), r6(F.min("activity"), "low"), r6(F.max("activity"), "high"))
+    # Sums of prices have 8 places.
+    return rows.agg(*[F.round(f("activity"), 8).alias(name) for f, name in ((F.avg, "mean"), (F.stddev_pop, "sd"), (F.min, "low"), (F.max, "high"))])
 
 
 @query("""WITH s AS (SELECT l_returnflag AS region, avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1)
@@ -147,7 +148,7 @@ def q_component_stats(spark, d):
 
 #: Minutes between a curve's samples.
 EVERY = 0.37
-_GRID = ORACLES["q_full_curve"].replace("frame * 0.5e0", f"frame * {EVERY}e0").replace("SELECT e.region, e.i, e.t, round(CASE", ", a AS (SELECT e.region, e.t, (CASE", 1).replace("END, 6) AS activity\n", "END) AS y\n")
+_GRID = ORACLES["q_full_curve"].replace("frame * 0.5e0", f"frame * {EVERY}e0").replace("SELECT e.region, e.i, e.t, round(CASE", ", a AS (SELECT e.region, e.t, (CASE", 1).replace("END, 8) AS activity\n", "END) AS y\n")
 _SLOPES = ORACLES["q_pchip"].split("frame * frame / 64e0 AS t, activity AS y FROM cent),\n", 1)[1].split("\ng AS", 1)[0].replace("k, label", "region").replace("c AS (", "cc AS (").replace("FROM c)", "FROM cc)").replace("e AS (", "ee AS (").replace("FROM e)", "FROM ee)").replace("s AS (", "ss AS (").replace("FROM s)", "FROM ss)")
 
 

@@ -133,14 +133,14 @@ g AS (SELECT region, i, round(i * 0.1e0, 6) AS t, peak FROM (SELECT *, unnest(ra
 k AS (SELECT c.*, lead(t) OVER w AS tn, lead(activity) OVER w AS an, row_number() OVER w AS place FROM c JOIN p USING (region) WHERE t <= peak WINDOW w AS (PARTITION BY region ORDER BY t)),
 e AS (SELECT g.region, g.i, g.t, peak, n.t AS t0, n.activity AS a0, n.tn, n.an FROM g ASOF LEFT JOIN k n ON g.region = n.region AND g.t >= n.t),
 s AS (SELECT region, t AS t0, activity AS a0, tn, an FROM k WHERE place = 1)
-SELECT e.region, e.i, e.t, round(CASE WHEN e.t >= peak THEN 30 * exp(-0.02e0 * e.t) + 5 * exp(-0.3e0 * e.t) WHEN e.t0 IS NULL THEN s.a0 + (e.t - s.t0) * (s.an - s.a0) / (s.tn - s.t0) ELSE e.a0 + (e.t - e.t0) * (e.an - e.a0) / (e.tn - e.t0) END, 6) AS activity
+SELECT e.region, e.i, e.t, round(CASE WHEN e.t >= peak THEN 30 * exp(-0.02e0 * e.t) + 5 * exp(-0.3e0 * e.t) WHEN e.t0 IS NULL THEN s.a0 + (e.t - s.t0) * (s.an - s.a0) / (s.tn - s.t0) ELSE e.a0 + (e.t - e.t0) * (e.an - e.a0) / (e.tn - e.t0) END, 8) AS activity
 FROM e JOIN s USING (region) WHERE e.t >= peak OR e.t0 IS NOT NULL OR s.tn IS NOT NULL""")
 def q_full_curve(spark, d):
     rows = proxies.regional_curves(spark, d).select("region", (F.col("frame") * F.lit(0.5)).alias("t"), "activity")
     term = lambda c, rate: F.struct(F.lit(c).alias("c"), F.lit(rate).alias("rate"))
     fits = rows.select("region").distinct().withColumn("terms", F.array(term(30.0, 0.02), term(5.0, 0.3)))
     found = kinetics.full_curve(rows, fits, ["region"])
-    return found.where("activity IS NOT NULL").select("region", F.col("i").cast("long").alias("i"), "t", r6(F.col("activity"), "activity"))
+    return found.where("activity IS NOT NULL").select("region", F.col("i").cast("long").alias("i"), "t", F.round("activity", 8).alias("activity"))
 
 
 @query(sql("tac") + "SELECT region, CASE WHEN frame * 0.5e0 > 5 THEN 'late' ELSE 'early' END AS panel, count(*) AS n FROM tac GROUP BY ALL UNION ALL SELECT region, 'late', count(*) FROM tac WHERE frame * 0.5e0 = 5 GROUP BY region")
