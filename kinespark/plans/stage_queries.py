@@ -52,10 +52,10 @@ def q_vascular_per_k(spark, d):
     return catalogue._traits(spark, d).groupBy("k").agg(F.count_if("vascular").alias("n_vascular"), F.count("*").alias("n"))
 
 
-@query(TRAITS + "SELECT t.k, t.label, t.voxel_count, t.voxel_count > 15 AS large FROM t JOIN b USING (k, label) WHERE t.vascular AND (t.k >= 14 OR t.k = 1)")
+@query(TRAITS + "SELECT t.k, t.label, t.voxel_count, t.voxel_count > 15 AS large FROM t JOIN b USING (k, label) WHERE t.vascular AND (t.k > 15 OR t.k = 1)")
 def q_stats_filter(spark, d):
     best = clusters.best_in_k(catalogue._traits(spark, d))
-    return best.where("vascular AND (k >= 14 OR k = 1)").select("k", "label", "voxel_count", (F.col("voxel_count") > 15).alias("large"))
+    return best.where("vascular AND (k > 15 OR k = 1)").select("k", "label", "voxel_count", (F.col("voxel_count") > 15).alias("large"))
 
 
 @query(RECURSIVE_TRAITS + """, sp AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k, label ORDER BY n DESC, blob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY k, label) AS prev_share FROM bs),
