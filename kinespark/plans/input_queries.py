@@ -99,11 +99,11 @@ def q_early_peak(spark, d):
     return catalogue._traits(spark, d).select("k", "label", (t < curves.early_limit(F.when(seconds, "s").otherwise("min"))).alias("early"))
 
 
-@query(sql("tac") + "SELECT frame, round(avg(activity), 8) AS mean, round(stddev_pop(activity), 8) AS sd, round(min(activity), 8) AS low, round(max(activity), 8) AS high FROM tac GROUP BY frame")
+@query(sql("tac") + "SELECT frame, round(avg(activity), 10) AS mean, round(stddev_pop(activity), 10) AS sd, round(min(activity), 8) AS low, round(max(activity), 8) AS high FROM tac GROUP BY frame")
 def q_curve_ensemble(spark, d):
     rows = proxies.regional_curves(spark, d).groupBy("frame")
-    # Sums of prices have 8 places.
-    return rows.agg(*[F.round(f("activity"), 8).alias(name) for f, name in ((F.avg, "mean"), (F.stddev_pop, "sd"), (F.min, "low"), (F.max, "high"))])
+    # Sums of prices have 8 places; a mean of two or four of them has up to 10, and would be halfway between two values of 8.
+    return rows.agg(*[F.round(f("activity"), n).alias(name) for f, n, name in ((F.avg, 10, "mean"), (F.stddev_pop, 10, "sd"), (F.min, 8, "low"), (F.max, 8, "high"))])
 
 
 @query("""WITH s AS (SELECT l_returnflag AS region, avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1)
