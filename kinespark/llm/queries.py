@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_counts
+from kinespark.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_counts, vector_codes
 from kinespark.llm._common import table
 
 #: Production parameters.
@@ -17,6 +17,8 @@ LINE_MIN_DOCS, LINE_MIN_CHARS = 3, 20
 PIECE_SEED = 17
 SHINGLE_WORDS, SIMILARITY = 4, 85
 SPAN_WORDS = 20
+RUN_WORDS, RUN_TIMES = 24, 3
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS = 16, 64, 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -84,7 +86,41 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_jaccard_join, op5_line_dedup, op6_sentence_pieces, op7_substring_dedup, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), where every tenth document (by a hash of its id) repeats some of its words with a period up to its end.
+
+    With h the hash, g = h / 10 and n words, word i from a = g % n on becomes word a + (i - a) % p, p = 1 + (n - a) / (3 + g % 8).
+    """
+    found = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = (F.col("h") % 10 == 0) & (F.length(F.btrim("text", F.lit(" \t\n\v\f\r"))) > 0)
+    words = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")).select("doc_id", "text", F.when(chosen, found).alias("w"), F.floor(F.col("h") / 10).alias("g"))
+    n, g = F.size("w"), F.col("g")
+    placed = words.select("doc_id", "text", "w", "g", (g % n).cast("int").alias("a")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i))), " ")
+    return placed.select("doc_id", F.when(F.col("w").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(with_periods(table(spark, sf_dir, "documents")), RUN_WORDS, RUN_TIMES)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(F.transform("runs", line), ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed_text", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_exact_dedup, op4_jaccard_join, op5_line_dedup, op6_sentence_pieces, op7_substring_dedup, op8_quality_rules, op9_quality_classifier, op10_token_counts, op11_periodic_runs, op12_vector_codes, op13_license_scan)}
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 _LIST = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"

@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from kinespark.llm import words
 from kinespark.llm._common import attach_groups, attach_lists, map_texts, scratch, stage
+from kinespark.llm.suffix_automaton import SuffixAutomaton
 
 #: Words of the runs whose least hash anchors a window.
 ANCHOR_WORDS = 8
@@ -33,61 +34,6 @@ HOT_LEAST, HOT_SHARE = 16, 2000
 HOT_ANCHORS = 10_000
 
 
-class SuffixAutomaton:
-    """The suffix automaton of several sequences of words; state 0 is the start."""
-
-    def __init__(self) -> None:
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-
-    def _state(self, length: int, after: dict[bytes, int], link: int) -> int:
-        self.next.append(after)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.length) - 1
-
-    def _split(self, p: int, q: int, word: bytes) -> int:
-        """The state of the longest match at p and word, which stands within q."""
-        if self.length[q] == self.length[p] + 1:
-            return q
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
-        self.link[q] = copy
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = copy
-            p = self.link[p]
-        return copy
-
-    def add(self, sequence: list[bytes]) -> None:
-        last = 0
-        for word in sequence:
-            if (q := self.next[last].get(word)) is not None:
-                last = self._split(last, q, word)
-                continue
-            state, p = self._state(self.length[last] + 1, {}, 0), last
-            while p >= 0 and word not in self.next[p]:
-                self.next[p][word] = state
-                p = self.link[p]
-            if p >= 0:
-                self.link[state] = self._split(p, self.next[p][word], word)
-            last = state
-
-    def matches(self, sequence: list[bytes]) -> list[int]:
-        """At each word, the number of words up to it that stand together somewhere in the automaton's sequences."""
-        state = size = 0
-        out = []
-        for word in sequence:
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if (q := self.next[state].get(word)) is not None:
-                state = q
-                size += 1
-            else:
-                size = 0
-            out.append(size)
-        return out
-
-
 def anchored(hashed: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of all texts: (anchor, text, word of the anchor, first and last window start), words counted over all texts.
 

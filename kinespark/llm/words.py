@@ -59,9 +59,12 @@ def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, np.
         at = to
 
 
-def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's start and end in data, and for each text the number of its first word (one entry more than texts)."""
-    space = _SPACE[data]
+def spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's start and end in data, and for each text the number of its first word (one entry more than texts).
+
+    between says of each byte whether it stands between words.
+    """
+    space = between[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     cuts = bounds[1:-1]
