@@ -126,6 +126,12 @@ _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 _LIST = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: One assignment of parts to entries, and the next entries; {} are the numbers of rounds.
+_ASSIGNED = """a{0} AS (SELECT row, p, any_value(x) AS x, min(d * 64 + k) % 64 AS k, min(d) AS d
+      FROM (SELECT row, x.p, x, k, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN c{0} ON x.p = c{0}.p) GROUP BY row, p)"""
+_MOVED = """m{1} AS (SELECT p, k, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p, k, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{0}) GROUP BY p, k, i),
+c{1} AS (SELECT p, k, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN (SELECT p, k, list(y ORDER BY i) AS c FROM m{1} GROUP BY p, k) m USING (p, k))"""
+
 ORACLES = {
     "op1_mix_sources": f"""
 WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
@@ -188,4 +194,35 @@ o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string
              n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_lines_removed, n_words_removed FROM d JOIN a USING (row) LEFT JOIN h USING (row))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_removed <= {quality_rules.MOST_LOST} * n_words AS kept FROM o""",
+    "op11_periodic_runs": f"""
+WITH d AS (SELECT doc_id, {_LIST.format("coalesce(text, '')")} AS w, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT)) AS h FROM documents),
+n AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM n),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+k AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS key FROM (SELECT *, unnest(range(0, n - 15)) AS i FROM t)),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.key = y.key AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= 24 AND length >= 3 * q GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM t),
+o AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op12_vector_codes": f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT row, vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM v, range(16) AS parts(p)),
+c0 AS (SELECT p, x AS c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM x WHERE row IN (SELECT row FROM v ORDER BY vec_id LIMIT 64)),
+{_ASSIGNED.format(0)},
+{_MOVED.format(0, 1)},
+{_ASSIGNED.format(1)},
+{_MOVED.format(1, 2)},
+{_ASSIGNED.format(2)},
+e AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM c2) AS codebooks_sha256 FROM v JOIN e USING (row)""",
 }

@@ -72,12 +72,13 @@ def _whole(rows: DataFrame, id_col: str, vector_col: str, label_col: str | None,
     """(id, label, label_none, v) of the rows that count, and the first n_entries vectors by id."""
     label = F.lit(None).cast("string") if label_col is None else F.col(label_col).cast("string")
     found = rows.select(F.col(id_col).alias("id"), F.coalesce(label, F.lit("")).alias("label"), label.isNull().alias("label_none"), integers(F.col(vector_col)).alias("v")).where(F.size("v") > 0)
-    first = [r["v"] for r in found.orderBy(F.asc_nulls_last("id"), "v").limit(n_entries).select("v").collect()]
-    if first:
+    smallest = lambda df: [r["v"] for r in df.orderBy(F.asc_nulls_last("id"), "v").limit(n_entries).select("v").collect()]
+    if first := smallest(found):
         if len(first[0]) % n_parts:
             raise ValueError(f"vectors of {len(first[0])} components can't be cut into {n_parts} equal parts")
-        first = [v for v in first if len(v) == len(first[0])]
         found = found.where(F.size("v") == len(first[0]))
+        if any(len(v) != len(first[0]) for v in first):
+            first = smallest(found)
     return found, first
 
 
