@@ -45,6 +45,14 @@ def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return rows.mapInArrow(freeing, schema)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, made longer until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
