@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.llm import jaccard_join, line_dedup, mixing, quality_classifier, sentence_pieces
-from kinespark.llm._common import joins_small, table
+from kinespark.llm._common import joins_small, table, unused
 from kinespark.llm.queries import LINE_MIN_CHARS, LINE_MIN_DOCS, MIX_MOST, MIX_SHARE, MIX_WEIGHTS, PIECE_MODEL, PIECE_SEED, tokenizer_path
 from kinespark.staging import scratch, stage
 
@@ -21,8 +21,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def _joined(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """docs joined with decided (staged; __id, once each, and fixed-size columns), nulls being equal."""
-    return docs.join(joins_small(decided, 24), F.col("doc_id").eqNullSafe(F.col("__id")), how)
+    """docs joined with decided (staged; its first column the ids, once each, then fixed-size columns), nulls being equal."""
+    return docs.join(joins_small(decided, 24), F.col("doc_id").eqNullSafe(F.col(decided.columns[0])), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     with scratch(spark):
         judged = quality_classifier.classify(docs, quality_classifier.fit(docs, labels), labels)
-        kept = stage(judged.where("kept").select(F.col("doc_id").alias("__id")).distinct(), "kept-ids", keep=True)
+        kept = stage(judged.where("kept").select(F.col("doc_id").alias(unused("__id", docs.columns))).distinct(), "kept-ids", keep=True)
     return _joined(docs, kept, "left_semi")
 
 
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with scratch(spark):
         found = jaccard_join.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
         first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        first = stage(first.select(F.col("doc_id").alias("__id")).distinct(), "first-ids", keep=True)
+        first = stage(first.select(F.col("doc_id").alias(unused("__id", docs.columns))).distinct(), "first-ids", keep=True)
     return _joined(docs, first, "left_semi")
 
 
@@ -59,12 +59,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are each taken as often as the one of them that is taken most. A document without words isn't
     taken.
     """
+    ident, times_col, time_col = (unused(c, docs.columns) for c in ("__id", "__times", "__time"))
     with scratch(spark):
         mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
         times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).otherwise(0)
-        taken = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max(times).alias("__times")).where("__times > 0")
+        taken = mixed.groupBy(F.col("doc_id").alias(ident)).agg(F.max(times).alias(times_col)).where(F.col(times_col) > 0)
         taken = stage(taken, "times", keep=True)
-    return _joined(docs, taken, "inner").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    return _joined(docs, taken, "inner").withColumn(time_col, F.explode(F.sequence(F.lit(1), times_col))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
