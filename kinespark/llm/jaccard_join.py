@@ -31,6 +31,10 @@ PART_MEMBERS = 4000
 #: sketches can't be more than the elements that are in one set only. A pair with too many is out; the others are compared
 #: in full. A larger set has as many cells as shingles, about, else its sketch would tell it from none.
 CELLS = 2048
+#: Documents of a signature that stand in one part; signatures that some group of texts has twice, with more documents than
+#: this in all such groups, are dealt by parts, so many signatures at most, those of most documents. Any other has a
+#: document a group of texts (words.GROUP_BYTES) at most, or is rarer than so many hot ones.
+PART_HOLDERS, HOT_SIGNATURES = 1000, 20_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -99,8 +103,11 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+_OFTEN = pa.list_(pa.struct([("signature", pa.int64()), ("n", pa.int64())]))
+
+
 def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, set_key (128 bits), sketch and signatures of each row."""
+    """id, n_shingles, set_key (128 bits), sketch and signatures of each row; often has the signatures that its group of texts has twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +117,12 @@ def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
                 flat = np.concatenate(signed).view(np.int64) if signed else np.zeros(0, np.int64)
                 keys = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_shingles", "set_key", "sketch", "signatures"])
+                value, times = np.unique(flat, return_counts=True)
+                again = [{"signature": v, "n": n} for v, n in zip(value[times > 1].tolist(), times[times > 1].tolist(), strict=True)]
+                often = pa.array([again, *[None] * (len(sets) - 1)], _OFTEN)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), often], ["id", "n_shingles", "set_key", "sketch", "signatures", "often"])
 
-    return docs.select("id", "text").transform(map_texts, run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary, signatures array<long>")
+    return docs.select("id", "text").transform(map_texts, run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary, signatures array<long>, often array<struct<signature:long,n:long>>")
 
 
 def _compare(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -326,8 +336,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 def _regions(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(id, n_shingles) of all rows, (id, first_id, copies) of classes of equal sets, the regions' members, and sketches.
 
-    Members are rows (signature, id, size, holders, pivot, pivot_size). A signature has a row a document at most, and a
-    document some hundred signatures, so even one that all documents hold is a small part of the rows.
+    Members are rows (signature, part, parts, id, size, holders, pivot, pivot_size). A signature's documents are counted and
+    its most central one is chosen within its part; hot signatures have many parts, and there both come from aggregations
+    that combine within tasks first.
     """
     described = stage(_described(rows, n, percent), "described")
     real = described.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
@@ -336,20 +347,34 @@ def _regions(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     copies = stage(placed.where(F.col("id") != F.col("first_id")).select("id", F.array().cast("array<int>").alias("none")), "set-copies")
     single = attach_lists(real.select("id", "n_shingles", "signatures"), copies, "id", "none", 0, "left_anti")
     signed = single.select("id", F.col("n_shingles").cast("int").alias("size"), F.explode("signatures").alias("signature"))
-    by_signature = Window.partitionBy("signature")
-    shared = stage(signed.withColumn("holders", F.count("*").over(by_signature)).where("holders > 1"), "shared-signatures")
+    hot = _hot_signatures(described, signed)
+    dealt = signed.join(F.broadcast(hot), "signature", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).cast("int"))
+    # A hot signature's count is known; its parts' own counts aren't used, nor are their maxima.
+    in_part = Window.partitionBy("signature", "part")
+    shared = dealt.withColumn("holders", F.coalesce("n", F.count("*").over(in_part))).where("holders > 1")
+    shared = stage(shared.select("signature", "id", "size", "holders", "part", F.coalesce("parts", F.lit(1)).cast("int").alias("parts")), "shared-signatures")
     # The most central: the original of many near copies shares more of its signatures than they do among each other.
-    central = shared.groupBy("id").agg(F.sum("holders").alias("degree"))
-    seeded = shared.join(central, "id").withColumn("first", F.max(F.struct("degree", "id", "size")).over(by_signature))
-    seeded = stage(seeded.select("signature", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded", keep=True)
+    central = shared.join(shared.groupBy("id").agg(F.sum("holders").alias("degree")), "id")
+    hot_first = central.where("parts > 1").groupBy("signature").agg(F.max(F.struct("degree", "id", "size")).alias("hot_first"))
+    first = F.coalesce("hot_first", F.max(F.struct("degree", "id", "size")).over(in_part))
+    seeded = central.join(F.broadcast(hot_first), "signature", "left").withColumn("first", first)
+    seeded = stage(seeded.select("signature", "part", "parts", "id", "size", "holders", F.col("first.id").alias("pivot"), F.col("first.size").alias("pivot_size")).where("id <> pivot"), "seeded", keep=True)
     needed = seeded.select("id").union(seeded.select("pivot")).distinct()
     sketches = stage(described.select("id", "sketch").join(needed, "id", "left_semi").dropDuplicates(["id"]), "sketches", keep=True)
     return stage(described.select("id", "n_shingles"), "set-sizes", keep=True), placed, seeded, sketches
 
 
+def _hot_signatures(described: DataFrame, signed: DataFrame) -> DataFrame:
+    """(signature, n, parts), staged, of the signatures that are dealt by parts, HOT_SIGNATURES at most."""
+    often = described.select(F.explode("often").alias("o")).groupBy("o.signature").agg(F.sum("o.n").alias("seen")).where(F.col("seen") > PART_HOLDERS)
+    often = stage(often.orderBy(F.desc("seen"), "signature").limit(HOT_SIGNATURES).select("signature"), "often")
+    counts = signed.join(F.broadcast(often), "signature", "left_semi").groupBy("signature").agg(F.count("*").alias("n"))
+    # Copies of equal sets are seen, but don't hold.
+    return stage(counts.where(F.col("n") > PART_HOLDERS).withColumn("parts", F.ceil(F.col("n") / PART_HOLDERS).cast("int")), "hot-signatures")
+
+
 def _roots(rows: DataFrame, seeded: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
     """Each linked document's root (node, root)."""
-    by_signature = Window.partitionBy("signature")
     # A set much smaller than the other can't have the similarity; of such a pair no distance is known.
     fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
     pairs = seeded.where(fits).groupBy("pivot", F.col("id").alias("member")).agg(F.first("pivot_size").cast("long").alias("pivot_size"), F.first("size").cast("long").alias("member_size"))
@@ -364,7 +389,8 @@ def _roots(rows: DataFrame, seeded: DataFrame, sketches: DataFrame, n: int, perc
     # Of a pair that isn't linked, the distance may be a lower bound.
     known = judged.select("pivot", F.col("member").alias("id"), "linked", "distance")
     crowded = seeded.where("holders > 2").join(known, ["pivot", "id"], "left").withColumn("shell", ~F.coalesce("linked", F.lit(False)))
-    crowded = crowded.withColumn("open", F.max("shell").over(by_signature)).where("open").groupBy("pivot", "id").agg(F.first("size").alias("size"), F.first("shell").alias("shell"), F.first("distance").alias("distance"))
+    opened = crowded.where("shell").select("signature", "parts").distinct().select("signature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    crowded = crowded.join(opened, ["signature", "part"], "left_semi").groupBy("pivot", "id").agg(F.first("size").alias("size"), F.first("shell").alias("shell"), F.first("distance").alias("distance"))
     members = crowded.join(roots, crowded["id"] == roots["node"], "left").select("pivot", "id", "size", "shell", "distance", F.coalesce("root", "id").alias("root"))
     members = stage(members, "members")
     members = stage(members.join(_near_shell(members, sketches, percent), ["pivot", "id"], "left_semi"), "near-members")

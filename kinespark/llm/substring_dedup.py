@@ -5,9 +5,10 @@ words has an anchor (the least hash of its shorter runs of words), equal windows
 stretches around one anchor. Only anchors found twice or more make shards. A shard's stretches are streamed in the order
 of the documents through the automaton of those before them, so a window that it knows has started earlier.
 
-Anchors that stand at many places would make large shards. Their windows are instead compared by key: each window's
-earliest start is found by an aggregation, which combines within tasks first, so no task grows with a phrase's frequency.
-Which anchors are treated so decides the cost alone; both ways find the same windows.
+Anchors of more than HOT_STRETCHES stretches would make large shards. All anchors are counted, by an aggregation that combines
+within tasks first, and the windows of those are instead compared by key: each window's earliest start is found by such an
+aggregation, too. So no shard has more than HOT_STRETCHES stretches, however often and evenly a phrase is spread. Which
+anchors are treated so decides the cost alone; both ways find the same windows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,11 +28,8 @@ from kinespark.llm.suffix_automaton import SuffixAutomaton
 
 #: Words of the runs whose least hash anchors a window.
 ANCHOR_WORDS = 8
-#: An anchor is hot if some group of texts that is read at once has it this often and at least at 1 / HOT_SHARE of its
-#: stretches; every anchor with more than 1 / HOT_SHARE of all stretches is, as it must have that share in some group.
-HOT_LEAST, HOT_SHARE = 16, 2000
-#: The most hot anchors, those found most often; all tasks know them.
-HOT_ANCHORS = 10_000
+#: The most stretches of a shard; one more, and the anchor is hot.
+HOT_STRETCHES = 1000
 
 
 def anchored(hashed: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,51 +132,66 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     return final.transform(map_texts, keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
-def _single(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    """The rows with a window that no smaller id has the same words as; the ids of those that one has; the hot anchors."""
+def _single(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with a window that no smaller id has the same words as; the ids of those that one has."""
     kind = rows.schema["id"].dataType.simpleString()
     real = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= 2 * window - 1))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
-                n = len(first) - 1
                 keys = [blake2b(hashed[a:b].tobytes(), digest_size=16).digest() if b - a >= window else None for a, b in zip(first[:-1], first[1:], strict=True)]
-                anchor, times = np.unique(anchored(hashed, first, window)[0], return_counts=True)
-                often = times >= max(HOT_LEAST, times.sum() / HOT_SHARE)
-                none = pa.nulls(int(often.sum()))
-                counts = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(anchor[often].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times[often], pa.int64())])
-                ids = batch.column(0).slice(at, n)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids, none.cast(ids.type)]), pa.concat_arrays([pa.array(keys, pa.binary()), none.cast(pa.binary())]), *counts], ["id", "words_key", "anchor", "times"])
-
-    found = stage(real.transform(map_texts, keyed, f"id {kind}, words_key binary, anchor long, times long"), "word-keys")
-    known = found.where(F.col("words_key").isNotNull())
-    often = found.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.sum("times").alias("times"))
-    hot = [r["anchor"] for r in often.orderBy(F.desc("times"), "anchor").limit(HOT_ANCHORS).collect()]
-    classes = stage(known.groupBy("words_key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")), "word-classes")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(keys)), pa.array(keys, pa.binary())], ["id", "words_key"])
+
+    known = stage(real.transform(map_texts, keyed, f"id {kind}, words_key binary").where(F.col("words_key").isNotNull()), "word-keys")
+    classes = stage(known.groupBy("words_key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"), "word-classes")
     # array() stands for a list in attach_lists: a copy has no stretches.
-    copies = attach_groups(known.select("id", "words_key"), classes.where("copies > 1"), ["words_key"], "copies").where(F.col("id") != F.col("first_id"))
+    copies = attach_groups(known.select("id", "words_key"), classes, ["words_key"], "copies").where(F.col("id") != F.col("first_id"))
     copies = stage(copies.select("id", F.array().cast("array<int>").alias("none")).distinct(), "word-copies")
-    return attach_lists(real, copies, "id", "none", 0, "left_anti"), copies, hot
+    return attach_lists(real, copies, "id", "none", 0, "left_anti"), copies
 
 
-def _hot_spans(single: DataFrame, window: int, hot: list[int]) -> DataFrame:
-    """(id, low, high) of the windows with a hot anchor that start earlier elsewhere, by 128-bit keys of windows."""
+def _places(single: DataFrame, window: int) -> DataFrame:
+    """(id, cold, hot): the words at which the document has anchors that stand twice or more, by whether they are hot; staged."""
     kind = single.schema["id"].dataType.simpleString()
-    known = np.array(sorted(hot), np.int64)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
+                anchor, row, place, _, _ = anchored(hashed, first, window)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(pa.array(at + row)), pa.array((place - first[row]).astype(np.int32))], ["anchor", "id", "place"])
+
+    with scratch(single.sparkSession):
+        found = stage(single.select("id", "text").transform(map_texts, anchors, f"anchor long, id {kind}, place int"), "anchors")
+        counts = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+        twice = attach_groups(found, counts, ["anchor"], "n")
+        # A document's places are a part of its words.
+        of_kind = lambda which, name: F.sort_array(F.collect_set(F.when(which, F.col("place")))).alias(name)
+        return stage(twice.groupBy("id").agg(of_kind(F.col("n") <= HOT_STRETCHES, "cold"), of_kind(F.col("n") > HOT_STRETCHES, "hot")), "places", keep=True)
+
+
+def _listed(lists: pa.Array, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of stretches, whose anchors stand at place, those in the lists of places, a list a text."""
+    size = np.diff(lists.offsets.to_numpy())
+    return np.flatnonzero(np.isin(place, np.repeat(first[:-1], size) + lists.flatten().to_numpy()))
+
+
+def _hot_spans(held: DataFrame, window: int) -> DataFrame:
+    """(id, low, high) of the windows with a hot anchor that start earlier elsewhere, by 128-bit keys of windows."""
+    kind = held.schema["id"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
-                anchor, row, _, low, high = anchored(hashed, first, window)
-                here = np.isin(anchor.view(np.int64), known)
+                _, row, place, low, high = anchored(hashed, first, window)
+                here = _listed(batch.column(2).slice(at, len(first) - 1), first, place)
                 low, row, size = low[here], row[here], (high - low + 1)[here]
                 start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 row = np.repeat(row, size)
                 keys = (words.shingles(hashed, window)[start], words.shingles(words.mix(hashed), window)[start]) if len(start) else (np.zeros(0, np.uint64),) * 2
                 yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in keys], batch.column(0).take(pa.array(at + row)), pa.array((start - first[row]).astype(np.int32))], ["w1", "w2", "id", "start"])
 
-    rows = stage(single.select("id", "text").transform(map_texts, windows, f"w1 long, w2 long, id {kind}, start int"), "hot-windows")
+    rows = stage(held.where(F.size("hot") > 0).select("id", "text", "hot").transform(map_texts, windows, f"w1 long, w2 long, id {kind}, start int"), "hot-windows")
     firsts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = attach_groups(rows, stage(firsts, "first-windows"), ["w1", "w2"], "n").where(F.struct("id", "start") != F.col("first"))
     return later.select("id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
@@ -186,38 +199,21 @@ def _hot_spans(single: DataFrame, window: int, hot: list[int]) -> DataFrame:
 
 def _gone(rows: DataFrame, window: int) -> DataFrame:
     """(id, gone): the ranges of words that each document loses."""
-    kind = rows.schema["id"].dataType.simpleString()
-    single, copies, hot = _single(rows, window)
-    known_hot, id_arrow = np.array(sorted(hot), np.int64), to_arrow_type(rows.schema["id"].dataType)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
-                anchor, row, place, _, _ = anchored(hashed, first, window)
-                cold = ~np.isin(anchor.view(np.int64), known_hot)
-                anchor, row, place = anchor[cold], row[cold], place[cold]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(pa.array(at + row)), pa.array((place - first[row]).astype(np.int32))], ["anchor", "id", "place"])
-
-    found = single.select("id", "text").transform(map_texts, anchors, f"anchor long, id {kind}, place int")
-    in_shard = Window.partitionBy("anchor").orderBy("id", "place")
-    twice = found.withColumn("other", F.coalesce(F.lag("place").over(in_shard), F.lead("place").over(in_shard))).where(F.col("other").isNotNull())
-    # A document's places are a part of its words.
-    places = stage(twice.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    kind, id_arrow = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
+    single, copies = _single(rows, window)
+    places = _places(single, window)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds, (starts, ends, first, hashed) in _scan(batch.column(1)):
-                n, raw = len(bounds) - 1, data.tobytes()
+            for at, data, _, (starts, ends, first, hashed) in _scan(batch.column(1)):
+                raw = data.tobytes()
                 anchor, row, place, low, high = anchored(hashed, first, window)
-                lists = batch.column(2).slice(at, n)
-                size = np.diff(lists.offsets.to_numpy())
-                wanted = np.repeat(first[:-1], size) + lists.flatten().to_numpy()
-                at_i = np.flatnonzero(np.isin(place, wanted) & ~np.isin(anchor.view(np.int64), known_hot))
+                at_i = _listed(batch.column(2).slice(at, len(first) - 1), first, place)
                 a, b = starts[low[at_i]], ends[high[at_i] + window - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[at_i].view(np.int64)), batch.column(0).take(pa.array(at + row[at_i])), pa.array((low - first[row])[at_i].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(a, b, strict=True)], pa.binary())], ["anchor", "id", "start", "stretch"])
 
-    held = single.select("id", "text").join(places, "id").select("id", "text", "places")
-    shards = held.transform(map_texts, stretches, f"anchor long, id {kind}, start int, stretch binary")
+    held = single.select("id", "text").join(places, "id")
+    shards = held.where(F.size("cold") > 0).select("id", "text", "cold").transform(map_texts, stretches, f"anchor long, id {kind}, start int, stretch binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one_by_one() -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -249,8 +245,8 @@ def _gone(rows: DataFrame, window: int) -> DataFrame:
         yield out(ready)
 
     spans = shards.repartition("anchor").sortWithinPartitions("anchor", "id", "start").transform(map_texts, match, f"id {kind}, low int, high int")
-    if hot:
-        spans = spans.unionByName(_hot_spans(single, window, hot))
+    if places.where(F.size("hot") > 0).limit(1).count():
+        spans = spans.unionByName(_hot_spans(held, window))
     gone = spans.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     whole = copies.select("id", F.array(F.struct(F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high"))).alias("gone"))
     return gone.unionByName(whole)

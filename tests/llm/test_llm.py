@@ -102,6 +102,28 @@ def test_jaccard_on_a_family_of_near_copies(spark):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
 
 
+def test_signatures_that_many_documents_hold(spark, monkeypatch):
+    """Families that share most signatures, dealt by parts of a few documents."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(100)]
+        for i in range(90):
+            text = list(base)
+            for k in rng.choice(100, rng.integers(0, 6), replace=False):
+                text[k] = f"n{family}x{i}x{k}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "PART_HOLDERS", 10)
+    with jaccard_join.scratch(spark):
+        described = jaccard_join._described(docs.select(F.col("doc_id").alias("id"), "text"), 4, 85)
+        hot = jaccard_join._hot_signatures(described, described.select("id", F.explode("signatures").alias("signature"))).collect()
+        assert len(hot) > 20 and all(r["n"] > 10 and r["parts"] == -(-r["n"] // 10) for r in hot)
+    check_groups(docs, 4, 85)
+    monkeypatch.setattr(jaccard_join, "HOT_SIGNATURES", 3)
+    check_groups(docs, 4, 85)
+
+
 def test_spans(spark, sf, odd, empty):
     for df in (docs_of(spark, sf), odd):
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df, 20).collect()}
@@ -478,12 +500,30 @@ def test_spans_with_hot_anchors_and_ids_of_any_type(spark, monkeypatch, kind):
     rows = [(i + 100, t) for i, t in enumerate(texts)]
     want = brute_spans(dict(rows), 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text", F.lit(1).alias("id"), F.lit("x").alias("anchor"))
-    for least in (16, 2, 10**9):
-        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+    for most in (1000, 40, 1):
+        monkeypatch.setattr(substring_dedup, "HOT_STRETCHES", most)
         got = {int(r["doc_id"]): (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs, 20).collect()}
         assert got == want
 
 
+def test_no_shard_grows_with_a_phrase(spark, monkeypatch):
+    """A phrase that stands a few times in every part of the corpus is never rare enough to grow a shard."""
+    rng = np.random.default_rng(21)
+    phrase = " ".join(f"common{i}" for i in range(30))
+    draw = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 3000, n))
+    rows = [(i, f"{draw(60)} {phrase} {draw(60)}" if i % 4 == 0 else draw(120)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    monkeypatch.setattr(substring_dedup, "HOT_STRETCHES", 20)
+    with substring_dedup.scratch(spark):
+        single, _ = substring_dedup._single(docs.select(F.col("doc_id").alias("id"), "text"), 20)
+        places = substring_dedup._places(single, 20)
+        assert places.where("size(hot) > 0").count() == 100
+        cold = places.select("id", F.explode("cold").alias("place"))
+        assert cold.count() < 100  # the phrase's inner anchors are all hot; those at its ends stand once
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs, 20).collect()}
+    assert got == brute_spans(dict(rows), 20)
+
+
 @pytest.fixture(scope="module")
 def peculiar(spark):
     """Null and repeated ids, ids of type int, and columns named like those inside the operators."""
