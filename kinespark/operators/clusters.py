@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.operators import lattice
+
 
 def centroids(voxels: DataFrame, labels: DataFrame) -> DataFrame:
     """(k, label, frame, activity, voxel_count): the mean curve of each cluster. Partial sums are made before the shuffle."""
@@ -26,6 +28,16 @@ def traits(centroid_curves: DataFrame) -> DataFrame:
     return flagged.withColumn("vascular", ~F.col("noise") & ~F.col("irreversible") & ~F.col("background"))
 
 
+def confetti_of(cells: DataFrame, keys: list[str], image_center: DataFrame, axis: int, direction: int, zoom: float, origin: float) -> DataFrame:
+    """(keys, score, likely_confetti) of clusters of voxels (keys, x, y, z), along the axis and direction of lattice.superior_axis.
+
+    image_center is one row with image_z, the image's centre of mass in slices; zoom is negative where slices go down.
+    """
+    slices = lattice.density(cells, keys, axis).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    rows = slices.crossJoin(F.broadcast(image_center))  # one row
+    return lattice.confetti(rows, keys, "total", **lattice.confetti_bounds(F.col("image_z"), zoom, origin), direction=direction)
+
+
 def best_in_k(found: DataFrame, confetti: DataFrame | None = None, keep_confetti: bool = False) -> DataFrame:
     """Of each k the vascular cluster that is the highest of those that peak first.
 

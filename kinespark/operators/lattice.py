@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,13 @@ def block_means(cells: DataFrame, value: str, by: int = 2, keys: list[str] | Non
 
 
 def clip_axial(cells: DataFrame, n: int) -> DataFrame:
-    """Without the n lowest slices, counted from 0 again."""
+    """Without the n first slices, counted from 0 again."""
     return cells.where(F.col("z") >= n).withColumn("z", F.col("z") - n)
 
 
-def density(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """How many voxels of each cluster stand in each slice."""
-    return cells.groupBy(*keys, "z").agg(F.count("*").alias("n"))
+def density(cells: DataFrame, keys: list[str], axis: int = 2) -> DataFrame:
+    """How many voxels of each cluster stand in each slice (z) across the axis that superior_axis names."""
+    return cells.groupBy(*keys, F.col("xyz"[axis]).alias("z")).agg(F.count("*").alias("n"))
 
 
 #: Millimetres from the centre of mass: the range of vessels, and below which noise is weak, or strong; the slice at whose
@@ -52,12 +54,14 @@ def confetti_bounds(com_z: Column, zoom: float, origin: float) -> dict[str, Colu
     return {"low": at(-VESSELS_BELOW), "high": at(VESSELS_ABOVE), "weak": at(-WEAK_BELOW), "strong": at(-STRONG_BELOW), "floor": F.lit(int(NOISE_SLICE * zoom + origin))}
 
 
-def confetti(slices: DataFrame, keys: list[str], total: str, low: Column, high: Column, weak: Column, strong: Column, floor: Column) -> DataFrame:
+def confetti(slices: DataFrame, keys: list[str], total: str, low: Column, high: Column, weak: Column, strong: Column, floor: Column, direction: int = 1) -> DataFrame:
     """Each cluster's score: the share of its voxels in each slice times the slice's weight; over 0 means scattered.
 
-    A slice weighs -5 from low to high, and, added up, 0.5 below weak, 1 below strong and 1 below floor.
+    A slice weighs -5 from low to high, and, added up, 0.5 below weak, 1 below strong and 1 below floor. direction, of
+    superior_axis, is -1 where slices go down: there, what is below has the larger number.
     """
-    z = F.col("z")
+    z = F.col("z") * direction
+    low, high, weak, strong, floor = (c * direction for c in (low, high, weak, strong, floor))
     part = lambda cond, x: F.when(cond, x).otherwise(0.0)
     weight = part((z >= low) & (z <= high), -5.0) + part(z < weak, 0.5) + part(z < strong, 1.0) + part(z < floor, 1.0)
     return slices.groupBy(*keys).agg(F.sum(F.col("n") / F.col(total) * weight).alias("score")).withColumn("likely_confetti", F.col("score") > 0)
@@ -93,33 +97,95 @@ def center_of_mass(cells: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return cells.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"com_{c}") for c in "xyz"])
 
 
-def blobs(cells: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
+#: Voxels along each edge of a tile; a task has a tile's voxels of one key at once.
+TILE = 32
+
+
+def _inside(x: np.ndarray, y: np.ndarray, z: np.ndarray, gap: int) -> np.ndarray:
+    """For each voxel of a tile the lowest number of a voxel that neighbours connect it with."""
+    place = [c - c.min() + gap for c in (x, y, z)]
+    size = [int(c.max()) + 1 + gap for c in place]
+    flat = np.ravel_multi_index(place, size)
+    spot, own = np.unique(flat, return_inverse=True)
+    number = np.full(int(np.prod(size)), -1, np.int64)
+    number[spot] = np.arange(len(spot))
+    steps = np.arange(-gap, gap + 1)
+    near = (steps[:, None, None] * size[1] + steps[None, :, None]) * size[2] + steps[None, None, :]
+    pairs = [(np.flatnonzero(other >= 0), other[other >= 0]) for step in near.ravel().tolist() if step > 0 for other in [number[spot + step]]]
+    a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+    root = np.arange(len(spot))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    least = np.full(len(spot), len(x), np.int64)
+    np.minimum.at(least, root[own], np.arange(len(x)))
+    return least[root[own]]
+
+
+def _roots(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, blob, root): the least blob of the same keys that edges (keys, blob, other; staged, each both ways) reach."""
+    spark = edges.sparkSession
+    labels = stage(edges.groupBy(*keys, "blob").agg(F.least(F.col("blob"), F.min("other")).alias("root")), "roots")
+    changed = True
+    while changed:
+        with scratch(spark):
+            low = edges.join(labels.withColumnRenamed("blob", "other"), [*keys, "other"]).groupBy(*keys, "blob").agg(F.min("root").alias("low"))
+            lower = stage(labels.join(low, [*keys, "blob"]).select(*keys, "blob", "root", F.least("root", "low").alias("new")), "lower")
+            above = lower.select(*keys, F.col("blob").alias("new"), F.col("new").alias("above"))
+            new = F.least("new", F.coalesce("above", "new"))
+            labels = stage(lower.join(above, [*keys, "new"], "left").select(*keys, "blob", new.alias("root"), (F.col("root") != new).alias("changed")), "roots", keep=True)
+        changed = bool(labels.where("changed").limit(1).count())
+        labels = labels.select(*keys, "blob", "root")
+    return labels
+
+
+def blobs(cells: DataFrame, keys: list[str], gap: int = 1, tile: int = TILE) -> DataFrame:
     """cells (keys, vox_id, x, y, z) with blob: the least vox_id among the voxels of the same keys that neighbours connect.
 
-    Neighbours differ by gap at most along each axis (26 of them at 1). Labels go to neighbours, the least wins, then each
-    label is replaced by its own label, so rounds grow with the logarithm of a blob's extent rather than its length.
+    Neighbours differ by gap at most along each axis (26 of them at 1). Voxels are labelled within tiles first, each tile
+    in one Arrow pass; then only voxels at the tiles' borders are joined with their neighbours, and the labels that meet
+    there are merged in rounds that grow with the logarithm of the tiles that a blob spans. Rows with a null key have no
+    blob and are left out.
     """
-    steps = F.array(*[F.lit(d) for d in range(-gap, gap + 1)])
-    around = cells.select(*keys, "vox_id", *"xyz")
-    for c in "xyz":
-        around = around.withColumn("d", F.explode(steps)).withColumn(c, F.col(c) + F.col("d")).drop("d")
-    other = cells.select(*keys, F.col("vox_id").alias("near"), *"xyz")
-    spark = cells.sparkSession
-    with scratch(spark):
-        edges = stage(around.join(other, [*keys, *"xyz"]).select(*keys, "vox_id", "near"), "edges")
-        labels = cells.select(*keys, "vox_id", F.col("vox_id").alias("blob"))
-        changed = True
-        while changed:
-            with scratch(spark):
-                low = edges.join(labels.select(*keys, F.col("vox_id").alias("near"), "blob"), [*keys, "near"]).groupBy(*keys, "vox_id").agg(F.min("blob").alias("low"))
-                low = stage(low, "low")
-                jump = low.select(*keys, F.col("vox_id").alias("low"), F.col("low").alias("lower"))
-                new = low.join(jump, [*keys, "low"], "left").select(*keys, "vox_id", F.least("low", F.coalesce("lower", "low")).alias("blob"))
-                new = stage(new, "blobs", keep=True)
-            changed = bool(new.join(labels.withColumnRenamed("blob", "was"), [*keys, "vox_id"]).where(F.col("blob") != F.col("was")).limit(1).count())
-            labels = new
-        labels = stage(labels, "labels", keep=True)
-    return cells.join(labels, [*keys, "vox_id"])
+    names = [*keys, "vox_id", *"xyz"]
+    real = F.lit(True)
+    for c in names:
+        real &= F.col(c).isNotNull()
+    rows = cells.where(real).select(*names, *[F.floor(F.col(c) / tile).alias(f"tile_{c}") for c in "xyz"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def label(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vox_id")  # so that the lowest number is the least vox_id
+        x, y, z = (table.column(c).to_numpy().astype(np.int64) for c in "xyz")
+        low = _inside(x, y, z, gap)
+        edge = np.zeros(len(x), bool)
+        for c in (x, y, z):
+            edge |= (c % tile < gap) | (c % tile >= tile - gap)
+        return table.select(names).append_column("blob", table.column("vox_id").take(pa.array(low))).append_column("edge", pa.array(edge))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", blob {kinds['vox_id']}, edge boolean"
+    with scratch(cells.sparkSession):
+        found = stage(rows.groupBy(*keys, "tile_x", "tile_y", "tile_z").applyInArrow(label, schema), "tiles", keep=True)
+        border = found.where("edge")
+        around = border.select(*keys, "blob", *"xyz", *[F.floor(F.col(c) / tile).alias(f"tile_{c}") for c in "xyz"])
+        for c in "xyz":
+            around = around.withColumn("d", F.explode(F.array(*[F.lit(d) for d in range(-gap, gap + 1)]))).withColumn(c, F.col(c) + F.col("d")).drop("d")
+        leaves = F.lit(False)
+        for c in "xyz":
+            leaves |= F.floor(F.col(c) / tile) != F.col(f"tile_{c}")
+        met = around.where(leaves).join(border.select(*keys, *"xyz", F.col("blob").alias("other")), [*keys, *"xyz"]).where("blob <> other")
+        met = stage(met.select(*keys, "blob", "other").distinct(), "met")
+        if met.limit(1).count():
+            roots = stage(_roots(met, keys), "blob-roots", keep=True)
+            found = found.join(roots, [*keys, "blob"], "left").withColumn("blob", F.coalesce("root", "blob"))
+    if set(cells.columns) == set(names):
+        return found.select(*cells.columns, "blob")
+    return cells.join(found.select(*keys, "vox_id", "blob"), [*keys, "vox_id"])
 
 
 def blob_sizes(found: DataFrame, keys: list[str]) -> DataFrame:

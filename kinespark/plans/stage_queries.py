@@ -87,14 +87,6 @@ def q_two_step(spark, d):
     return found.select("label", "frame", "voxel_count", r6(F.col("activity"), "activity"), r6(F.col("sd"), "sd"))
 
 
-@query(sql("clu") + f"""SELECT k, label, 'x' || (vec_id % 8) AS column, CAST(count(*) AS BIGINT) AS n FROM (SELECT k, clu.label, vec_id FROM clu JOIN embeddings ON vec_id = vox_id) WHERE vec_id // 64 >= 1 GROUP BY ALL""")
-def q_atlas(spark, d):
-    """The written masks of clusters, clipped slices put back and read again."""
-    cells = proxies.labels(spark, d).join(lattice.clip_axial(proxies.lattice(spark, d).drop("label"), 1), "vox_id")
-    masks = stages.padded_masks(cells, 1)
-    return masks.where("z >= 1").groupBy("k", "label", F.concat(F.lit("x"), F.col("x").cast("string")).alias("column")).agg(F.count("*").alias("n"))
-
-
 @query(TRAITS + "SELECT CASE WHEN vascular THEN 'vascular' WHEN irreversible THEN 'irreversible' WHEN noise THEN 'noise' ELSE 'other' END AS bucket, count(*) AS n FROM t GROUP BY 1")
 def q_mask_buckets(spark, d):
     return catalogue._traits(spark, d).groupBy(stages.bucket().alias("bucket")).agg(F.count("*").alias("n"))
