@@ -113,25 +113,42 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).to_pylist()
+            lists, stays = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             for at, data, bounds in words.groups(batch.column(1)):
                 raw, kept, n_words, n_removed = data.tobytes(), [], [], []
+                later = _later(data, bounds, batch.column(3).slice(at, len(bounds) - 1), stays[at : at + len(bounds) - 1], window)
                 for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                     found = raw[a:b].split()
                     n_words.append(len(found))
-                    if lists[at + i]:
+                    if lists[at + i] or i in later:
                         lost = np.zeros(len(found), bool)
-                        for span in lists[at + i]:
+                        for span in lists[at + i] or ():
                             lost[span["low"] : span["high"]] = True
+                        for start in later.get(i, ()):
+                            lost[start : start + window] = True
                         found = [w for w, x in zip(found, lost.tolist(), strict=True) if not x]
                     n_removed.append(n_words[-1] - len(found))
                     kept.append(b" ".join(found).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kept)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    final = rows.join(gone, "id", "left").select("id", "text", "gone")
+    final = rows.join(gone, "id", "left").select("id", "text", "gone", "hot", "stays")
     return final.transform(map_texts, keep, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
+def _later(data: np.ndarray, bounds: np.ndarray, hot: pa.Array, stays: list[list[int] | None], window: int) -> dict[int, list[int]]:
+    """By text, the starts of windows with hot anchors that aren't among those that stay."""
+    if hot.null_count == len(hot):
+        return {}
+    starts, ends, first = words.spans(data, bounds)
+    lists = pa.array([x or [] for x in hot.to_pylist()], pa.list_(pa.int32()))
+    start, row = _hot_windows(words.hashes(data, starts, ends, lower=False), first, lists, window)
+    out: dict[int, list[int]] = {}
+    for i in np.unique(row).tolist():
+        own = start[row == i] - first[i]
+        out[i] = own[~np.isin(own, np.array(stays[i] or [], np.int64))].tolist()
+    return out
+
+
 def _single(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The rows with a window that no smaller id has the same words as; the ids of those that one has."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -176,29 +193,35 @@ def _listed(lists: pa.Array, first: np.ndarray, place: np.ndarray) -> np.ndarray
     return np.flatnonzero(np.isin(place, np.repeat(first[:-1], size) + lists.flatten().to_numpy()))
 
 
-def _hot_spans(held: DataFrame, window: int) -> DataFrame:
-    """(id, low, high) of the windows with a hot anchor that start earlier elsewhere, by 128-bit keys of windows."""
+def _hot_windows(hashed: np.ndarray, first: np.ndarray, lists: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, text) of the windows whose anchors stand at the listed places, words counted over all texts."""
+    _, row, place, low, high = anchored(hashed, first, window)
+    here = _listed(lists, first, place)
+    low, size = low[here], (high - low + 1)[here]
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), np.repeat(row[here], size)
+
+
+def _first_windows(held: DataFrame, window: int) -> DataFrame:
+    """(id, stays): the starts in each document of the windows with a hot anchor that start nowhere earlier.
+
+    A window's earliest start is the least of an aggregation by its 128-bit key, so the others need no row of their own.
+    """
     kind = held.schema["id"].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, _, (_, _, first, hashed) in _scan(batch.column(1)):
-                _, row, place, low, high = anchored(hashed, first, window)
-                here = _listed(batch.column(2).slice(at, len(first) - 1), first, place)
-                low, row, size = low[here], row[here], (high - low + 1)[here]
-                start = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                row = np.repeat(row, size)
+                start, row = _hot_windows(hashed, first, batch.column(2).slice(at, len(first) - 1), window)
                 keys = (words.shingles(hashed, window)[start], words.shingles(words.mix(hashed), window)[start]) if len(start) else (np.zeros(0, np.uint64),) * 2
                 yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in keys], batch.column(0).take(pa.array(at + row)), pa.array((start - first[row]).astype(np.int32))], ["w1", "w2", "id", "start"])
 
-    rows = stage(held.where(F.size("hot") > 0).select("id", "text", "hot").transform(map_texts, windows, f"w1 long, w2 long, id {kind}, start int"), "hot-windows")
-    firsts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = attach_groups(rows, stage(firsts, "first-windows"), ["w1", "w2"], "n").where(F.struct("id", "start") != F.col("first"))
-    return later.select("id", F.col("start").alias("low"), (F.col("start") + window).alias("high"))
+    rows = held.where(F.size("hot") > 0).select("id", "text", "hot").transform(map_texts, windows, f"w1 long, w2 long, id {kind}, start int")
+    firsts = rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"))
+    return firsts.groupBy("first.id").agg(F.collect_set("first.start").alias("stays"))
 
 
 def _gone(rows: DataFrame, window: int) -> DataFrame:
-    """(id, gone): the ranges of words that each document loses."""
+    """(id, gone, hot, stays): the ranges of words that each document loses, and its hot anchors, of whose windows all but those that stay go."""
     kind, id_arrow = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
     single, copies = _single(rows, window)
     places = _places(single, window)
@@ -245,8 +268,11 @@ def _gone(rows: DataFrame, window: int) -> DataFrame:
         yield out(ready)
 
     spans = shards.repartition("anchor").sortWithinPartitions("anchor", "id", "start").transform(map_texts, match, f"id {kind}, low int, high int")
-    if places.where(F.size("hot") > 0).limit(1).count():
-        spans = spans.unionByName(_hot_spans(held, window))
     gone = spans.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
     whole = copies.select("id", F.array(F.struct(F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high"))).alias("gone"))
-    return gone.unionByName(whole)
+    hot = places.where(F.size("hot") > 0).select("id", "hot")
+    if hot.limit(1).count():
+        hot = hot.join(_first_windows(held, window), "id", "left")
+    else:
+        hot = hot.withColumn("stays", F.lit(None).cast("array<int>"))
+    return gone.unionByName(whole).join(hot, "id", "full")
