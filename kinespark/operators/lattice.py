@@ -94,7 +94,8 @@ def superior_axis(shape: tuple[int, int, int], affine: list[list[float]]) -> tup
 
 
 def center_of_mass(cells: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    return cells.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(f"com_{c}") for c in "xyz"])
+    """(keys, com_x, com_y, com_z), null where the weights sum to 0."""
+    return cells.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(f"com_{c}") for c in "xyz"])
 
 
 #: Voxels along each edge of a tile; a task has a tile's voxels of one key at once.

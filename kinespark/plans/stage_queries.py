@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import curves
-from kinespark.operators import clusters, kinetics, lattice, stages, tracer
+from kinespark.operators import clusters, kinetics, lattice, stages, tracer, two_step
 from kinespark.plans import catalogue, proxies
 from kinespark.plans.catalogue import CONFETTI, DENSITY, DICE, ORIGIN, RECURSIVE_TRAITS, REGIONS, TRAITS, ZOOM, query, r6
 from kinespark.plans.proxies import sql
 from kinespark.sources import tables
+from kinespark.staging import stage_dir
 
 _CFT = CONFETTI.removeprefix(DENSITY)
 _DEN = DENSITY.split("den AS", 1)[1]
@@ -40,6 +43,27 @@ def q_best_in_k(spark, d):
     return found.select("k", "label", "peak_index", r6(F.col("peak_value"), "peak_value"))
 
 
+@query(FEATURES + BEST + f""", e AS (SELECT * FROM bb WHERE (peak_index + 1) * (peak_index + 1) / 64e0 < 40), m AS (SELECT peak_index FROM e GROUP BY peak_index ORDER BY count(*) DESC, peak_index LIMIT 1)
+SELECT k, label, peak_index, round(peak_value, 6) AS peak_value FROM e JOIN m USING (peak_index) ORDER BY e.peak_value DESC, k, label LIMIT 1""")
+def q_best_unscattered(spark, d):
+    """The best of all clusters that aren't likely scattered, among those that peak before 40 minutes."""
+    best = clusters.best_in_k(catalogue._traits(spark, d), catalogue._confetti(spark, d))
+    return clusters.best_overall(best, catalogue.frame_time(F.col("peak_index") + 1), 40.0).withColumn("peak_value", F.round("peak_value", 6))
+
+
+def two_step_run(spark, d, path: str, **changed):
+    """The whole two-step clustering of the voxels, raised so that no mean curve is negative, with every cluster count of the sweep."""
+    plan = two_step.Plan(d, zoom=ZOOM, origin=ORIGIN, keep_confetti_first=True, peak_limit=100.0, **changed)
+    points = catalogue._points(spark, d).withColumn("point", F.transform("point", lambda x: x + 0.6))
+    return two_step.two_step(points, proxies.lattice(spark, d).drop("label"), plan, path, lambda i: catalogue.frame_time(i + 1))
+
+
+@query()
+def q_two_step_run(spark, d):
+    found = two_step_run(spark, d, f"{stage_dir(spark)}/two-step-{uuid.uuid4().hex}")[-1]
+    return found.select("k", "label", "frame", "voxel_count", r6(F.col("activity"), "activity"), r6(F.col("sd"), "sd"), "best")
+
+
 @query(TRAITS.rstrip() + ",\nsz AS" + DICE.split(", sz AS", 1)[1] + """SELECT k1 AS k, label1 AS label, round(coalesce(sum(dice) FILTER (WHERE b.k IS NOT NULL), 0) / (SELECT count(*) FROM b), 6) AS matches_best,
 CAST(count(*) FILTER (WHERE k1 <> k2 AND dice > 0.5e0) AS BIGINT) AS n_overlapping FROM dice LEFT JOIN b ON b.k = k2 AND b.label = label2 GROUP BY k1, label1""")
 def q_matches_best(spark, d):

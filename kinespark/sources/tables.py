@@ -1,4 +1,4 @@
-"""Readers and writers of tables: curves, mid-times, plasma, run logs; images as voxel tables."""
+"""Readers and writers of tables: curves, mid-times, run logs; images as voxel tables."""
 
 from __future__ import annotations
 
@@ -169,9 +169,12 @@ def write_frames(voxels: DataFrame, path: str, again: bool = False) -> None:
 
 
 def cached(spark: SparkSession, path: str, make, force: bool = False, **config) -> DataFrame:
-    """The table made with config, kept under path in a folder that the config names; made first if it is absent or force is given."""
+    """The table made with config, kept under path in a folder that the config names; made first if it is absent or force is given.
+
+    A table counts once its write has ended (Spark's _SUCCESS), so what a failed job has left is written over.
+    """
     if config:
         path = f"{path}/{sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
-    if force or not first_existing(spark, [path]):
+    if force or not first_existing(spark, [f"{path}/_SUCCESS"]):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
