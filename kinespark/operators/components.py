@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.operators import lattice
+
 
 @dataclass
 class Model:
@@ -194,6 +196,30 @@ def _scores(points: DataFrame, axes: np.ndarray) -> DataFrame:
     return points.select("vox_id", F.posexplode(dots).alias("component", "score")).withColumn("component", F.col("component") + 1)
 
 
+def decompositions(points: DataFrame, dims: int, few: int = 6) -> DataFrame:
+    """(algorithm, components, vox_id, component, score) of the three decompositions: few principal ones, few independent ones, and all independent ones."""
+    named = lambda name, n, scores: scores.select(F.lit(name).alias("algorithm"), F.lit(n).alias("components"), "vox_id", "component", "score")
+    found = named("pca", few, principal(points, dims, few))
+    return found.unionByName(named("ica", few, independent(points, dims, few))).unionByName(named("ica", dims - 1, independent(points, dims, dims - 1)))
+
+
+def containment(scores: DataFrame, cells: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
+    """(keys, component, n, ratio): of each component the voxels with a score over its percentile, and how many of them stand in a ball about their centre.
+
+    scores: (keys, vox_id, component, score); cells: (vox_id, x, y, z). The ball is lattice.sphere_ratio's.
+    """
+    by = [*keys, "component"]
+    edges = scores.groupBy(*by).agg(F.percentile("score", F.lit(share)).alias("edge"))
+    masks = scores.join(edges, by).where("score > edge").select(*by, "vox_id").join(cells, "vox_id")
+    return masks.groupBy(*by).agg(F.count("*").alias("n")).join(lattice.sphere_ratio(masks, by), by)
+
+
+def brain_component(found: DataFrame, keys: list[str], least: float = 0.9) -> DataFrame:
+    """(keys, component, n, ratio): of each decomposition the first component whose ratio is over least; no row if none is."""
+    return found.where(F.col("ratio") > least).groupBy(*keys).agg(F.min_by(F.struct("component", "n", "ratio"), "component").alias("first")).select(*keys, "first.*")
+
+
 def component_stats(scores: DataFrame) -> DataFrame:
-    """(component, n, mean, sd, low, high) of the voxels' scores."""
-    return scores.groupBy("component").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.min("score").alias("low"), F.max("score").alias("high"))
+    """(component, n, mean, sd, low, high) of the voxels' scores; with algorithm and components, where scores have them, by these, too."""
+    by = [c for c in ("algorithm", "components") if c in scores.columns]
+    return scores.groupBy(*by, "component").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.min("score").alias("low"), F.max("score").alias("high"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,18 +94,21 @@ def source_to_target_cost(curves: DataFrame, rates: DataFrame, peaks: DataFrame,
     return cost.crossJoin(F.broadcast(penalty)).select("source", (c("cost") + c("penalty")).alias("cost"))
 
 
-def full_curve(curves: DataFrame, fits: DataFrame, keys: list[str], step: float = 0.1) -> DataFrame:
+def full_curve(curves: DataFrame, fits: DataFrame, keys: list[str], step: float = 0.1, with_peak: bool = True) -> DataFrame:
     """(keys, i, t, activity): each curve (keys, t, activity) on an even grid of step from 0 to its last time.
 
     Up to the peak the samples are interpolated linearly, on the first two samples' line before the first; from the peak on
-    the curve is the fit's. fits: (keys, terms: array of (c, rate)).
+    the curve is the fit's. fits: (keys, terms: array of (c, rate)). Without with_peak the peak is no knot: before it the
+    curve is flat beyond the samples at both ends, negative values are 0, and all are 0 if the first sample is the peak.
     """
     top = F.min_by(F.struct(F.col("t").alias("t"), F.col("activity").alias("a")), F.struct(-F.col("activity"), F.col("t")))
     ends = curves.groupBy(*keys).agg(top.alias("top"), F.max("t").alias("last"))
     n = F.floor(F.round(F.col("last") / F.lit(step), 6)).cast("int")
     grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), n))).select(*keys, "i", F.round(F.col("i") * F.lit(step), 6).alias("t"), F.col("top.t").alias("peak"))
-    before = curves.join(ends.select(*keys, F.col("top.t").alias("peak")), keys).where(F.col("t") <= F.col("peak")).select(*keys, "t", "activity")
-    early = interpolate(before, grid.where("t < peak").select(*keys, "t"), keys, extrapolate=True)
+    before = curves.join(ends.select(*keys, F.col("top.t").alias("peak")), keys).where(F.col("t") <= F.col("peak") if with_peak else F.col("t") < F.col("peak")).select(*keys, "t", "activity")
+    early = interpolate(before, grid.where("t < peak").select(*keys, "t"), keys, extrapolate=with_peak)
+    if not with_peak:
+        early = early.withColumn("activity", F.greatest(F.coalesce("activity", F.lit(0.0)), F.lit(0.0)))
     decay = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["c"] * F.exp(-x["rate"] * F.col("t")))
     late = grid.where("t >= peak").join(fits, keys).withColumn("activity", decay)
     early = grid.where("t < peak").join(early, [*keys, "t"])
@@ -120,3 +125,31 @@ def equation(terms: Column) -> Column:
     larger_first = lambda a, b: F.when(a["c"] > b["c"], -1).when(a["c"] < b["c"], 1).otherwise(0)
     text = lambda x: F.format_string("%.2fe^{%.2ft}", x["c"], -x["rate"])
     return F.array_join(F.transform(F.array_sort(terms, larger_first), text), " + ")
+
+
+def resample_weights(row_key: Column, seed: int, copy: Column | int = 0, most: int = 12) -> Column:
+    """How often a draw with replacement of as many rows takes the row: Poisson with mean 1, by a hash of the row's key.
+
+    The same seed, copy and key always give the same number, so that no draw is made on the driver and a lost task gives what it
+    gave. Numbers over most, of a chance of 1e-10 at 12, count as most.
+    """
+    copy = F.lit(copy) if isinstance(copy, int) else copy
+    digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), copy.cast("string"), row_key.cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    below = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(most)]
+    return sum((F.when(u >= F.lit(b), 1).otherwise(0) for b in below), F.lit(0))
+
+
+def resampled_density(values: DataFrame, keys: list[str], value: str, weight: str, bins: int = 100) -> DataFrame:
+    """(keys, bin from 0, low, high, n): a histogram of weighted values in so many equal bins from each key's least to its greatest.
+
+    Rows of weight 0 and null values don't count. All values equal are one bin of width 0. Bins without a value have no row.
+    """
+    rows = values.where((F.col(weight) > 0) & F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    width = (F.col("most") - F.col("least")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("least")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0).cast("int")
+    edge = lambda i: F.col("least") + i * width
+    # A row a key: scans times parameters, joined as Spark sees fit.
+    placed = rows.join(ends, keys).withColumn("bin", at)
+    return placed.groupBy(*keys, "bin").agg(F.first(edge(F.col("bin"))).alias("low"), F.first(edge(F.col("bin") + 1)).alias("high"), F.sum(weight).alias("n"))

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Outcomes of a fit (fixed values). 0 is success.
-NAN, INFINITE, ERROR, NO_END, OVERFLOW, SINGULAR, NEGATIVE, NEAR_ZERO, NEAR_ONE = 2, 3, 4, 11, 12, 14, 15, 41, 42
+NAN, INFINITE, ERROR, NO_END, OVERFLOW, SINGULAR, NEGATIVE, REGION, REGION_VALUE, NEAR_ZERO, NEAR_ONE = 2, 3, 4, 11, 12, 14, 15, 21, 31, 41, 42
 FAILURES = {
     NAN: "a parameter is not a number", INFINITE: "a parameter is infinite", ERROR: "the weighted error is too large", NO_END: "no convergence within the steps",
-    OVERFLOW: "overflow", SINGULAR: "singular equations", NEGATIVE: "the fitted curve has negative values", NEAR_ZERO: "a rate constant is near 0", NEAR_ONE: "a rate constant is near 1",
+    OVERFLOW: "overflow", SINGULAR: "singular equations", NEGATIVE: "the fitted curve has negative values",
+    REGION: "a region's constants did not converge", REGION_VALUE: "a region's cost has no value", NEAR_ZERO: "a rate constant is near 0", NEAR_ONE: "a rate constant is near 1",
 }
 #: The greatest weighted sum of squared errors of a fit that ended well.
 MOST_ERROR = 10.0
@@ -129,6 +130,24 @@ def failure_counts(fits: DataFrame) -> DataFrame:
     return fits.where("code > 0").groupBy("code").agg(F.sum("n").alias("n")).withColumn("reason", reason[F.col("code")])
 
 
+def failure_records(sets: DataFrame) -> DataFrame:
+    """(code, copy, reason, region, parameters) of bootstrap rows that were made with each_failure."""
+    reason = F.create_map(*[F.lit(x) for pair in FAILURES.items() for x in pair])
+    return sets.where("code > 0").select("code", "copy", reason[F.col("code")].alias("reason"), "region", "parameters")
+
+
+def append_failures(records: DataFrame, path: str) -> None:
+    """Adds records to the table under path, a folder a code; a code's records are read without the others', and never meet in memory."""
+    records.write.mode("append").partitionBy("code").parquet(path)
+
+
+def failure_summary(records: DataFrame) -> DataFrame:
+    """(code, n, copies, place, mean, least, most): how often each failure arose, in how many copies, and of each parameter by place its mean and range."""
+    counts = records.groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies"))
+    at = records.select("code", F.posexplode("parameters").alias("place", "value")).groupBy("code", "place").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return counts.join(at, "code", "left")
+
+
 def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Monotone cubic interpolation with Fritsch-Carlson slopes; beyond the ends the end pieces go on."""
     h, m = np.diff(x), np.diff(y) / np.diff(x)
@@ -154,10 +173,10 @@ def tissue(grid: np.ndarray, source: np.ndarray, k: np.ndarray) -> np.ndarray:
     return np.convolve(k1 / total * (k3 + k2 * np.exp(-total * grid)), source)[: len(grid)] * (grid[1] - grid[0])
 
 
-SET_SCHEMA = "copy int, region string, code int, k1 double, k2 double, k3 double, ki double, n int"
+SET_SCHEMA = "copy int, region string, code int, k1 double, k2 double, k3 double, ki double, n int, parameters array<double>"
 
 
-def bootstrap(source: DataFrame, regions: DataFrame, n: int = 500, percent: float = 5.0, step: float = 0.5, tries: int = 10, failures: int = 4096, terms: int = 3, seed: int = 998) -> DataFrame:
+def bootstrap(source: DataFrame, regions: DataFrame, n: int = 500, percent: float = 5.0, step: float = 0.5, tries: int = 10, failures: int = 4096, terms: int = 3, seed: int = 998, each_failure: bool = False) -> DataFrame:
     """Rate constants of all regions for n perturbed copies of a source curve.
 
     source: (t, activity, sd, sigma), one curve; regions: (region, t, activity) at the same times. A copy's samples from the
@@ -165,7 +184,8 @@ def bootstrap(source: DataFrame, regions: DataFrame, n: int = 500, percent: floa
     rejected); the copy then corrects each region's curve for its share of blood (percent), and each is fitted for k1, k2 and
     k3 in [0, 1], from up to tries random starts. If a constant of any region is near 0 or 1 the whole set is rejected, and
     new samples are drawn, until a set is good or so many have failed. Copies are rows and groups of their own, seeded by
-    their number. A row (code 0) a region of a good set; a row (region null) a failure code of a copy with its count n.
+    their number. A row (code 0) a region of a good set; a row (region null) a failure code of a copy with its count n. With
+    each_failure a row (n = 1) each failure instead, with its parameters (the decays', or a region's start) and its region.
     """
     spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,46 +200,55 @@ def bootstrap(source: DataFrame, regions: DataFrame, n: int = 500, percent: floa
         peak, rng, failed = int(mean.argmax()), np.random.default_rng(seed + copy), {}
         grid = np.arange(0, t[-1] + step / 2, step)
         late = grid >= t[peak]
-        early = np.interp(grid[~late], t[: peak + 1], mean[: peak + 1])
+        # The peak is no knot of the rise; negative values of it are 0.
+        early = np.maximum(np.interp(grid[~late], t[:peak], mean[:peak]), 0.0) if peak else np.zeros(int((~late).sum()))
         weights = 1 / np.sqrt(sigma)
         # At knots the interpolation is the curve itself.
         knots = np.rint(t / step).astype(int)
         at_t = (lambda curve: curve[knots]) if np.allclose(grid[knots], t) else (lambda curve: pchip(grid, curve, t))
-        fail = lambda code: failed.__setitem__(code, failed.get(code, 0) + 1)
+        each: list[tuple] = []
+
+        def fail(code: int, parameters: np.ndarray, region: str | None = None) -> None:
+            failed[code] = failed.get(code, 0) + 1
+            if each_failure:
+                each.append((copy, region, code, None, None, None, None, 1, [float(v) for v in np.ravel(parameters)]))
+
+        lost = lambda: each or [(copy, None, code, None, None, None, None, times, None) for code, times in sorted(failed.items())]
         while sum(failed.values()) < failures:
             noisy = mean[peak:] + (2 * rng.random(len(mean) - peak) - 1) * sd[peak:]
             p, _, code = fit_once(t[peak:], noisy, sigma[peak:], terms, rng)
             if code:
-                fail(code)
+                fail(code, p)
                 continue
             curve = np.concatenate([early, decays(grid[late], p)])
             if (curve[late] < 0).any():
-                fail(NEGATIVE)
+                fail(NEGATIVE, p)
                 continue
             blood, found = at_t(curve) * percent / 100, []
-            for raw in samples:
+            for name, raw in zip(names, samples, strict=True):
                 own = (raw - blood) / (1 - percent / 100)
                 residual = lambda k, own=own, curve=curve: weights * (own - at_t(tissue(grid, curve, k)))
                 for _ in range(tries):
-                    k, _, code = least_squares(residual, rng.random(3), 0.0, 1.0, 60)
+                    start = rng.random(3)
+                    k, _, code = least_squares(residual, start, 0.0, 1.0, 60)
                     if not code:
                         break
-                    fail(code)
+                    fail(REGION_VALUE if code == OVERFLOW else REGION, start, name)
                 found.append(k)
             k = np.array(found)
             if (k < 1e-4).any():
-                fail(NEAR_ZERO)
+                fail(NEAR_ZERO, k)
             elif (np.abs(1 - k) < 1e-4).any():
-                fail(NEAR_ONE)
+                fail(NEAR_ONE, k)
             else:
-                good = [(copy, name, 0, *map(float, c), float(c[0] * c[2] / (c[1] + c[2])), 1) for name, c in zip(names, k, strict=True)]
-                return good + [(copy, None, code, None, None, None, None, times) for code, times in sorted(failed.items())]
-        return [(copy, None, code, None, None, None, None, times) for code, times in sorted(failed.items())]
+                good = [(copy, name, 0, *map(float, c), float(c[0] * c[2] / (c[1] + c[2])), 1, None) for name, c in zip(names, k, strict=True)]
+                return good + lost()
+        return lost()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                yield pd.DataFrame(draw(int(row.copy_), list(row.source), list(row.regions)), columns=["copy", "region", "code", "k1", "k2", "k3", "ki", "n"])
+                yield pd.DataFrame(draw(int(row.copy_), list(row.source), list(row.regions)), columns=["copy", "region", "code", "k1", "k2", "k3", "ki", "n", "parameters"])
 
     return copies.select(F.col("copy").alias("copy_"), "source", "regions").mapInPandas(run, SET_SCHEMA)
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.operators import clusters, lattice, resample, stages
+from kinespark.operators import clusters, lattice, partial_volume, resample, stages
 from kinespark.plans import catalogue, proxies
 from kinespark.plans.catalogue import CONFETTI, ORIGIN, ZOOM, query, r6
 from kinespark.plans.proxies import sql
-from kinespark.sources import tables
+from kinespark.sources import nifti, tables
 from kinespark.staging import stage_dir
 
 #: The proxy image's voxels are cubes of 1.5 mm here, its first one away from the world's origin.
@@ -100,6 +102,38 @@ def q_confetti_down(spark, d):
     return _scored(proxies.labels(spark, d).join(cells, "vox_id"), center, axis, direction, affine)
 
 
+_SIGMA = (0.7, 0.7, 0.9)
+_KERNELS = ", ".join(f"{c}k AS (SELECT unnest({list(range(-(len(k) // 2), len(k) // 2 + 1))}) AS d{c}, unnest([{', '.join(repr(float(w)) + ('' if 'e' in repr(float(w)) else 'e0') for w in k)}]) AS w{c})" for c, k in zip("xyz", map(partial_volume.kernel, _SIGMA)))
+
+
+@query(sql("vox", "xyz") + f""", {_KERNELS}, ke AS (SELECT * FROM xk CROSS JOIN yk CROSS JOIN zk), msk AS (SELECT vox_id, x, y, z FROM xyz WHERE label < 5),
+nb AS (SELECT a.vox_id, b.vox_id AS near, b.label < 5 AS inside, wx * wy * wz AS w FROM msk a CROSS JOIN ke JOIN xyz b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz),
+sh AS (SELECT vox_id, sum(w) AS share FROM nb WHERE inside GROUP BY vox_id),
+sp AS (SELECT nb.vox_id, frame, sum(w * activity) AS spill FROM nb JOIN vox ON vox.vox_id = near WHERE NOT inside GROUP BY nb.vox_id, frame),
+co AS (SELECT vox.vox_id, vox.frame, (activity - coalesce(spill, 0)) / share AS activity FROM vox JOIN sh USING (vox_id) LEFT JOIN sp ON sp.vox_id = vox.vox_id AND sp.frame = vox.frame),
+cu AS (SELECT frame, avg(activity) AS activity, stddev_pop(activity) AS sd, count(*) AS voxel_count FROM co GROUP BY frame)
+SELECT frame, round(activity, 6) AS activity, round(sd, 6) AS sd, voxel_count FROM cu
+UNION ALL SELECT 0, 0, 0, (SELECT max(voxel_count) FROM cu) WHERE (SELECT arg_min(frame, (-activity, frame)) = min(frame) FROM cu)""")
+def q_partial_volume(spark, d):
+    cells = proxies.voxels(spark, d).select("vox_id", "frame", "activity").join(proxies.lattice(spark, d), "vox_id")
+    mask = proxies.lattice(spark, d).where("label < 5").select("x", "y", "z")
+    found = partial_volume.region_curve(partial_volume.corrected(cells, mask, grid(spark, d).shape, _SIGMA))
+    return found.select("frame", r6(F.col("activity"), "activity"), r6(F.col("sd"), "sd"), "voxel_count")
+
+
+@query(sql("vox", "xyz") + """SELECT CAST(frame AS INT) AS frame, CASE WHEN frame = 21 THEN 'ignored' WHEN frame > 23 THEN 'late' ELSE 'used' END AS use, CAST(z AS INT) AS z, round(sum(activity), 6) AS total, 1.5e0 AS size_x, count(*) FILTER (WHERE activity <> 0) AS n
+FROM vox JOIN xyz USING (vox_id) WHERE frame BETWEEN 20 AND 25 GROUP BY 1, 2, 3""")
+def q_image_scan(spark, d):
+    """The voxels as a scan of one file a frame, with the affine that most of their headers have; six frames of it read again."""
+    cells = proxies.voxels(spark, d).join(proxies.lattice(spark, d).drop("label"), "vox_id")
+    here, path = grid(spark, d), f"{stage_dir(spark)}/scan-{uuid.uuid4().hex}"
+    nifti.write_scan(cells, path, here.shape, [v for row in here.affine for v in row])
+    affine = nifti.majority_affine(nifti.headers(spark, path)).first()["affine"]
+    rows = nifti.read_scan(spark, path, first=20, last=25, late=23, ignored=(21,)).where("activity <> 0")
+    found = rows.groupBy("frame", "use", "z").agg(F.sum("activity").alias("total"), F.count("*").alias("n"))
+    return found.select("frame", "use", "z", r6(F.col("total"), "total"), F.lit(float(affine[0])).alias("size_x"), "n")
+
+
 def _scored(cells: DataFrame, center: DataFrame, axis: int, direction: int, affine: list[list[float]]) -> DataFrame:
     found = clusters.confetti_of(cells, ["k", "label"], center, axis, direction, affine[axis][axis], affine[axis][3])
     return found.withColumn("score", F.round("score", 6))

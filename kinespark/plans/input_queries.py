@@ -162,3 +162,34 @@ def q_resampled(spark, d):
     fits = rows.select("region").distinct().withColumn("terms", F.array(term(30.0, 0.02), term(5.0, 0.3)))
     found = kinetics.resampled(rows, fits, ["region"])
     return found.withColumn("activity", F.round("activity", 6))
+
+
+_KINDS = ["matched", "named", "cached", "volumes", "other"]
+_LISTED = f"""WITH f AS (SELECT 's' || (page_id // 3) AS subject, {_KINDS}[CAST(length(url) % 5 + 1 AS INT)] AS kind, url AS path FROM pages), k AS (SELECT DISTINCT *, list_position({_KINDS}, kind) AS place FROM f WHERE kind <> 'other')"""
+
+
+@query(_LISTED + """, b AS (SELECT subject, kind, place, CASE WHEN kind = 'volumes' THEN min(path) ELSE max(path) END AS path, CASE WHEN kind = 'volumes' THEN count(*) ELSE 1 END AS files FROM k GROUP BY subject, kind, place)
+SELECT subject, arg_min(kind, place) AS kind, arg_min(path, place) AS path, arg_min(files, place) AS files FROM b GROUP BY subject""")
+def q_image_source(spark, d):
+    i = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.length("url") % 5 + 1).cast("int"))
+    return inputs.image_source(proxies.read(spark, d, "pages").select(F.concat(F.lit("s"), F.floor(i / 3).cast("string")).alias("subject"), kind.alias("kind"), F.col("url").alias("path")))
+
+
+@query("""WITH s AS (SELECT 's' || c_custkey AS subject, c_custkey AS i FROM customer),
+n AS (SELECT subject, i, 20 + i % 3 - CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END AS frames, 20 + i % 3 - CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS times FROM s),
+u AS (SELECT subject, CASE WHEN i % 3 = 0 THEN 'kBq' WHEN i % 3 = 1 THEN '' END AS option, CASE WHEN i % 2 = 0 THEN 'Bq/mL' END AS sidecar FROM s)
+SELECT subject, 'no curves' AS what, true AS fatal, NULL AS detail FROM s WHERE i % 11 = 0 UNION ALL SELECT subject, 'no mid-times', true, NULL FROM s WHERE i % 13 = 0 UNION ALL SELECT subject, 'no image', true, NULL FROM s WHERE i % 17 = 0
+UNION ALL SELECT subject, 'frames and times differ', true, frames || ' and ' || times FROM n WHERE frames <> times AND i % 13 <> 0 AND i % 17 <> 0
+UNION ALL SELECT subject, 'no such region', false, 'caudate' FROM s WHERE i % 7 = 0 UNION ALL SELECT subject, 'units differ', false, option || ' and ' || sidecar FROM u WHERE option = 'kBq' AND sidecar IS NOT NULL""")
+def q_failed_checks(spark, d):
+    """Each customer is a subject, whose number says what its inputs lack."""
+    i = F.col("i")
+    s = proxies.read(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subject"), F.col("c_custkey").alias("i"))
+    subjects = s.select("subject")
+    numbered = s.withColumn("frame", F.explode(F.sequence(F.lit(1), (F.lit(20) + i % 3).cast("int"))))
+    frames = numbered.where(i % 17 != 0).select("subject", ((i % 4 != 0) | (F.col("frame") > 1)).alias("used"))
+    times = numbered.where(i % 13 != 0).select("subject", ((i % 5 != 0) | (F.col("frame") > 1)).alias("used"))
+    regions = s.select("subject", "i", F.explode(F.array(F.lit("caudate"), F.lit("putamen"))).alias("region"))
+    units = inputs.used_units(s.select("subject", F.when(i % 3 == 0, "kBq").when(i % 3 == 1, "").alias("option"), F.when(i % 2 == 0, "Bq/mL").alias("sidecar")))
+    return inputs.failed_checks(subjects, s.where(i % 11 != 0).select("subject"), times, frames, regions.select("subject", "region"), regions.where((i % 7 != 0) | (F.col("region") == "putamen")), units)

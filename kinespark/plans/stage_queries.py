@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import curves
-from kinespark.operators import clusters, kinetics, lattice, stages, tracer, two_step
+from kinespark.operators import clusters, components, kinetics, lattice, stages, tracer, two_step
 from kinespark.plans import catalogue, proxies
 from kinespark.plans.catalogue import CONFETTI, DENSITY, DICE, ORIGIN, RECURSIVE_TRAITS, REGIONS, TRAITS, ZOOM, query, r6
 from kinespark.plans.proxies import sql
@@ -193,7 +194,17 @@ def bootstrap_sets(spark, d) -> DataFrame:
 
 @query()
 def q_bootstrap(spark, d):
-    return bootstrap_sets(spark, d)
+    return bootstrap_sets(spark, d).drop("parameters")
+
+
+@query()
+def q_failure_records(spark, d):
+    """Every failure of 60 copies with its parameters, kept as a table and summed up from there."""
+    sets = tracer.bootstrap(_vessel(spark, d).select("t", "activity", "sd", "sigma"), _tissues(spark, d), n=60, step=STEP, each_failure=True)
+    path = f"{stage_dir(spark)}/failures-{uuid.uuid4().hex}"
+    tracer.append_failures(tracer.failure_records(sets), path)
+    kept = spark.read.schema("copy int, reason string, region string, parameters array<double>, code int").parquet(path)
+    return tracer.failure_summary(kept)
 
 
 def rate_bounds(spark, d) -> DataFrame:
@@ -251,3 +262,59 @@ def q_world_corners(spark, d):
 def q_parameter_names(spark, d):
     rows = proxies.read(spark, d, "events").select(F.col("event_type").alias("name"))
     return rows.union(proxies.read(spark, d, "lineitem").select("l_returnflag")).distinct()
+
+
+@query(sql("tac") + """, c AS (SELECT region, frame * 0.5e0 AS t, activity - 30 AS activity FROM tac), p AS (SELECT region, arg_min(t, (-activity, t)) AS peak, max(t) AS last FROM c GROUP BY region),
+g AS (SELECT region, i, round(i * 0.2e0, 6) AS t, peak FROM (SELECT *, unnest(range(0, CAST(floor(round(last / 0.2e0, 6)) AS BIGINT) + 1)) AS i FROM p)),
+k AS (SELECT c.*, lead(t) OVER w AS tn, lead(activity) OVER w AS an, row_number() OVER w AS place FROM c JOIN p USING (region) WHERE t < peak WINDOW w AS (PARTITION BY region ORDER BY t)),
+s AS (SELECT region, activity AS a0 FROM k WHERE place = 1), e AS (SELECT g.region, g.i, g.t, peak, n.t AS t0, n.activity AS a0, n.tn, n.an FROM g ASOF LEFT JOIN k n ON g.region = n.region AND g.t >= n.t)
+SELECT e.region, e.i, e.t, round(CASE WHEN e.t >= peak THEN 30 * exp(-0.02e0 * e.t) ELSE greatest(0, coalesce(CASE WHEN e.t0 IS NULL THEN s.a0 WHEN e.tn IS NULL THEN e.a0 ELSE e.a0 + (e.t - e.t0) * (e.an - e.a0) / (e.tn - e.t0) END, 0)) END, 6) AS activity
+FROM e LEFT JOIN s USING (region)""")
+def q_uniform_curve(spark, d):
+    """Curves on an even grid, whose peak is no knot of their rise; what is below zero is zero there."""
+    rows = proxies.regional_curves(spark, d).select("region", (F.col("frame") * F.lit(0.5)).alias("t"), (F.col("activity") - F.lit(30.0)).alias("activity"))
+    fits = rows.select("region").distinct().withColumn("terms", F.array(F.struct(F.lit(30.0).alias("c"), F.lit(0.02).alias("rate"))))
+    found = kinetics.full_curve(rows, fits, ["region"], 0.2, with_peak=False)
+    return found.select("region", F.col("i").cast("long").alias("i"), "t", r6(F.col("activity"), "activity"))
+
+
+_DRAW = "('0x' || substr(md5('7-0-' || (l_orderkey * 8 + l_linenumber)), 1, 8))::BIGINT / 4294967296e0"
+
+
+@query(f"""WITH b AS (SELECT [{", ".join(repr(sum(math.exp(-1) / math.factorial(i) for i in range(n + 1))) + "e0" for n in range(12))}] AS below),
+w AS (SELECT l_returnflag AS region, l_quantity AS value, len(list_filter(below, lambda x: u >= x)) AS w FROM (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity, {_DRAW} AS u FROM lineitem) CROSS JOIN b),
+e AS (SELECT region, min(value) AS lo, (max(value) - min(value)) / 100 AS width FROM w WHERE w > 0 GROUP BY region),
+h AS (SELECT region, CAST(least(99, floor((value - lo) / width)) AS INT) AS bin, CAST(sum(w) AS BIGINT) AS n, any_value(lo) AS lo, any_value(width) AS width FROM w JOIN e USING (region) WHERE w > 0 GROUP BY 1, 2)
+SELECT region, bin, round(lo + bin * width, 6) AS low, round(lo + (bin + 1) * width, 6) AS high, n FROM h""")
+def q_resampled_density(spark, d):
+    """A draw with replacement of the quantities, as a histogram of 100 bins."""
+    rows = proxies.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("region"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"))
+    found = kinetics.resampled_density(rows.withColumn("w", kinetics.resample_weights(F.col("row"), 7)), ["region"], "value", "w")
+    return found.select("region", "bin", r6(F.col("low"), "low"), r6(F.col("high"), "high"), F.col("n").cast("long").alias("n"))
+
+
+@query(sql("xyz") + """, sc AS (SELECT vec_id AS vox_id, unnest(range(1, 7)) AS component, CAST(unnest(embedding[1:6]) AS DOUBLE) * CASE WHEN vec_id < 120 THEN 4e0 ELSE 1e0 END AS score FROM embeddings),
+ed AS (SELECT component, quantile_cont(score, 0.95) AS edge FROM sc GROUP BY component), m AS (SELECT component, x, y, z FROM sc JOIN ed USING (component) JOIN xyz USING (vox_id) WHERE score > edge),
+st AS (SELECT component, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM m GROUP BY component),
+r AS (SELECT component, any_value(n) AS n, avg(CASE WHEN sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) <= 2 * pow(3 * n / (4 * pi()), 1 / 3e0) THEN 1e0 ELSE 0e0 END) AS ratio FROM m JOIN st USING (component) GROUP BY component)
+SELECT r.component, n, round(ratio, 6) AS ratio, r.component = (SELECT min(component) FROM r WHERE ratio > 0.8e0) AS chosen FROM r""")
+def q_brain_component(spark, d):
+    """How compact each component's strongest voxels are, and the first that is compact enough; scores are given."""
+    v = F.col("vec_id")
+    scores = proxies.read(spark, d, "embeddings").select(v.alias("vox_id"), F.posexplode(F.slice("embedding", 1, 6)).alias("at", "x"))
+    scores = scores.select(F.lit("given").alias("algorithm"), "vox_id", (F.col("at") + 1).cast("long").alias("component"), (F.col("x").cast("double") * F.when(F.col("vox_id") < 120, 4.0).otherwise(1.0)).alias("score"))
+    found = stages.written(components.containment(scores, proxies.lattice(spark, d).drop("label"), ["algorithm"]), "containment")
+    first = components.brain_component(found, ["algorithm"], 0.8).select("component", F.lit(True).alias("chosen"))
+    # No component is chosen where none is compact enough: null, as SQL has it.
+    none = F.when(F.max(F.col("chosen").cast("int")).over(Window.partitionBy()).isNotNull(), F.coalesce("chosen", F.lit(False)))
+    return found.join(first, "component", "left").select("component", "n", r6(F.col("ratio"), "ratio"), none.alias("chosen"))
+
+
+@query()
+def q_component_table(spark, d):
+    """Statistics of all components of the three decompositions, and the first of each that is a brain's."""
+    scores = stages.written(components.decompositions(catalogue._points(spark, d), catalogue.FRAMES), "decompositions")
+    keys = ["algorithm", "components"]
+    first = components.brain_component(components.containment(scores, proxies.lattice(spark, d).drop("label"), keys), keys).select(*keys, "component", F.lit(True).alias("brain"))
+    found = components.component_stats(scores).join(first, [*keys, "component"], "left")
+    return found.select(*keys, "component", "n", *[r6(F.col(c), c) for c in ("mean", "sd", "low", "high")], F.coalesce("brain", F.lit(False)).alias("brain"))

@@ -90,3 +90,53 @@ def newest(files: DataFrame, keys: list[str], by: str = "path") -> DataFrame:
 def read_mask(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, x, y, z): the voxels that are not 0 in the masks under pattern."""
     return tables.read_images(spark, pattern).where("activity <> 0").select("path", "x", "y", "z")
+
+
+# The kinds of image sources, the one that is used first. A pattern's match comes before a file that was named, that before
+# the image of an earlier run, that before a folder of volumes.
+SOURCES = ("matched", "named", "cached", "volumes")
+
+
+def image_source(found: DataFrame) -> DataFrame:
+    """(subject, kind, path, files): of each subject's image files (subject, kind of SOURCES, path) the source that is read.
+
+    Of several matches the last by name is read. Volumes are a source together, path being the first by name, and a single
+    volume is one, too. Other kinds, and rows with a null, are no sources; files that a listing has twice count once.
+    """
+    place = F.coalesce(*[F.when(F.col("kind") == kind, i) for i, kind in enumerate(SOURCES)])
+    known = found.select("subject", "kind", "path", place.alias("place")).where("place IS NOT NULL AND path IS NOT NULL AND subject IS NOT NULL").distinct()
+    by = known.groupBy("subject", "place", "kind").agg(F.max("path").alias("last"), F.min("path").alias("first"), F.count("*").alias("files"))
+    path = F.when(F.col("kind") == "volumes", F.col("first")).otherwise(F.col("last"))
+    best = by.groupBy("subject").agg(F.min_by(F.struct("kind", path.alias("path"), F.when(F.col("kind") == "volumes", F.col("files")).otherwise(1).cast("long").alias("files")), "place").alias("best"))
+    return best.select("subject", "best.kind", "best.path", "best.files")
+
+
+def used_units(asked: DataFrame) -> DataFrame:
+    """asked (subject, option, sidecar: units or null) with units, and conflict: the option differs from the sidecar, and wins."""
+    option = F.nullif(F.col("option"), F.lit(""))
+    return asked.withColumn("units", F.coalesce(option, "sidecar")).withColumn("conflict", F.coalesce(option != F.col("sidecar"), F.lit(False)))
+
+
+def failed_checks(subjects: DataFrame, tacs: DataFrame, mid_times: DataFrame, frames: DataFrame, regions: DataFrame, found_regions: DataFrame, units: DataFrame) -> DataFrame:
+    """(subject, what, fatal, detail): all that stands against a run, as rows, before anything runs; no row: it can go.
+
+    subjects: (subject). tacs, mid_times, frames: (subject, ...), the files of curves, and rows a time and a frame with used
+    (null: not). regions, found_regions: (subject, region) asked for and found. units: of used_units(). Fatal are: no curves, no
+    mid-times, no image, and a number of used frames other than that of used times. A region that isn't found, and units by two
+    names, are told only.
+    """
+    lacks = lambda given, what: subjects.join(given.select("subject").distinct(), "subject", "left_anti").select("subject", F.lit(what).alias("what"), F.lit(True).alias("fatal"), F.lit(None).cast("string").alias("detail"))
+    used = lambda rows, name: rows.groupBy("subject").agg(F.count_if(F.coalesce("used", F.lit(False))).alias(name))
+    both = subjects.join(used(frames, "frames"), "subject").join(used(mid_times, "times"), "subject").where("frames <> times")
+    uneven = both.select("subject", F.lit("frames and times differ").alias("what"), F.lit(True).alias("fatal"), F.concat_ws(" and ", "frames", "times").alias("detail"))
+    gone = missing(regions, found_regions, ["subject", "region"]).select("subject", F.lit("no such region").alias("what"), F.lit(False).alias("fatal"), F.col("region").cast("string").alias("detail"))
+    two = units.where("conflict").select("subject", F.lit("units differ").alias("what"), F.lit(False).alias("fatal"), F.concat_ws(" and ", "option", "sidecar").alias("detail"))
+    out = lacks(tacs, "no curves").unionByName(lacks(mid_times, "no mid-times")).unionByName(lacks(frames, "no image"))
+    return out.unionByName(uneven).unionByName(gone).unionByName(two)
+
+
+def refuse(failures: DataFrame, most: int = 20) -> None:
+    """Raises ValueError if any row of failed_checks is fatal; the message has most of them at most."""
+    rows = failures.where("fatal").orderBy("subject", "what", "detail").limit(most).collect()
+    if rows:
+        raise ValueError("; ".join(f"{r['subject']}: {r['what']}" + (f" ({r['detail']})" if r["detail"] else "") for r in rows))
