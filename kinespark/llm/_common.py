@@ -67,7 +67,8 @@ def attach_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str,
     """rows joined with groups (one row a key; column size has the key's number of rows), whatever the keys' skew.
 
     Keys with at least 1 / HOT_KEYS of all rows, of which there are HOT_KEYS at most, are broadcast, so that their rows
-    stay where they are; the others are joined by shuffle, where none of them is large. groups should be staged.
+    stay where they are. The others are joined by shuffle, each in one task: 1 / HOT_KEYS of the rows at most, unless Spark's
+    adaptive joins split it further. groups should be staged.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     least = max(2, -(-total // HOT_KEYS))

@@ -317,8 +317,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     Words are maximal runs without ASCII white space, A-Z lower-cased. Two documents are linked if 100 times the size of
     their sets' intersection is at least percent times that of their union; a document without words is linked with
     nothing. Rows with equal sets are one class, compared once. Shingles stand as 64-bit hashes, sets' keys have 128 bits.
-    Ids must be unique (rows that repeat id and text count as one); a row with a null id has a null component. Other
-    columns are not read. An empty table gives an empty result.
+    Ids must be unique (rows that repeat id and text count as one); a row with a null id has a null component. Texts of any
+    length are read whole; a text's set, 8 bytes a shingle, is in one task at a time. Other columns are not read. An empty
+    table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession):

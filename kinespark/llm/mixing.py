@@ -42,8 +42,9 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     Within a source rows stand in an order random by a hash of seed and id (ties: id, size). The mix takes them in this
     order, again from the start where the target is over the source's size, and cuts exactly at the target, rounded down:
     in the last round the row at the cut is taken in part. A null text has size 0; a null source is a source of its own;
-    rows with equal or null ids are taken one after the other, which of them first doesn't show in the result. Other
-    columns are not read. An empty table gives an empty result.
+    rows with equal or null ids are taken one after the other, which of them first doesn't show in the result. Texts of
+    any length are read once, to count their words. Other columns are not read. An empty table gives an empty result, which
+    reads four small tables in the shared folder.
     """
     key = F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix-rows")

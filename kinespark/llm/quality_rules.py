@@ -114,8 +114,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     base_failed: under 50 words, or over half of them in 3-word windows that occur twice or more. kept: not base_failed,
     and the lines that line_fails() removes have no more than MOST_LOST of the words. The counts are of the whole text
-    before cleaning. A null text counts as empty (no words, so it fails); its clean_text is empty. Ids may repeat or be
-    null; other columns are not read. An empty table gives an empty result.
+    before cleaning. A null text counts as empty (no words, so it fails); its clean_text is empty. Texts of any length are
+    read whole, in memory and time in proportion to them. Ids may repeat or be null; other columns are not read. An empty
+    table gives an empty result.
     """
 
     names = ["id", "clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "n_words_removed"]

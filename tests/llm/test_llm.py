@@ -404,7 +404,7 @@ def test_sites_of_one_document_ignore_its_label(spark):
 
 
 def test_network_against_a_plain_one():
-    """The forward pass by loops, and the gradient of a step by differences."""
+    """The forward pass by loops."""
     rng = np.random.default_rng(2)
     filters = 3 * language_id.FILTERS
     width = np.repeat(language_id.WIDTHS, language_id.FILTERS)
@@ -432,6 +432,42 @@ def test_network_against_a_plain_one():
         language_id.AT_ONCE = small
 
 
+def test_first_step_follows_the_gradient(monkeypatch):
+    """Adam's first step moves each weight by the sign of its gradient, which differences of the loss give."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(language_id, "FILTERS", 3)
+    monkeypatch.setattr(language_id, "BATCH", 100)
+    windows, y = rng.integers(97, 103, (12, language_id.WINDOW + 3)).astype(np.uint8), rng.integers(0, 2, 12)
+    nets = []
+    for epochs in (0, 1):
+        monkeypatch.setattr(language_id, "EPOCHS", epochs)
+        nets.append(language_id.train(windows, y, ["x", "z"]))
+    before, after = nets
+    names = ["taps", "bias", "top", "top_bias"]
+    wide = language_id.ByteNet(before.langs, *[getattr(before, k).astype(np.float64) for k in names])
+
+    def loss():
+        logits = wide.convolve(windows).max(1) + wide.bias
+        logits = np.maximum(logits, 0) @ wide.top + wide.top_bias
+        logits = logits - logits.max(1, keepdims=True)
+        return (np.log(np.exp(logits).sum(1)) - logits[np.arange(len(y)), y]).mean()
+
+    checked = 0
+    for k in names:
+        weights, moved = getattr(wide, k), getattr(after, k) - getattr(before, k)
+        for at in rng.permutation(np.argwhere(moved != 0))[:60]:
+            at, was = tuple(at), weights[tuple(at)]
+            weights[at] = was + 1e-5
+            up = loss()
+            weights[at] = was - 1e-5
+            slope = (up - loss()) / 2e-5 + language_id.DECAY * was
+            weights[at] = was
+            if abs(slope) > 1e-4:
+                assert np.sign(moved[at]) == -np.sign(slope), (k, at)
+                checked += 1
+    assert checked > 20
+
+
 def test_training_lowers_the_loss_and_finds_planted_bytes():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 6000)
