@@ -404,13 +404,13 @@ def q_kde_fwhm(spark, d):
 
 
 BOUNDED = {"k1": "k1", "k2": "k2", "k3": "k3", "ki": "k1 * k3 / (k2 + k3)"}
-_KDE_ALL = _kde("k3").replace("c AS (SELECT region, k3 AS v, count(*) AS w FROM boot GROUP BY ALL)", "c AS (SELECT l.region || '/' || p AS region, round(v, 6) AS v, count(*) AS w FROM (" + " UNION ALL ".join(f"SELECT region, '{n}' AS p, {e} AS v FROM boot" for n, e in BOUNDED.items()) + ") l GROUP BY ALL)")
+_KDE_ALL = _kde("k3").replace("c AS (SELECT region, k3 AS v, count(*) AS w FROM boot GROUP BY ALL)", "c AS (SELECT l.region || '/' || p AS region, v, count(*) AS w FROM (" + " UNION ALL ".join(f"SELECT region, '{n}' AS p, {e} AS v FROM boot" for n, e in BOUNDED.items()) + ") l GROUP BY ALL)")
 
 
 @query(_KDE_ALL + "SELECT split_part(region, '/', 1) AS region, split_part(region, '/', 2) AS param, round(min(x) FILTER (WHERE density > top / 2), 4) AS low, round(max(x) FILTER (WHERE density > top / 2), 4) AS high FROM t GROUP BY ALL")
 def q_bounds(spark, d):
     rows = proxies.rate_constants(spark, d)
-    each = [rows.select("region", F.lit(n).alias("param"), F.round(F.expr(e), 6).alias("value")) for n, e in BOUNDED.items()]
+    each = [rows.select("region", F.lit(n).alias("param"), F.expr(e).alias("value")) for n, e in BOUNDED.items()]
     rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
     return kinetics.kde_fwhm(rows, ["region", "param"], "value").select("region", "param", F.round("left", 4).alias("low"), F.round("right", 4).alias("high"))
 
@@ -510,12 +510,13 @@ def q_json_sidecar(spark, d):
     return proxies.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).where("k IS NOT NULL")
 
 
-@query(sql("clu") + "SELECT 'run-a' AS run, 0 AS clipped, k, label, count(*) AS n FROM clu WHERE k = 6 GROUP BY ALL UNION ALL SELECT 'run-b', 2, k, label, count(*) FROM clu WHERE k = 10 GROUP BY ALL")
+@query(sql("clu", "xyz") + "SELECT 'run-a' AS run, 0 AS clipped, k, label, count(*) AS n FROM clu GROUP BY ALL UNION ALL SELECT 'run-b', 2, k, clu.label, count(*) FROM clu JOIN xyz USING (vox_id) WHERE z >= 2 GROUP BY ALL")
 def q_runs_union(spark, d):
-    def one(run: str, clipped: int, k: int) -> DataFrame:
-        return proxies.labels(spark, d, (k,)).groupBy("k", "label").agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), F.lit(clipped).alias("clipped"), "k", "label", "n")
+    def one(run: str, clipped: int) -> DataFrame:
+        cells = proxies.labels(spark, d).join(lattice.clip_axial(proxies.lattice(spark, d).drop("label"), clipped), "vox_id")
+        return cells.groupBy("k", "label").agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), F.lit(clipped).alias("clipped"), "k", "label", "n")
 
-    return one("run-a", 0, 6).unionByName(one("run-b", 2, 10), allowMissingColumns=True)
+    return one("run-a", 0).unionByName(one("run-b", 2), allowMissingColumns=True)
 
 
 @query("SELECT l_returnflag AS region, round(avg(l_extendedprice), 2) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd, round(min(l_extendedprice), 2) AS low, round(max(l_extendedprice), 2) AS high FROM lineitem GROUP BY 1")
