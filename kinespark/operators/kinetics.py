@@ -46,10 +46,15 @@ def kde_fwhm(values: DataFrame, keys: list[str], value: str, points: int = 1000)
     return density.withColumn("top", top).groupBy(*keys).agg(F.min(F.when(F.col("density") > F.col("top") / 2, F.col("x"))).alias("left"), F.min_by("x", F.struct(-F.col("density"), F.col("x"))).alias("peak"), F.max(F.when(F.col("density") > F.col("top") / 2, F.col("x"))).alias("right"), F.max("top").alias("max_density"))
 
 
-def impulse_response(k1: Column, k2: Column, k3: Column, t: Column) -> Column:
-    """Of two tissue compartments with k4 = 0."""
-    s = k2 + k3
-    return k1 / s * (k3 + k2 * F.exp(-s * t))
+def impulse_response(k1: Column, k2: Column, k3: Column, t: Column, k4: Column | None = None) -> Column:
+    """Of two tissue compartments; without k4 nothing comes back from the second."""
+    if k4 is None:
+        s = k2 + k3
+        return k1 / s * (k3 + k2 * F.exp(-s * t))
+    s = k2 + k3 + k4
+    root = F.sqrt(s * s - 4 * k2 * k4)
+    slow, fast = (s - root) / 2, (s + root) / 2
+    return k1 / root * ((k3 + k4 - slow) * F.exp(-slow * t) + (fast - k3 - k4) * F.exp(-fast * t))
 
 
 def zeta(ks: tuple[float, float], kt: tuple[float, float], t: Column) -> Column:

@@ -320,7 +320,8 @@ def anneal(regions: DataFrame, bounds: DataFrame, step: float, steps: int = 5000
     curves = regions.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("t", "activity", "weight"))).alias("samples"))
     edges = bounds.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("low", "peak", "high")))).alias("bounds"))
     everything = curves.join(edges, "region").agg(F.sort_array(F.collect_list(F.struct("region", "samples", F.map_entries("bounds").alias("bounds")))).alias("regions"))
-    sources = everything.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("regions") - 1))).repartition(parts, "place")
+    # Without bounds, as when no set is good, there is nothing to search.
+    sources = everything.where(F.size("regions") > 0).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("regions") - 1))).repartition(parts, "place")
 
     def one(place: int, rows: list) -> pd.DataFrame:
         names, n = [r["region"] for r in rows], len(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import curves
-from kinespark.operators import clusters, components, kinetics, lattice, stages, tracer, two_step
+from kinespark.operators import clusters, components, kinetics, lattice, rates, stages, tracer, two_step
 from kinespark.plans import catalogue, proxies
 from kinespark.plans.catalogue import CONFETTI, DENSITY, DICE, ORIGIN, RECURSIVE_TRAITS, REGIONS, TRAITS, ZOOM, query, r6
 from kinespark.plans.proxies import sql
@@ -140,8 +140,8 @@ pen AS (SELECT sum(abs(k1 * k3 / (k2 + k3) - 0.1e0)) AS penalty FROM rates)
 SELECT source, round(sum(weight * (activity - fit) * (activity - fit)) + any_value(penalty), 4) AS cost FROM f CROSS JOIN pen GROUP BY source""")
 def q_source_to_target(spark, d):
     rows = proxies.regional_curves(spark, d).withColumn("weight", 1 / F.sqrt("frame"))
-    rates = _rates(spark, d)
-    found = kinetics.source_to_target_cost(rows, rates, rates.select("region", F.lit(0.1).alias("ki")), STEP)
+    constants = _rates(spark, d)
+    found = kinetics.source_to_target_cost(rows, constants, constants.select("region", F.lit(0.1).alias("ki")), STEP)
     return found.select("source", F.round("cost", 4).alias("cost"))
 
 
@@ -221,6 +221,25 @@ def q_anneal(spark, d):
     return tracer.anneal(rows.select("region", "t", ((F.col("activity") - 0.05 * F.col("blood")) / 0.95).alias("activity"), (1 / F.sqrt(t)).alias("weight")), bounds, STEP)
 
 
+@query(sql("tac", "boot") + """, p AS (SELECT flag, k1, k2, k3, k4, sqrt((k2 + k3 + k4) * (k2 + k3 + k4) - 4 * k2 * k4) AS root FROM (SELECT region AS flag, avg(k1) AS k1, avg(k2) AS k2, avg(k3) AS k3, avg(k3) / 4 AS k4 FROM boot GROUP BY 1)),
+e AS (SELECT *, (k2 + k3 + k4 - root) / 2 AS slow, (k2 + k3 + k4 + root) / 2 AS fast FROM p)
+SELECT flag, a.region, a.frame, round(sum(k1 / root * ((k3 + k4 - slow) * exp(-slow * (a.frame - b.frame)) + (fast - k3 - k4) * exp(-fast * (a.frame - b.frame))) * b.activity), 6) AS activity FROM tac a JOIN tac b ON a.region = b.region AND b.frame <= a.frame CROSS JOIN e GROUP BY ALL""")
+def q_2tc_reversible(spark, d):
+    """Curves of two compartments where the tracer also comes back: k4 over 0."""
+    constants = proxies.rate_constants(spark, d).groupBy(F.col("region").alias("flag")).agg(*[F.avg(c).alias(c) for c in ("k1", "k2", "k3")]).withColumn("k4", F.col("k3") / 4)
+    rows = proxies.regional_curves(spark, d).crossJoin(F.broadcast(constants))  # a few rows a region
+    kernel = kinetics.impulse_response(*[F.col(f"rates.{c}") for c in ("k1", "k2", "k3")], F.col("lag"), F.col("rates.k4"))
+    rows = rows.select("flag", "region", "frame", "activity", F.struct("k1", "k2", "k3", "k4").alias("rates"))
+    return curves.convolve(rows, kernel, ["flag", "region", "rates"]).select("flag", "region", "frame", r6(F.col("activity"), "activity"))
+
+
+@query()
+def q_rate_table(spark, d):
+    """Mean rate constants of all regions, from the vessel's and the regions' curves, with 100 copies."""
+    plan = rates.RatePlan(d, STEP, copies=100, anneal_steps=500)
+    return rates.rate_tables(_vessel(spark, d).select("t", "activity", "sd", "sigma"), _tissues(spark, d), plan, f"{stage_dir(spark)}/rates-{uuid.uuid4().hex}")[1].means
+
+
 @query("""WITH l AS (SELECT user_id, ts, event_id, 'run --axial-slices-to-clip ' || (event_id % 7) || ' end' AS line FROM events WHERE event_type = 'purchase')
 SELECT u.user_id, coalesce(CAST(regexp_extract(arg_max(line, (ts, event_id)), '--axial-slices-to-clip ([0-9]+)', 1) AS INT), 0) AS clip FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN l ON l.user_id = u.user_id GROUP BY u.user_id""")
 def q_clip_threshold(spark, d):
