@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from kinespark.operators import components
-from kinespark.plans import input_queries, proxies, stage_queries  # noqa: F401
+from kinespark.plans import image_queries, input_queries, proxies, stage_queries  # noqa: F401
 from kinespark.plans.catalogue import ORACLES, QUERIES
 
 
