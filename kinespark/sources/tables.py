@@ -1,4 +1,4 @@
-"""Readers and writers of tables: curves, mid-times, run logs; images as voxel tables."""
+"""Readers and writers of tables: curves, mid-times, plasma, run logs; images as voxel tables."""
 
 from __future__ import annotations
 
@@ -51,6 +51,34 @@ def read_mid_times(spark: SparkSession, path: str, ignored: tuple[int, ...] = ()
     return rows.withColumn("frame", frame).withColumn("used", used & (F.lit(latest <= 0) | (F.col("frame") <= latest))).select("frame", "t", "used")
 
 
+# The names of the columns of times and activities in files of plasma, the first that a file has, and the units whose
+# activities such files give in parts of 1 / 37,000.
+PLASMA_COLUMNS = (("PlasRawT", "PlasRawY"), ("time", "plasma_radioactivity"))
+PLASMA_UNITS = ("Bq/mL", "Beq", "kBq")
+
+
+def read_plasma(spark: SparkSession, path: str, sidecar: str | None = None) -> DataFrame | None:
+    """(t, activity, time_units, activity_units) of a tab-separated file of plasma samples; None if it has no columns of known names.
+
+    Units come from the sidecar, a JSON file with Units for each column, and are null without it. Activities in one of
+    PLASMA_UNITS are divided by 37,000, whichever it is, as the original's are. Rows without a number are left out.
+    """
+    head = spark.read.text(path).limit(1).collect()
+    names = [n.strip() for n in head[0]["value"].split("\t")] if head else []
+    found = next((pair for pair in PLASMA_COLUMNS if set(pair) <= set(names)), None)
+    if found is None:
+        return None
+    units = {}
+    if sidecar:
+        text = spark.read.text(sidecar, wholetext=True).first()[0]
+        units = {name: entry.get("Units") for name, entry in json.loads(text).items() if isinstance(entry, dict)}
+    rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, sep="\t", header=True)
+    t, activity = (F.col(f"`{n}`").try_cast("double") for n in found)
+    scale = 37_000.0 if units.get(found[1]) in PLASMA_UNITS else 1.0
+    out = rows.select(t.alias("t"), (activity / F.lit(scale)).alias("activity")).where("t IS NOT NULL AND activity IS NOT NULL")
+    return out.withColumns({name: F.lit(units.get(column)).cast("string") for name, column in zip(("time_units", "activity_units"), found, strict=True)})
+
+
 def log_values(lines: DataFrame, pattern: str, groups: dict[str, tuple[int, str]], text: str = "value") -> DataFrame:
     """lines that match the pattern, with a typed column for each of its groups."""
     return lines.where(F.col(text).rlike(pattern)).select("*", *[F.regexp_extract(text, pattern, i).cast(kind).alias(n) for n, (i, kind) in groups.items()])
