@@ -126,6 +126,13 @@ _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 _LIST = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TOKENS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 #: One assignment of parts to entries, and the next entries; {} are the numbers of rounds.
 _ASSIGNED = """a{0} AS (SELECT row, p, any_value(x) AS x, min(d * 64 + k) % 64 AS k, min(d) AS d
       FROM (SELECT row, x.p, x, k, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN c{0} ON x.p = c{0}.p) GROUP BY row, p)"""
@@ -225,4 +232,25 @@ c0 AS (SELECT p, x AS c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1
 e AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY row)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM c2) AS codebooks_sha256 FROM v JOIN e USING (row)""",
+    "op13_license_scan": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, {_TOKENS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+t AS (SELECT k, label, {_TOKENS.format(_LOWER.format("text"))} AS w FROM (VALUES {", ".join(f"({k}, '{label}', '{_quoted(text)}')" for k, (label, text) in enumerate((x, y) for x, ys in license_scan.TEMPLATES.items() for y in ys))}) AS v(k, label, text)),
+tg AS (SELECT k, e, array_to_string(w[e:e + 3], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 2)) AS e FROM t)),
+dg AS (SELECT row, i, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM d)),
+m AS (SELECT row, k, i, i - e AS diagonal, i - row_number() OVER (PARTITION BY row, k, i - e ORDER BY i) AS island FROM dg JOIN tg USING (g)),
+g AS (SELECT row, k, diagonal, min(i) AS low, max(i) + 3 AS high FROM m GROUP BY row, k, diagonal, island),
+e AS (SELECT row, k, diagonal, low, unnest(range(low + 3, high + 1)) AS last FROM g),
+l AS (SELECT row, last, max(last - low + 1) AS size FROM e GROUP BY row, last),
+x AS (SELECT e.row, e.k, e.low, e.last, e.last - e.diagonal AS place, l.size FROM e JOIN l ON l.row = e.row AND l.last = e.last LEFT JOIN l n ON n.row = e.row AND n.last = e.last + 1
+      WHERE e.last - e.low + 1 = l.size AND coalesce(n.size, 0) <= l.size),
+c AS (SELECT row, k, low, last, place, size, size AS weight FROM x
+      UNION ALL SELECT b.row, b.k, b.low, b.last, b.place, b.size, a.weight + b.size - greatest(0, a.last + 1 - b.low, a.place - (b.place - b.size)) FROM c a JOIN x b
+      ON a.row = b.row AND a.k = b.k AND a.low < b.low AND a.last <= b.last AND a.place < b.place AND a.place - a.size < b.place - b.size AND b.low - a.last - 1 <= {license_scan.GAP}),
+s AS (SELECT row, label, max(weight) / any_value(len(w)) AS share FROM c JOIN t USING (k) GROUP BY row, k, label HAVING max(weight) >= {license_scan.LEAST_SHARE} * any_value(len(w))),
+p AS (SELECT row, i - 1 AS place, label FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN (VALUES {", ".join(f"('{phrase}', {len(phrase.split())}, '{label}')" for phrase, label in license_scan.PHRASES.items())}) AS v(phrase, n, label) ON array_to_string(w[i:i + n - 1], ' ') = phrase),
+b AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY row),
+a AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM p UNION ALL SELECT row, label FROM s) GROUP BY row),
+h AS (SELECT row, max(share) AS share FROM s GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN {license_scan.PHRASE_SCORE} ELSE 0 END) AS DOUBLE) AS score FROM d LEFT JOIN b USING (row) LEFT JOIN a USING (row) LEFT JOIN h USING (row)""",
 }

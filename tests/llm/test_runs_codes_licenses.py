@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -277,3 +278,35 @@ def test_whole_and_damaged_licences(spark):
 def test_vocabulary_is_found_exactly():
     found = license_scan.Templates([("x", "one two three four")], [])
     assert all(found.vocabulary[bisect_left(found.vocabulary.tolist(), h)] == h for h in license_scan._hashed(pa.array(["four three two one"]))[1])
+
+
+def against_sql(con, name, found):
+    columns = sorted(found.columns)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=repr)
+    relation = con.sql(queries.ORACLES[name])
+    place = [relation.columns.index(c) for c in columns]
+    assert got == sorted((tuple(plain(r[i]) for i in place) for r in relation.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_vector_codes", "op13_license_scan"])
+def test_queries_against_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    against_sql(con, name, queries.QUERIES[name](spark, sf))
+
+
+def test_damaged_and_mixed_licences_against_sql(spark):
+    mit, gpl, bsd = license_scan.TEMPLATES["mit"][3], license_scan.TEMPLATES["gpl"][3], license_scan.TEMPLATES["bsd"][1].split()
+    rng = random.Random(4)
+    texts = [None, "", "MIT license", mit, mit + " x " * 30 + gpl.upper(), " ".join(bsd[:25] + ["zz"] * 30 + bsd[25:]), " ".join(bsd[:25] + ["zz"] * 60 + bsd[25:]), "é " + gpl[:200], " ".join(reversed(bsd)), (" ".join(bsd[:12]) + " ") * 3 + " ".join(bsd)]
+    for text in (mit, gpl, " ".join(bsd)):
+        for _ in range(4):
+            w = text.split()
+            for k in rng.sample(range(len(w)), rng.randint(1, 8)):
+                w[k] = rng.choice(["other", "the", "license"])
+            texts.append(" ".join(w[rng.randrange(10) :]))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    against_sql(con, "op13_license_scan", license_scan.scan_licenses(rows(spark, texts)).drop("spans"))
