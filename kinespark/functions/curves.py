@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +145,16 @@ def pchip_at(curves: DataFrame, grid: DataFrame, keys: list[str], t: str = "t",
     return placed.select(*keys, t, F.when(k("h").isNull(), k("y")).otherwise(cubic).alias(value))
 
 
-def convolve(curves: DataFrame, kernel: Column, keys: list[str], at: str = "frame", value: str = "activity", step: float = 1.0) -> DataFrame:
-    """Causal convolution with a kernel, a function of the column lag: y[n] = step * sum of kernel(j) x[n - j]; a curve is an array of frames."""
-    own = F.collect_list(F.struct(F.col(at), F.col(value))).over(Window.partitionBy(*keys).orderBy(at))
-    rows = curves.select(*keys, at, own.alias("past")).withColumn("one", F.explode("past")).withColumn("lag", F.col(at) - F.col(f"one.{at}"))
-    return rows.groupBy(*keys, at).agg((F.sum(kernel * F.col(f"one.{value}")) * F.lit(step)).alias(value))
+def convolve(curves: DataFrame, kernel: Callable[[Column], Column], keys: list[str], at: str = "frame", value: str = "activity", step: float = 1.0) -> DataFrame:
+    """Causal convolution with a kernel, a function of the lag: y[n] = step * sum of kernel(n - j) x[j] over j up to n.
+
+    A curve is put together as an array of its frames by one shuffle and convolved in its row. Null values add nothing.
+    """
+    whole = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("x")))).alias("curve"))
+    part = lambda n, p: F.coalesce(kernel(n["at"] - p["at"]) * p["x"], F.lit(0.0))
+    total = lambda n: F.aggregate(F.filter("curve", lambda p: p["at"] <= n["at"]), F.lit(0.0), lambda s, p: s + part(n, p))
+    found = F.transform("curve", lambda n: F.struct(n["at"].alias("at"), (total(n) * F.lit(step)).alias("y")))
+    return whole.select(*keys, F.explode(found).alias("found")).select(*keys, F.col("found.at").alias(at), F.col("found.y").alias(value))
 
 
 def winsorized(curves: DataFrame, keys: list[str], group: list[str], at: str = "frame", value: str = "activity", width: float = 2.0) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.quantiles import quantiles
 from kinespark.operators import lattice
 
 
@@ -209,7 +210,7 @@ def containment(scores: DataFrame, cells: DataFrame, keys: list[str], share: flo
     scores: (keys, vox_id, component, score); cells: (vox_id, x, y, z). The ball is lattice.sphere_ratio's.
     """
     by = [*keys, "component"]
-    edges = scores.groupBy(*by).agg(F.percentile("score", F.lit(share)).alias("edge"))
+    edges = quantiles(scores, by, "score", share).withColumnRenamed("score", "edge")
     masks = scores.join(edges, by).where("score > edge").select(*by, "vox_id").join(cells, "vox_id")
     return masks.groupBy(*by).agg(F.count("*").alias("n")).join(lattice.sphere_ratio(masks, by), by)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import curves
+from kinespark.functions.quantiles import quantiles
 from kinespark.operators import clusters, components, kinetics, lattice, tracer
 from kinespark.plans import proxies
 from kinespark.plans.proxies import sql
@@ -352,7 +353,7 @@ def q_winsor(spark, d):
 @query(sql("vox") + ", p AS (SELECT frame, quantile_cont(activity, 0.95) AS p95 FROM vox GROUP BY frame) SELECT frame, CAST(count(*) FILTER (WHERE activity > p95) AS BIGINT) AS n_over, round(max(p95), 6) AS p95 FROM vox JOIN p USING (frame) GROUP BY frame")
 def q_percentile_mask(spark, d):
     rows = proxies.voxels(spark, d)
-    top = rows.groupBy("frame").agg(F.expr("percentile(activity, 0.95)").alias("p95"))
+    top = quantiles(rows, ["frame"], "activity", 0.95).withColumnRenamed("activity", "p95")
     return rows.join(top, "frame").groupBy("frame").agg(F.count_if(F.col("activity") > F.col("p95")).alias("n_over"), r6(F.max("p95"), "p95"))
 
 
@@ -460,14 +461,14 @@ def q_pchip(spark, d):
 
 @query(sql("tac") + "SELECT a.region, a.frame, round(sum(exp(-0.1e0 * (a.frame - b.frame)) * b.activity) * 1e0, 6) AS activity FROM tac a JOIN tac b ON a.region = b.region AND b.frame <= a.frame GROUP BY ALL")
 def q_convolve(spark, d):
-    return curves.convolve(proxies.regional_curves(spark, d), F.exp(F.lit(-0.1) * F.col("lag")), ["region"]).withColumn("activity", F.round("activity", 6))
+    return curves.convolve(proxies.regional_curves(spark, d), lambda lag: F.exp(F.lit(-0.1) * lag), ["region"]).withColumn("activity", F.round("activity", 6))
 
 
 @query(sql("tac", "boot") + ", p AS (SELECT region AS flag, avg(k1) AS k1, avg(k2) AS k2, avg(k3) AS k3 FROM boot GROUP BY 1) SELECT flag, a.region, a.frame, round(sum(k1 / (k2 + k3) * (k3 + k2 * exp(-(k2 + k3) * (a.frame - b.frame))) * b.activity), 6) AS activity FROM tac a JOIN tac b ON a.region = b.region AND b.frame <= a.frame CROSS JOIN p GROUP BY ALL")
 def q_2tc_curve(spark, d):
     rates = proxies.rate_constants(spark, d).groupBy(F.col("region").alias("flag")).agg(*[F.avg(c).alias(c) for c in ("k1", "k2", "k3")])
     rows = proxies.regional_curves(spark, d).crossJoin(F.broadcast(rates))  # a few rows a region
-    kernel = kinetics.impulse_response(F.col("rates.k1"), F.col("rates.k2"), F.col("rates.k3"), F.col("lag"))
+    kernel = lambda lag: kinetics.impulse_response(F.col("rates.k1"), F.col("rates.k2"), F.col("rates.k3"), lag)
     rows = rows.select("flag", "region", "frame", "activity", F.struct("k1", "k2", "k3").alias("rates"))
     return curves.convolve(rows, kernel, ["flag", "region", "rates"]).select("flag", "region", "frame", r6(F.col("activity"), "activity"))
 
@@ -480,7 +481,7 @@ _ZETA = f"(-0.05e0 - {_M}) * exp(-0.2e0 * (a.frame - b.frame)) + {_M} * exp(-0.2
 def q_s2t_cost(spark, d):
     rows = proxies.regional_curves(spark, d)
     source = rows.where("region = '1-URGENT'")
-    kernel = kinetics.zeta((0.1, 0.2), (0.15, 0.12), F.col("lag"))
+    kernel = lambda lag: kinetics.zeta((0.1, 0.2), (0.15, 0.12), lag)
     model = curves.convolve(source, kernel, ["region"]).join(source.select("frame", F.col("activity").alias("own")), "frame").select("frame", (F.col("activity") + F.col("own")).alias("model"))
     return rows.where("region <> '1-URGENT'").join(model, "frame").groupBy("region").agg(F.round(F.sum(F.pow(F.col("activity") - F.col("model"), 2)), 4).alias("cost"))
 

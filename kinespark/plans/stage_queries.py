@@ -182,7 +182,7 @@ def _tissues(spark, d) -> DataFrame:
     """(region, t, activity): what the vessel's curve gives in each region, with a share of blood."""
     vessel = _vessel(spark, d)
     rows = vessel.select("frame", "t", "activity").crossJoin(F.broadcast(_rates(spark, d))).withColumn("rates", F.struct("k1", "k2", "k3"))
-    kernel = kinetics.impulse_response(F.col("rates.k1"), F.col("rates.k2"), F.col("rates.k3"), F.col("lag") * F.lit(STEP))
+    kernel = lambda lag: kinetics.impulse_response(F.col("rates.k1"), F.col("rates.k2"), F.col("rates.k3"), lag * F.lit(STEP))
     pure = curves.convolve(rows, kernel, ["region", "rates"], step=STEP)
     blood = vessel.select("frame", "t", F.col("activity").alias("blood"))
     return pure.join(blood, "frame").select("region", "t", (F.lit(0.95) * F.col("activity") + F.lit(0.05) * F.col("blood")).alias("activity"))
@@ -228,7 +228,7 @@ def q_2tc_reversible(spark, d):
     """Curves of two compartments where the tracer also comes back: k4 over 0."""
     constants = proxies.rate_constants(spark, d).groupBy(F.col("region").alias("flag")).agg(*[F.avg(c).alias(c) for c in ("k1", "k2", "k3")]).withColumn("k4", F.col("k3") / 4)
     rows = proxies.regional_curves(spark, d).crossJoin(F.broadcast(constants))  # a few rows a region
-    kernel = kinetics.impulse_response(*[F.col(f"rates.{c}") for c in ("k1", "k2", "k3")], F.col("lag"), F.col("rates.k4"))
+    kernel = lambda lag: kinetics.impulse_response(*[F.col(f"rates.{c}") for c in ("k1", "k2", "k3")], lag, F.col("rates.k4"))
     rows = rows.select("flag", "region", "frame", "activity", F.struct("k1", "k2", "k3", "k4").alias("rates"))
     return curves.convolve(rows, kernel, ["flag", "region", "rates"]).select("flag", "region", "frame", r6(F.col("activity"), "activity"))
 

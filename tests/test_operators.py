@@ -46,7 +46,7 @@ def test_dice(spark):
 
 def test_convolution_of_a_step(spark):
     rows = spark.createDataFrame([(1, i, 1.0) for i in range(5)], "c int, frame int, activity double")
-    got = curves.convolve(rows, F.lit(1.0), ["c"], step=0.1).orderBy("frame").collect()
+    got = curves.convolve(rows, lambda lag: F.lit(1.0), ["c"], step=0.1).orderBy("frame").collect()
     assert [r["activity"] for r in got] == pytest.approx([0.1 * (i + 1) for i in range(5)])
 
 
