@@ -157,6 +157,22 @@ def convolve(curves: DataFrame, kernel: Callable[[Column], Column], keys: list[s
     return whole.select(*keys, F.explode(found).alias("found")).select(*keys, F.col("found.at").alias(at), F.col("found.y").alias(value))
 
 
+def set_curves(sets: DataFrame, keys: list[str], times: DataFrame, tag: str, source: str) -> DataFrame:
+    """(keys, src, t, curve_id, activity) of sets of curves (keys, curve: a number, values: an array), at the times that their length tells.
+
+    times: (keys, t, after_peak). Curves as long as all times of their keys have these, curves as long as those from the peak on
+    have those. Any other length is an error, which names all three. Curves are called _0000_tag, by their number.
+    """
+    late = F.sort_array(F.collect_list(F.when(F.col("after_peak"), F.col("t"))))
+    both = times.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("all_t"), late.alias("late_t"))  # some tens of frames
+    rows = sets.join(both, keys, "left")
+    n, whole, part = (F.coalesce(F.size(c), F.lit(0)) for c in ("values", "all_t", "late_t"))
+    wrong = F.raise_error(F.format_string("curves of %d values match neither all %d times nor the %d from the peak on", n, whole, part)).cast("array<double>")
+    t = F.when((n == whole) & (n > 0), F.col("all_t")).when((n == part) & (n > 0), F.col("late_t")).otherwise(wrong)
+    at = F.explode(F.arrays_zip(t.alias("t"), F.col("values").alias("activity"))).alias("at")
+    return rows.select(*keys, F.lit(source).alias("src"), F.format_string(f"_%04d_{tag}", "curve").alias("curve_id"), at).select(*keys, "src", "at.t", "curve_id", "at.activity")
+
+
 def winsorized(curves: DataFrame, keys: list[str], group: list[str], at: str = "frame", value: str = "activity", width: float = 2.0) -> DataFrame:
     """The curves of each group that have no sample outside mean +- width sd of the group's samples at its time."""
     stats = curves.groupBy(*group, at).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions import curves
 from kinespark.operators import lattice
 
 
@@ -133,3 +134,48 @@ def long_table(found: DataFrame, centroid_curves: DataFrame, best: DataFrame) ->
     return centroid_curves.drop("voxel_count").join(found, ["k", "label"]).join(flags, ["k", "label"], "left").withColumn("best_in_k", F.coalesce("best_in_k", F.lit(False)))
 
 
+
+
+def table(found: DataFrame, curves_in_time: DataFrame, sizes: DataFrame, best: DataFrame, overall: DataFrame, added: dict[str, object] | None = None, share: float = 0.95) -> DataFrame:
+    """A row a cluster with all that is known of it: the added values as first columns, then k, label and name (l-label_k-k), peak_index,
+    peak_value, auc, voxel_count, voxels_in_img, blob_count, voxels_per_blob, sparsity (how many blobs, the largest first, make
+    up share of its voxels), best_in_k, best_overall, the lines' whole_slope, whole_intercept, wo_first_slope and
+    wo_first_intercept, and whatever other columns found has.
+
+    found: traits (k, label, peak_index, peak_value, voxel_count, ...); curves_in_time: (k, label, frame, t, activity); sizes:
+    lattice.blob_sizes; best, overall: the chosen (k, label). Clusters without blobs have 0 of them.
+    """
+    keys = ["k", "label"]
+    areas, slopes = curves.auc(curves_in_time, keys), curves.lines(curves_in_time, keys)
+    blobs = lattice.sparsity(sizes, keys, share).groupBy(*keys).agg(F.count("*").alias("blob_count"), F.avg("n").alias("voxels_per_blob"), F.count_if("kept").alias("sparsity"))
+    flag = lambda chosen, name: chosen.select(*keys, F.lit(True).alias(name))
+    rows = found.withColumn("voxels_in_img", F.sum("voxel_count").over(Window.partitionBy("k")))
+    for more in (areas, slopes, blobs, flag(best, "best_in_k"), flag(overall, "best_overall")):
+        rows = rows.join(more, keys, "left")
+    rows = rows.withColumn("name", F.format_string("l-%d_k-%d", "label", "k"))
+    rows = rows.fillna(False, ["best_in_k", "best_overall"]).fillna(0, ["blob_count", "voxels_per_blob", "sparsity"])
+    first = [*keys, "name", "peak_index", "peak_value", "auc", "voxel_count", "voxels_in_img", "blob_count", "voxels_per_blob", "sparsity", "best_in_k", "best_overall", *slopes.columns[2:]]
+    rest = [c for c in found.columns if c not in first]
+    return rows.select(*[F.lit(v).alias(n) for n, v in (added or {}).items()], *first, *rest)
+
+
+#: What a curve that lacks a column has there, in a table of curves of all kinds.
+ABSENT = {"k": 0, "label": 0, "source": "n/a", "name": "n/a", "best_overall": False, "best_in_k": False}
+
+
+def plottable(*tables: DataFrame, features: tuple[str, ...] = ()) -> DataFrame:
+    """(t, activity, k, label, source, name, best_overall, best_in_k, features...) of curves of all kinds, one below the other.
+
+    tables have t and activity and any of the other columns; what one lacks, or has as null, is as ABSENT says, and null for
+    features. Further columns are left out.
+    """
+
+    def one(rows: DataFrame) -> DataFrame:
+        have = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)
+        own = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in features]
+        return rows.select("t", "activity", *[have(c, v).alias(c) for c, v in ABSENT.items()], *own)
+
+    found = one(tables[0])
+    for rows in tables[1:]:
+        found = found.unionByName(one(rows))
+    return found

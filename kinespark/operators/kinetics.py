@@ -15,6 +15,13 @@ def ki(k1: Column, k2: Column, k3: Column) -> Column:
     return k1 * k3 / (k2 + k3)
 
 
+def model(k1: Column, k2: Column, k3: Column, name: Column) -> Column:
+    """A two-tissue model as one value: (name, k1, k2, k3, ki, text), text being its equation with the numbers put in."""
+    k = ki(k1, k2, k3)
+    text = F.format_string("'%s': ki = k1 * (k3 / (k2 + k3)) = %.2f * (%.2f / (%.2f + %.2f)) = %.2f", name, k1, k3, k2, k3, k)
+    return F.struct(name.alias("name"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3"), k.alias("ki"), text.alias("text"))
+
+
 def validity(k1: Column, k2: Column, k3: Column, least: float = 1e-4) -> Column:
     """0, or the failure's code: 41 if a constant is near 0, 42 if one is near 1."""
     near = lambda f: F.greatest(*[F.when(f(c) < least, 1).otherwise(0) for c in (k1, k2, k3)]) == 1

@@ -337,3 +337,58 @@ def q_component_table(spark, d):
     first = components.brain_component(components.containment(scores, proxies.lattice(spark, d).drop("label"), keys), keys).select(*keys, "component", F.lit(True).alias("brain"))
     found = components.component_stats(scores).join(first, [*keys, "component"], "left")
     return found.select(*keys, "component", "n", *[r6(F.col(c), c) for c in ("mean", "sd", "low", "high")], F.coalesce("brain", F.lit(False)).alias("brain"))
+
+
+_TABLE = RECURSIVE_TRAITS + """, sp AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k, label ORDER BY n DESC, blob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY k, label) AS prev_share FROM bs),
+bl AS (SELECT k, label, count(*) AS blob_count, avg(n) AS voxels_per_blob, CAST(count(*) FILTER (WHERE prev_share <= 0.95e0) AS BIGINT) AS sparsity FROM sp GROUP BY k, label),
+ct AS (SELECT k, label, frame, frame * frame / 64e0 AS tm, activity FROM cent),
+ar AS (SELECT k, label, sum(part) AS auc FROM (SELECT k, label, (activity + lag(activity) OVER w) / 2 * (tm - lag(tm) OVER w) AS part FROM ct WINDOW w AS (PARTITION BY k, label ORDER BY tm)) GROUP BY k, label),
+ln AS (SELECT k, label, regr_slope(activity, tm) AS whole_slope, regr_intercept(activity, tm) AS whole_intercept, regr_slope(activity, tm) FILTER (WHERE frame > 1) AS wo_first_slope, regr_intercept(activity, tm) FILTER (WHERE frame > 1) AS wo_first_intercept FROM ct GROUP BY k, label),
+e AS (SELECT * FROM b WHERE (peak_index + 1) * (peak_index + 1) / 64e0 < 10), m AS (SELECT peak_index FROM e GROUP BY peak_index ORDER BY count(*) DESC, peak_index LIMIT 1),
+one AS (SELECT k, label FROM e JOIN m USING (peak_index) ORDER BY e.peak_value DESC, k, label LIMIT 1)
+SELECT 'proxy' AS subject, 1 AS step, t.k, t.label, printf('l-%d_k-%d', t.label, t.k) AS name, t.peak_index, round(t.peak_value, 6) AS peak_value, round(auc, 6) AS auc, t.voxel_count, CAST(sum(t.voxel_count) OVER (PARTITION BY t.k) AS BIGINT) AS voxels_in_img,
+blob_count, round(voxels_per_blob, 6) AS voxels_per_blob, sparsity, b.k IS NOT NULL AS best_in_k, one.k IS NOT NULL AS best_overall, round(whole_slope, 6) AS whole_slope, round(whole_intercept, 6) AS whole_intercept, round(wo_first_slope, 6) AS wo_first_slope, round(wo_first_intercept, 6) AS wo_first_intercept, t.vascular
+FROM t JOIN bl USING (k, label) JOIN ar USING (k, label) JOIN ln USING (k, label) LEFT JOIN b ON b.k = t.k AND b.label = t.label LEFT JOIN one ON one.k = t.k AND one.label = t.label"""
+
+
+@query(_TABLE)
+def q_cluster_table(spark, d):
+    """All that is known of each cluster, as one table."""
+    found, rows = catalogue._traits(spark, d), catalogue._centroids(spark, d).withColumn("t", catalogue.frame_time(F.col("frame")))
+    best = clusters.best_in_k(found)
+    overall = clusters.best_overall(best, catalogue.frame_time(F.col("peak_index") + 1))
+    sizes = lattice.blob_sizes(catalogue.cluster_blobs(spark, d), ["k", "label"])
+    made = clusters.table(found, rows, sizes, best, overall, {"subject": "proxy", "step": 1}).drop("noise", "irreversible", "background")
+    return made.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in made.dtypes])
+
+
+@query(TRAITS + """SELECT frame * frame / 64e0 AS t, round(activity, 6) AS activity, t.k, t.label, 'clusters' AS source, 'n/a' AS name, false AS best_overall, b.k IS NOT NULL AS best_in_k, t.peak_index, t.vascular FROM cent JOIN t USING (k, label) LEFT JOIN b ON b.k = t.k AND b.label = t.label
+UNION ALL SELECT frame * frame / 64e0, round(avg(activity), 6), 0, 0, 'n/a', CAST(region AS VARCHAR), false, false, NULL, NULL FROM vox GROUP BY region, frame""")
+def q_curves_of_all_kinds(spark, d):
+    """Curves of clusters and of regions in one table; what the regions' lack is filled in."""
+    found = catalogue._traits(spark, d)
+    own = clusters.long_table(found, catalogue._centroids(spark, d), clusters.best_in_k(found)).withColumn("source", F.lit("clusters"))
+    regions = proxies.voxels(spark, d).groupBy("region", "frame").agg(F.avg("activity").alias("activity")).withColumn("name", F.col("region").cast("string"))
+    timed = [rows.withColumn("t", catalogue.frame_time(F.col("frame"))) for rows in (own, regions)]
+    return clusters.plottable(*timed, features=("peak_index", "vascular")).withColumn("activity", F.round("activity", 6))
+
+
+@query(sql("tac") + """, p AS (SELECT region, arg_min(frame, (-activity, frame)) AS top FROM tac GROUP BY region), a AS (SELECT region, frame * frame / 64e0 AS t, activity, frame >= top AS late FROM tac JOIN p USING (region))
+SELECT region, 'tissue' AS src, t, '_0000_t' AS curve_id, round(activity, 8) AS activity FROM a UNION ALL SELECT region, 'tissue', t, '_0001_t', round(activity / 2, 10) FROM a WHERE late""")
+def q_set_curves(spark, d):
+    """A whole curve of each region, and half of its part from the peak on, each at the times that its length tells."""
+    rows = curves.with_peak(proxies.regional_curves(spark, d), ["region"]).withColumn("t", catalogue.frame_time(F.col("frame")))
+    values = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda p: p["a"])
+    pair = lambda a: F.struct(F.col("frame").alias("frame"), a.alias("a"))
+    whole, late = values(pair(F.round("activity", 8))), values(F.when(F.col("after_peak"), pair(F.round(F.col("activity") / 2, 10))))
+    sets = rows.groupBy("region").agg(whole.alias("whole"), late.alias("late")).select("region", F.posexplode(F.array("whole", "late")).alias("curve", "values"))
+    return curves.set_curves(sets, ["region"], rows.select("region", "t", "after_peak"), "t", "tissue")
+
+
+@query(sql("boot") + """, p AS (SELECT region, avg(k1) AS k1, avg(k2) AS k2, avg(k3) AS k3 FROM boot GROUP BY region)
+SELECT region AS name, round(k1 * k3 / (k2 + k3), 6) AS ki, printf('%s%s%s: ki = k1 * (k3 / (k2 + k3)) = %.2f * (%.2f / (%.2f + %.2f)) = %.2f', chr(39), region, chr(39), k1, k3, k2, k3, k1 * k3 / (k2 + k3)) AS text FROM p""")
+def q_tissue_models(spark, d):
+    """The two-tissue model of each region's mean rates."""
+    means = proxies.rate_constants(spark, d).groupBy("region").agg(*[F.avg(c).alias(c) for c in ("k1", "k2", "k3")])
+    made = means.select(kinetics.model(F.col("k1"), F.col("k2"), F.col("k3"), F.col("region")).alias("model"))
+    return made.select("model.name", F.round("model.ki", 6).alias("ki"), "model.text")

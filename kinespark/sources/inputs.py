@@ -77,6 +77,30 @@ def resolve(files: DataFrame, kind: str, tracer: str = "") -> DataFrame:
     return found.select("subject", "best.path", "best.place", "ignored")
 
 
+def files_of(spark: SparkSession, folder: str, subject: str, kind: str, tracer: str = "") -> list[str]:
+    """The files of a kind that stand in the subject's folder, on whatever file system: the first is the one that is read."""
+    found = []
+    for place in PLACES[kind]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{place.replace('{tracer}', tracer.lower()).replace('{id}', subject)}")
+        for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+            if status.isFile():
+                found.append(status.getPath().toString())
+    return found
+
+
+def read(spark: SparkSession, folder: str, subject: str, kind: str, tracer: str = "", **options) -> tuple[DataFrame | None, list[str]]:
+    """(table, files): what the first of files_of holds, read as its kind is, and all of them; the others are ignored.
+
+    tacs are read by tables.read_curves, plasma by tables.read_plasma, midtimes by tables.read_mid_times; options go there.
+    No file gives None. Kinds other than those of PLACES are an error.
+    """
+    if kind not in PLACES:
+        raise ValueError(f"{kind} is none of {', '.join(PLACES)}")
+    files = files_of(spark, folder, subject, kind, tracer)
+    reader = {"tacs": tables.read_curves, "plasma": tables.read_plasma, "midtimes": tables.read_mid_times}[kind]
+    return (reader(spark, files[0], **options) if files else None), files
+
+
 def missing(asked: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of asked, once each, whose keys given doesn't have: regions that a table lacks, subjects without a file."""
     return asked.select(*keys).distinct().join(given.select(*keys), keys, "left_anti")

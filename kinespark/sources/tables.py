@@ -44,9 +44,15 @@ def read_curves(spark: SparkSession, path: str, regions: list[str] | None = None
 
 
 def read_mid_times(spark: SparkSession, path: str, ignored: tuple[int, ...] = (), latest: int = 0) -> DataFrame:
-    """(frame, t, used) from a file with one number a line."""
-    rows = spark.read.schema("t double").csv(path).withColumn("__at", F.monotonically_increasing_id())
-    frame = F.row_number().over(Window.orderBy("__at"))
+    """(frame, t, used) from a file with one number a line, or, if it is a .tsv, from the first column of a table with a header."""
+    if path.endswith(".tsv"):
+        head = spark.read.text(path).limit(1).collect()
+        names = [f"c{i}" for i in range(len(head[0]["value"].split("\t")))] if head else ["c0"]
+        rows = spark.read.schema(", ".join(f"{n} double" for n in names)).csv(path, sep="\t", header=True).select(F.col("c0").alias("t"))
+    else:
+        rows = spark.read.schema("t double").csv(path)
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    frame = F.row_number().over(Window.orderBy("__at"))  # some tens of lines
     used = ~F.col("frame").isin(*ignored) if ignored else F.lit(True)
     return rows.withColumn("frame", frame).withColumn("used", used & (F.lit(latest <= 0) | (F.col("frame") <= latest))).select("frame", "t", "used")
 
@@ -169,8 +175,11 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep)
 
 
-def write_cluster_tables(found: DataFrame, centroid_curves: DataFrame, path: str) -> None:
-    """Under path: metadata (a row a cluster, doubles to 5 places) and tacs (a row a frame, a column l-label_k-k a cluster), as CSV."""
+def write_cluster_tables(found: DataFrame, centroid_curves: DataFrame, path: str, best_blobs: DataFrame | None = None) -> None:
+    """Under path: metadata (a row a cluster, doubles to 5 places) and tacs (a row a frame, a column l-label_k-k a cluster), as CSV;
+    and the blobs of the best cluster, best_cluster_blobs, if they are given."""
+    if best_blobs is not None:
+        write_csv(best_blobs, f"{path}/best_cluster_blobs")
     rounded = [F.round(c, 5).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes]
     write_csv(found.select(*rounded).orderBy("k", "label"), f"{path}/metadata")
     names = found.select("k", "label").distinct().orderBy("k", "label").collect()  # a row a cluster: columns of the table
@@ -191,6 +200,18 @@ def write_masks(masks: DataFrame, path: str, again: bool = False) -> None:
     masks.write.mode("overwrite" if again else "ignore").partitionBy("bucket", "k", "label").parquet(path)
 
 
+def write_components(scores: DataFrame, stats: DataFrame, cells: DataFrame, path: str, again: bool = False) -> None:
+    """Under path: stats (CSV) and maps, a folder of Parquet (x, y, z, score) for each algorithm, components and component.
+
+    scores: (algorithm, components, vox_id, component, score); cells: (vox_id, x, y, z). Maps are left alone if they exist,
+    unless again.
+    """
+    by = ["algorithm", "components", "component"]
+    write_csv(stats.orderBy(*by), f"{path}/stats")
+    maps = scores.join(cells.select("vox_id", *"xyz"), "vox_id").select(*by, *"xyz", "score")
+    maps.write.mode("overwrite" if again else "ignore").partitionBy(*by).parquet(f"{path}/maps")
+
+
 def write_frames(voxels: DataFrame, path: str, again: bool = False) -> None:
     """A folder of Parquet for each frame; left alone if it exists, unless again."""
     voxels.write.mode("overwrite" if again else "ignore").partitionBy("frame").parquet(path)
