@@ -36,7 +36,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, share: float, bins:
     ends = read.groupBy(*own).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     ends = ends.select(*own, F.floor(rank).alias("first"), F.ceil(rank).alias("second"), (rank - F.floor(rank)).alias("part"), F.lit(0).cast("long").alias("below"), "n", "low", "high")
     with scratch(rows.sparkSession):
-        ends = stage(ends, "quantile-ends")
+        ends = stage(ends, "quantile-ends", keep=True)
         left, small, done = ends.where(F.col("n") > few), ends.where(F.col("n") <= few), []
         while not left.isEmpty():
             found = stage(_round(read, left, own, bins), "quantile-round")
@@ -45,7 +45,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, share: float, bins:
             left, small = more.where(F.col("n") > few), small.unionByName(more.where(F.col("n") <= few))
         last = ["part", "low", "high"]
         whole = reduce(DataFrame.unionByName, [d.select(*own, *last) for d in done], _sorted(read, small, own).select(*own, *last))
-        whole = stage(whole, "quantiles", keep=True)
+        if done:  # what the rounds have written goes at the end of the block
+            whole = stage(whole, "quantiles", keep=True)
     between = F.when((F.col("low") == F.col("high")) | (F.col("part") == 0), F.col("low")).otherwise(F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part"))
     return whole.select(*[F.col(k).alias(c) for c, k in zip(keys, own, strict=True)], between.alias(value))
 
