@@ -70,10 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's sampled pieces, and whether they decode to its text; rows with a null doc_id are seeded by the seed alone."""
-    path = tokenizer_path(PIECE_MODEL)
-    encoded = sentence_pieces.encode(docs, path, PIECE_SEED, keep=("text", "lang", "source"))
-    decoded = sentence_pieces.decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    encoded = sentence_pieces.encode(docs, tokenizer_path(PIECE_MODEL), PIECE_SEED, keep=("lang", "source"), lossless_col="lossless")
+    return encoded.select("doc_id", "lang", "source", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mix), ("sentence pieces", pieces)]

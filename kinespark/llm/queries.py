@@ -61,9 +61,8 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled pieces of each document, by number and hash, and whether decoding gives back the text."""
     path = tokenizer_path(PIECE_MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentence_pieces.encode(docs, path, PIECE_SEED, keep=("text",))
-    decoded = sentence_pieces.decode(encoded, path)
-    return decoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    encoded = sentence_pieces.encode(docs, path, PIECE_SEED, lossless_col="lossless")
+    return encoded.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +18,14 @@ RANK_OFFSET, BYTE_WEIGHT = 300.0, -15.0
 #: Sharpness of the sampling: piece log-weights are multiplied by it.
 ALPHA = 0.25
 #: The lattice of a chunk of up to so many characters is kept as a table row for each of its ends; so many rows are kept.
-TABLE_CHARS, TABLE_ROWS = 32, 500_000
+TABLE_CHARS, TABLE_ROWS = 32, 3 << 17
+#: Chunks of so many characters are drawn together, and so many new ends are filtered together.
+PART_CHARS, FILTER_ENDS = 1 << 17, 1 << 15
 #: A longer chunk is filtered in blocks of so many ends, of which one at a time is held.
 BLOCK_ENDS = 1 << 15
 MARK = "▁"
 #: What stands for a character that is no piece until it is written as bytes: BYTES + its code point.
 BYTES = 1 << 22
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
-
 
 #: Leading bits of a hash that choose its slot.
 SLOT_BITS = 18
@@ -134,19 +132,62 @@ def _uniform(seed: np.ndarray, place: np.ndarray, step: int | np.ndarray) -> np.
     return (words.mix(seed ^ words.mix((place.astype(np.uint64) << np.uint64(32)) + np.asarray(step, np.uint64))) >> np.uint64(11)).astype(float) * 2.0**-53
 
 
+def _digests(chars: np.ndarray, offset: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk: chars has the characters of all, offset each one's place in its chunk, first where chunks begin."""
+    return np.add.reduceat(words.mix(chars.astype(np.uint64) << np.uint64(32) | offset.astype(np.uint64)), first)
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places start to start + size of each entry, one after the other; how far each is in its entry; where entries begin."""
+    first = np.cumsum(size) - size
+    offset = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.repeat(start, size) + offset, offset, first
+
+
+class Chunks:
+    """The chunks whose lattices are kept, by hash: first row and size of each, and how often it was met.
+
+    A slot has one chunk, the latest; one that has lost its slot is learned again if it is met again.
+    """
+
+    def __init__(self) -> None:
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)  # of number + 1
+        self.n, self.digest, self.row, self.size, self.met = 0, *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32, np.int32))
+
+    def __getitem__(self, chunk: str) -> int:
+        points = _points([chunk], len(chunk))[0]
+        number = int(self.find(_digests(points, np.arange(len(points)), np.zeros(1, np.int64)))[0])
+        if number < 0:
+            raise KeyError(chunk)
+        return int(self.row[number])
+
+    def find(self, digest: np.ndarray) -> np.ndarray:
+        """The number of each one's chunk, -1 where there is none."""
+        number = self.slots[(digest >> _SLOT_SHIFT).view(np.int64)] - 1
+        if not self.n:
+            return number
+        return np.where(self.digest[number] == digest, number, -1)
+
+    def put(self, digest: np.ndarray, row: np.ndarray, size: np.ndarray, met: np.ndarray) -> None:
+        """More chunks, after those that are here."""
+        self.digest, self.row, self.size, self.met = (np.concatenate([a[: self.n], b], dtype=a.dtype) for a, b in ((self.digest, digest), (self.row, row), (self.size, size), (self.met, met)))
+        self.slots[(digest >> _SLOT_SHIFT).view(np.int64)] = np.arange(self.n, len(self.digest)) + 1
+        self.n = len(self.digest)
+
+
 class Lattices:
     """The lattices of the chunks that a worker has met, as the cumulative backward probabilities at each end of each chunk."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        # Filled up with ones to whole groups of four, which sample() counts at once.
-        self.cumulative = np.ones((TABLE_ROWS, -(-vocabulary.longest // 4) * 4), np.float32)
+        # Filled up with ones to whole groups of eight, which sample() counts at once.
+        self.cumulative = np.ones((TABLE_ROWS, -(-vocabulary.longest // 8) * 8), np.float32)
         # The greatest number stands for a character that is no piece; points has the character at each end.
         kind = np.min_scalar_type(vocabulary.size)
         self.none = np.iinfo(kind).max
         self.pieces = np.zeros((TABLE_ROWS, vocabulary.longest), kind)
         self.points = np.zeros(TABLE_ROWS, np.uint32)
-        self.base: dict[str, int] = {}
+        self.base = Chunks()
         self.used = 0
 
     def matches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,30 +247,70 @@ class Lattices:
         forward[0] = 1
         return forward
 
-    def add(self, chunks: list[str]) -> None:
-        """The lattices of chunks of one length together; their rows must fit."""
-        size, m, longest = len(chunks[0]), len(chunks), self.vocabulary.longest
-        points = _points(chunks, size)
+    def add(self, points: np.ndarray, size: np.ndarray) -> None:
+        """The lattices of chunks that are given a row each, filled up with zeros; their rows must fit."""
         ids, weights = self.matches(points)
-        self.filter(weights, self.start(m))
-        rows = slice(self.used, self.used + m * size)
-        self.cumulative[rows, :longest] = weights.transpose(2, 0, 1).reshape(m * size, -1)
-        self.pieces[rows] = ids.transpose(2, 0, 1).reshape(m * size, -1)
-        self.points[rows] = points.ravel()
-        self.base.update(zip(chunks, range(self.used, self.used + m * size, size), strict=True))
-        self.used += m * size
+        self.filter(weights, self.start(len(points)))
+        real = np.arange(points.shape[1]) < size[:, None]
+        rows = slice(self.used, self.used + int(size.sum()))
+        self.cumulative[rows, : self.vocabulary.longest] = weights.astype(np.float32).transpose(2, 0, 1)[real]
+        self.pieces[rows] = ids.transpose(2, 0, 1)[real]
+        self.points[rows] = points[real]
+        self.used = rows.stop
 
     def learn(self, chunks: set[str]) -> None:
-        """Adds the chunks that are new, which have TABLE_ROWS characters together at most; if they don't fit, all others go."""
-        new = [c for c in chunks if c not in self.base]
-        if self.used + sum(map(len, new)) > TABLE_ROWS:
-            self.base, self.used, new = {}, 0, list(chunks)
-        by_size: dict[int, list[str]] = {}
-        for c in new:
-            by_size.setdefault(len(c), []).append(c)
-        for same in by_size.values():
-            for i in range(0, len(same), 1024):
-                self.add(same[i : i + 1024])
+        """The lattices of these chunks, which have TABLE_ROWS characters together at most."""
+        same = list(chunks)
+        self.rows(_points(["".join(same)], sum(map(len, same)))[0], np.fromiter(map(len, same), np.int64, len(same)))
+
+    def rows(self, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first table row of each chunk; chars has all their characters, TABLE_ROWS at most. Chunks that are new are added."""
+        at, offset, first = _ragged(np.cumsum(size) - size, size)
+        digest = _digests(chars, offset, first) if len(size) else np.zeros(0, np.uint64)
+        number = self.base.find(digest)
+        new = np.flatnonzero(number < 0)
+        self.base.met += np.bincount(number[number >= 0], minlength=self.base.n)
+        found, one, which, times = np.unique(digest[new], return_index=True, return_inverse=True, return_counts=True)
+        one = new[one]
+        need = int(size[one].sum())
+        if self.used + need > TABLE_ROWS:
+            number = self._keep(number, need)
+        # By size, so that those which are filtered together are filled up little.
+        order = np.argsort(size[one], kind="stable")
+        start, sizes = first[one][order], size[one][order]
+        row = np.empty(len(one), np.int64)
+        row[order] = self.used + np.cumsum(sizes) - sizes
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + int(np.searchsorted(np.arange(1, len(sizes) - lo + 1) * sizes[lo:], FILTER_ENDS, "right"))
+            hi = max(hi, lo + 1)
+            width = np.arange(sizes[hi - 1])
+            points = chars[np.minimum(start[lo:hi, None] + width, len(chars) - 1)]
+            self.add(points * (width < sizes[lo:hi, None]), sizes[lo:hi])
+            lo = hi
+        self.base.put(found, row, size[one], times)
+        out = np.empty(len(size), np.int64)
+        out[number >= 0] = self.base.row[number[number >= 0]]
+        out[new] = row[which]
+        return out
+
+    def _keep(self, number: np.ndarray, need: int) -> np.ndarray:
+        """Makes room for need rows and returns the new numbers: these chunks stay, and those met most in half of the table; others go."""
+        old = self.base
+        now = np.zeros(old.n, bool)
+        now[number[number >= 0]] = True
+        order = np.lexsort((-old.met, ~now))
+        fits = np.cumsum(old.size[order]) <= min(TABLE_ROWS - need, TABLE_ROWS // 2)
+        stay = np.zeros(old.n, bool)
+        stay[order] = fits
+        stay |= now
+        at = np.flatnonzero(stay)
+        rows = _ragged(old.row[at].astype(np.int64), old.size[at])[0]
+        for table in (self.cumulative, self.pieces, self.points):
+            table[: len(rows)] = table.take(rows, 0)
+        self.base, self.used = Chunks(), len(rows)
+        self.base.put(old.digest[at], np.cumsum(old.size[at]) - old.size[at], old.size[at], old.met[at] // 2)
+        return np.where(number >= 0, (np.cumsum(stay) - 1)[number], -1)
 
     def sample(self, base: np.ndarray, size: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of all occurrences together, a piece each at a step: pieces from the last to the first, and their numbers."""
@@ -237,11 +318,15 @@ class Lattices:
         while len(live):
             row = base[live] + end[live] - 1
             u = _uniform(seed[live], place[live], len(steps)).astype(np.float32)
-            # Each true value is a byte of 1: four are added in one number, whose bytes the product sums in the highest.
-            below = (self.cumulative[row] <= u[:, None]).view(np.uint32).sum(1, dtype=np.uint32)
-            n = (below * np.uint32(0x01010101) >> np.uint32(24)).astype(np.int64)
+            # Each true value is a byte of 1: eight are added in one number, whose bytes the product sums in the highest.
+            below = (self.cumulative.take(row, 0) <= u[:, None]).view(np.uint64)
+            total = below[:, 0].copy()
+            for k in range(1, below.shape[1]):
+                total += below[:, k]
+            n = (total * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
             # u can round to 1: then the last piece that has a probability.
-            n = np.where(n >= self.cumulative.shape[1], (self.cumulative[row] < 1).sum(1), n)
+            if len(over := np.flatnonzero(n >= self.cumulative.shape[1])):
+                n[over] = (self.cumulative[row[over]] < 1).sum(1)
             piece = self.pieces[row, n].astype(np.int32)
             none = piece == self.none
             piece[none] = BYTES + self.points[row[none]].astype(np.int32)
@@ -256,14 +341,14 @@ class Lattices:
         return out, count
 
 
-def sample_long(lattices: Lattices, chunk: str, seed: np.ndarray, place: int) -> np.ndarray:
+def sample_long(lattices: Lattices, chunk: np.ndarray, seed: np.ndarray, place: int) -> np.ndarray:
     """The pieces of one chunk that is too long for a table, as sample() draws them, in time linear in its length.
 
     Blocks of ends are filtered from first to last, of which the sums at their borders are kept; then each is filtered again,
     from last to first, and sampled. Memory is that of a block, and of 4 bytes a character and piece.
     """
     longest, none, size = lattices.vocabulary.longest, lattices.none, len(chunk)
-    points = _points([chunk], size)
+    points = chunk[None]
 
     def block(at: int) -> tuple[np.ndarray, np.ndarray]:
         low = max(0, at - longest + 1)  # pieces that end in the block may start before it
@@ -299,37 +384,50 @@ def _as_bytes(vocabulary: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, n
     count = np.ones(len(pieces), np.int64)
     if not len(at):
         return pieces, count
-    raw = [chr(c - BYTES).encode("utf-8", "surrogatepass") for c in pieces[at].tolist()]
-    count[at] = [len(x) for x in raw]
+    chars = (pieces[at] - BYTES).astype(np.uint32)
+    count[at] = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+    raw = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
     out = np.repeat(pieces, count)
-    out[np.repeat(pieces >= BYTES, count)] = vocabulary.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    out[np.repeat(pieces >= BYTES, count)] = vocabulary.byte_ids[np.frombuffer(raw, np.uint8)]
     return out, count
 
 
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, each with a space in front; where each chunk starts in them; how many chunks each text has.
+
+    Chunks are newlines, and runs of neither spaces nor newlines with the run of spaces before, if any, or such a run alone.
+    """
+    points = np.frombuffer("".join([f" {t}" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]]) if texts else np.zeros(0, np.int64)
+    starts = points == 10
+    starts[1:] |= starts[:-1].copy()
+    space = points == 32
+    starts[1:] |= space[1:] & ~space[:-1]
+    starts[first] = True
+    at = np.flatnonzero(starts)
+    return points, at, np.diff(np.searchsorted(at, first), append=len(at))
+
+
 def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts, one after the other, and how many each text has."""
-    chunks = [_CHUNK.findall(" " + text) for text in texts]
-    flat = [c for row in chunks for c in row]
-    per = np.array([len(row) for row in chunks], np.int64)
-    size = np.fromiter(map(len, flat), np.int64, len(flat))
-    seed, place = np.repeat(seeds, per), np.arange(len(flat)) - np.repeat(np.cumsum(per) - per, per)
+    points, chunk, per = _cut(texts)
+    size = np.diff(chunk, append=len(points))
+    seed, place = np.repeat(seeds, per), np.arange(len(size)) - np.repeat(np.cumsum(per) - per, per)
     short = size <= TABLE_CHARS
-    # Each part has no more characters than the table has rows, whatever the texts' lengths.
-    part = np.cumsum(size * short) // (TABLE_ROWS - TABLE_CHARS)
+    # No part has more characters than the table has rows, whatever the texts' lengths.
+    part = np.cumsum(size * short) // (min(PART_CHARS, TABLE_ROWS) - TABLE_CHARS)
     cuts = np.flatnonzero(np.diff(part, prepend=-1, append=part[-1] + 1 if len(part) else 0))
-    found, count = [np.empty(0, np.int32)], np.zeros(len(flat), np.int64)
+    found, count = [np.empty(0, np.int32)], np.zeros(len(size), np.int64)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        here = flat[lo:hi]
-        lattices.learn({c for c in set(here) if len(c) <= TABLE_CHARS})
-        base = np.fromiter(map(lattices.base.get, here, repeat(-1)), np.int64, hi - lo)
         at = lo + np.flatnonzero(short[lo:hi])
-        ids, count[at] = lattices.sample(base[at - lo], size[at], seed[at], place[at])
+        base = lattices.rows(points[_ragged(chunk[at], size[at])[0]], size[at])
+        ids, count[at] = lattices.sample(base, size[at], seed[at], place[at])
         found.append(ids)
     pieces = np.concatenate(found)
     if not short.all():
         parts, at, start = [], 0, np.cumsum(count) - count
         for i in np.flatnonzero(~short):
-            parts += [pieces[at : start[i]], sample_long(lattices, flat[i], seed[i : i + 1], int(place[i]))]
+            parts += [pieces[at : start[i]], sample_long(lattices, points[chunk[i] : chunk[i] + size[i]], seed[i : i + 1], int(place[i]))]
             at, count[i] = start[i], len(parts[-1])
         pieces = np.concatenate([*parts, pieces[at:]])
     out, became = _as_bytes(lattices.vocabulary, pieces)
@@ -337,7 +435,15 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray) -> tup
     return out, np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
 
 
-def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _spell(table: pa.Array, pieces: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+    """What each row's pieces spell, without the space in front; row i has the pieces from ends[i] to ends[i + 1]. table is of spelled()."""
+    flat = table.take(pieces)
+    cuts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4)[ends].tolist()
+    raw = (flat.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return (raw[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), lossless_col: str | None = None) -> DataFrame:
     """The id and keep columns, and pieces: a sampled segmentation of each row's whole text, as ids of the model's vocabulary.
 
     A text is drawn with a probability in proportion to the product of its pieces' weights, given seed and id: the same
@@ -345,30 +451,37 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA
     cut before each run of spaces and around newlines, which no piece crosses, so chunks are drawn independently. A
     character that is no piece, the white space mark itself included, is written as bytes, and one space is put in front,
     so decode() restores every text. A chunk of any length is drawn in bounded memory (sample_long). A null text has null pieces, an empty one the pieces of the space in front. A null id
-    is seeded by the seed alone. An empty table gives an empty result.
+    is seeded by the seed alone. An empty table gives an empty result. With lossless_col, a boolean column of that name says
+    of each row whether its pieces, decoded as decode() does, give back its text: true for a null text. It is found in the
+    pass that draws them, so no second worker is needed and no text is sent back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Built for each task and let go after it: a worker that waits holds no tables.
         lattices = Lattices(Vocabulary(model_path, alpha))
+        table = pa.array(spelled(model_path), pa.binary()) if lossless_col else None
         for batch in batches:
             for at, data, bounds in words.groups(batch.column(0), words.GROUP_BYTES // 2):
                 n, raw = len(bounds) - 1, data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                given = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                texts = [x.decode("utf-8", "surrogatepass") for x in given]
                 pieces, count = sample_texts(lattices, texts, words.mix(batch.column(1).slice(at, n).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(pieces, pa.int32()), mask=pc.is_null(batch.column(0).slice(at, n)))
-                yield pa.RecordBatch.from_arrays([found, *[batch.column(i).slice(at, n) for i in sources]], ["pieces", *names])
+                ends, drawn = np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(pieces, pa.int32())
+                found = [pa.ListArray.from_arrays(pa.array(ends), drawn, mask=pc.is_null(batch.column(0).slice(at, n)))]
+                if lossless_col:
+                    found.append(pa.array([x == y for x, y in zip(_spell(table, drawn, ends), given, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*found, *[batch.column(i).slice(at, n) for i in sources]], [*made, *names])
 
     # A text that is kept is sent once: column 0 is what run() reads and what it gives back.
     columns = (id_col, *keep)
-    names = [f"c{i}" for i in range(len(columns))]
+    names, made = [f"c{i}" for i in range(len(columns))], ["pieces", "lossless"] if lossless_col else ["pieces"]
     sent = [i for i, c in enumerate(columns) if c != text_col]
     sources = [2 + sent.index(i) if i in sent else 0 for i in range(len(columns))]
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"), *[F.col(columns[i]).alias(names[i]) for i in sent])
     kinds = [rows.schema["text" if i == 0 else names[k]].dataType.simpleString() for k, i in enumerate(sources)]
-    out = rows.transform(map_texts, run, "pieces array<int>, " + ", ".join(f"{n} {kind}" for n, kind in zip(names, kinds, strict=True)))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], "pieces")
+    types = ["array<int>", "boolean"][: len(made)] + kinds
+    out = rows.transform(map_texts, run, ", ".join(f"{n} {kind}" for n, kind in zip([*made, *names], types, strict=True)))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)], "pieces", *[F.col(c).alias(lossless_col) for c in made[1:]])
 
 
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
@@ -381,11 +494,8 @@ def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", out_
             at = 0
             while at < len(lists):
                 part = lists.slice(at, 256)
-                flat = table.take(part.flatten())
                 ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy())])
-                cuts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, flat.offset * 4)[ends]
-                raw = (flat.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[: cuts[-1]]
-                texts = [None if null else raw[a + 1 : b].decode("utf-8", "surrogatepass") for a, b, null in zip(cuts[:-1], cuts[1:], pc.is_null(part).to_pylist(), strict=True)]
+                texts = [None if null else x.decode("utf-8", "surrogatepass") for x, null in zip(_spell(table, part.flatten(), ends), pc.is_null(part).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part, *[batch.column(1 + i).slice(at, 256) for i in range(len(names))]], ["text", "pieces", *names])
                 at += 256
 

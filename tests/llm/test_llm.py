@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -635,3 +636,52 @@ def test_sketches_of_any_size_never_rule_a_link_out():
         least = min(len(x), len(y))
         apart = int(np.bitwise_count(jaccard_join.folded(x, least) ^ jaccard_join.folded(y, least)).sum())
         assert apart <= len(np.setxor1d(a, b)) and (size < 500 or apart > 0)
+
+
+def test_common_chunks_stay_when_the_tables_are_full(monkeypatch):
+    path, learned = queries.tokenizer_path(queries.PIECE_MODEL), 0
+    monkeypatch.setattr(sentence_pieces, "TABLE_ROWS", 2000)
+    lattices = sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25))
+    add = lattices.add
+
+    def counted(points, size):
+        nonlocal learned
+        learned += int(size.sum())
+        add(points, size)
+
+    monkeypatch.setattr(lattices, "add", counted)
+    common = [f"common{i:02}" for i in range(40)]
+    texts = [" ".join([*common, *(f"rare{i}x{k}" for k in range(40))]) for i in range(60)]
+    once = len({c for t in texts for c in t.split()}) * 10
+    found = sentence_pieces.sample_texts(lattices, texts, words.mix(np.arange(60, dtype=np.uint64)))
+    assert learned < 1.05 * once
+    monkeypatch.undo()
+    wanted = sentence_pieces.sample_texts(sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25)), texts, words.mix(np.arange(60, dtype=np.uint64)))
+    assert all(np.array_equal(a, b) for a, b in zip(found, wanted, strict=True))
+
+
+def test_chunks_cut_at_once_are_those_of_each_text():
+    texts = ["", " ", "\n", "a b", "a  b \n c\n\n  ", " x", "é\t☃ \x1c 😀", "z " * 50, "  \n", "q"]
+    points, at, per = sentence_pieces._cut(texts)
+    text = points.tobytes().decode("utf-32-le")
+    chunks = [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+    wanted = [re.findall(r"\n| *[^ \n]+| +", " " + t) for t in texts]
+    assert chunks == [c for row in wanted for c in row] and per.tolist() == [len(row) for row in wanted]
+
+
+def test_pieces_are_checked_in_the_pass_that_draws_them(spark, odd):
+    path = queries.tokenizer_path(queries.PIECE_MODEL)
+    encoded = sentence_pieces.encode(odd, path, 5, lossless_col="same")
+    assert encoded.columns == ["doc_id", "pieces", "same"] and all(r["same"] for r in encoded.collect())
+    assert {r["doc_id"]: r["pieces"] for r in encoded.collect()} == {r["doc_id"]: r["pieces"] for r in sentence_pieces.encode(odd, path, 5).collect()}
+    # One worker a task, for the query and for the pipeline's stage alike.
+    import corpus_pipeline
+
+    docs = docs_of(spark, "/root/testdata/sf0.001")
+    for df in (queries.op6_sentence_pieces(spark, "/root/testdata/sf0.001"), corpus_pipeline.pieces(spark, docs, "/root/testdata/sf0.001")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    # A table that spells a piece otherwise is found out.
+    table = pa.array([x.upper() for x in sentence_pieces.spelled(path)], pa.binary())
+    lattices = sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25))
+    pieces, count = sentence_pieces.sample_texts(lattices, ["abc", "ABC", ""], words.mix(np.arange(3, dtype=np.uint64)))
+    assert list(sentence_pieces._spell(table, pa.array(pieces, pa.int32()), np.concatenate([[0], np.cumsum(count)]))) == [b"ABC", b"ABC", b""]
