@@ -18,7 +18,9 @@ RANK_OFFSET, BYTE_WEIGHT = 300.0, -15.0
 #: Sharpness of the sampling: piece log-weights are multiplied by it.
 ALPHA = 0.25
 #: The lattice of a chunk of up to so many characters is kept as a table row for each of its ends; so many rows are kept.
-TABLE_CHARS, TABLE_ROWS = 32, 3 << 17
+TABLE_CHARS, TABLE_ROWS = 32, 1 << 18
+#: About so many bytes of whole texts are drawn and checked at once.
+GROUP_BYTES = 1 << 18
 #: Chunks of so many characters are drawn together, and so many new ends are filtered together.
 PART_CHARS, FILTER_ENDS = 1 << 17, 1 << 15
 #: A longer chunk is filtered in blocks of so many ends, of which one at a time is held.
@@ -461,7 +463,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA
         lattices = Lattices(Vocabulary(model_path, alpha))
         table = pa.array(spelled(model_path), pa.binary()) if lossless_col else None
         for batch in batches:
-            for at, data, bounds in words.groups(batch.column(0), words.GROUP_BYTES // 2):
+            for at, data, bounds in words.groups(batch.column(0), GROUP_BYTES):
                 n, raw = len(bounds) - 1, data.tobytes()
                 given = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 texts = [x.decode("utf-8", "surrogatepass") for x in given]

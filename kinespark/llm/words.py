@@ -11,8 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once.
-GROUP_BYTES = 2 << 20
+#: Bytes of text handled at once, and of words that are hashed at once: a worker keeps 16 bytes for each of the latter.
+GROUP_BYTES, HASH_BYTES = 2 << 20, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -75,16 +75,17 @@ def spans(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) ->
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z taken as a-z if lower. Words of any length take memory for GROUP_BYTES only."""
+    """A 64-bit hash of each word, with A-Z taken as a-z if lower. Words of any length take memory for HASH_BYTES only."""
     out, letters, at = np.zeros(len(starts), np.uint64), _LOWER if lower else _LETTERS, 0
-    power, inverse = _powers(GROUP_BYTES)
+    most = min(HASH_BYTES, GROUP_BYTES)
+    power, inverse = _powers(most)
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + GROUP_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
         first, n = int(starts[at]), int(ends[to - 1] - starts[at])
-        if n > GROUP_BYTES:  # one long word: the same sum, a stretch at a time
-            total, step = 0, pow(_BASE, GROUP_BYTES, 1 << 64)
-            for k, low in enumerate(range(first, first + n, GROUP_BYTES)):
-                part = letters[data[low : min(low + GROUP_BYTES, first + n)]]
+        if n > most:  # one long word: the same sum, a stretch at a time
+            total, step = 0, pow(_BASE, most, 1 << 64)
+            for k, low in enumerate(range(first, first + n, most)):
+                part = letters[data[low : min(low + most, first + n)]]
                 total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(step, k, 1 << 64)
             out[at] = mix(np.array([total % (1 << 64)], np.uint64) + np.array([n], np.uint64) * _STEP)[0]
         else:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -685,3 +686,27 @@ def test_pieces_are_checked_in_the_pass_that_draws_them(spark, odd):
     lattices = sentence_pieces.Lattices(sentence_pieces.Vocabulary(path, 0.25))
     pieces, count = sentence_pieces.sample_texts(lattices, ["abc", "ABC", ""], words.mix(np.arange(3, dtype=np.uint64)))
     assert list(sentence_pieces._spell(table, pa.array(pieces, pa.int32()), np.concatenate([[0], np.cumsum(count)]))) == [b"ABC", b"ABC", b""]
+
+
+def test_a_worker_of_the_pieces_holds_little(spark, monkeypatch):
+    # Two of them share an executor's memory with its JVM, and other stages' tables stay with a worker.
+    words._powers.cache_clear()
+    data = np.frombuffer(b"some words of a text " * 100_000, np.uint8)
+    starts, ends, _ = words.spans(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    hashed = words.hashes(data, starts, ends, True)
+    kept = tracemalloc.get_traced_memory()[0] - hashed.nbytes
+    tracemalloc.stop()
+    assert kept < 4e6
+    # What a task of a batch of many different words takes, beside the batch itself.
+    runs, path, map_texts = [], queries.tokenizer_path(queries.PIECE_MODEL), sentence_pieces.map_texts
+    monkeypatch.setattr(sentence_pieces, "map_texts", lambda rows, run, schema: [runs.append(run), map_texts(rows, run, schema)][1])
+    sentence_pieces.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path, 5, lossless_col="same")
+    rng = np.random.default_rng(8)
+    texts = ["".join(np.array(list("abcdefghij  "))[rng.integers(0, 12, 4000)].tolist()) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.arange(500)), pa.array(np.arange(500))], ["text", "seed", "c0"])
+    tracemalloc.start()
+    rows = sum(len(x) for x in runs[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 500 and peak < 75e6, peak
